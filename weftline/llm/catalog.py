@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, language, licenses, merkle, mixing, packing, secrets
+from weftline.llm import ann, chat, language, licenses, merkle, mixing, packing, secrets
 from weftline.llm.common import table
 
 
@@ -15,6 +15,10 @@ from weftline.llm.common import table
 MIX = mixing.Targets(shares={"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}, keep=0.5)
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_additive_quantisation": op1_additive_quantisation,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op4_chat_collapse": op4_chat_collapse,
     "op5_license_scan": op5_license_scan,
