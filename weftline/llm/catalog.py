@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, chat, language, licenses, merkle, mixing, packing, secrets
+from weftline.llm import ann, chat, language, licenses, merkle, mixing, packing, partenum, secrets
 from weftline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.groups_of(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -53,6 +57,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_collapse": op4_chat_collapse,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -63,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_merkle_fingerprint": merkle.EDIT_SQL,
+    "op3_ngram_jaccard": partenum.JOIN_SQL,
     "op4_chat_collapse": chat.RENDER_SQL,
 }
