@@ -4,13 +4,13 @@ Sets fall into bands by size. In a band the feature domain is cut by hash into m
 a set's signatures are its projections on them. Two sets of Jaccard similarity t or more differ in
 at most D = (1 - t) / (1 + t) * (|A| + |B|) features, each of which spoils one partition at most. So
 of any order of signatures that all sets follow, the first D + 1 of either set have one in common:
-those are enumerated (and ``SPARE`` more). A set whose partner can be in the next band signs there too.
+those are enumerated. A set whose partner can be in the next band signs there too.
 
 Sets that share a signature are candidates. Small groups are compared in full. In a large one every
-member is first compared with one leader. What that leaves apart needs no look where the members
-have D + 1 signatures outside such groups, for those find each partner; sets that have not (texts
-made almost wholly of passages that many share) are compared in full. So no link is lost, and a
-group of near copies makes as many pairs as it has members.
+member is compared with one leader, so a group of near copies makes as many pairs as it has
+members. Where that leaves a large group in several parts (texts that share a common passage), its
+members sign once more, by single features and the rarest first: of these the first quarter and one
+must meet. So no link is lost, and what very many texts share makes no pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ SIMILARITY = (75, 100)
 BAND = 4
 #: Features to a partition at the upper end of a band, and partitions in any band at least.
 FEATURES, LEAST_PARTITIONS = 1.5, 4096
-#: Signatures beyond D + 1, as a share of the set.
-SPARE = 0.08
 #: Members up to which a group is compared in full.
 SMALL_GROUP = 12
 
@@ -48,13 +46,13 @@ def most_apart(size: int, similarity: tuple[int, int]) -> int:
     return (size + size * den // num) * (den - num) // (den + num)
 
 
-def signatures(features: np.ndarray, band: int, similarity: tuple[int, int], spare: float = SPARE) -> np.ndarray:
+def signatures(features: np.ndarray, band: int, similarity: tuple[int, int]) -> np.ndarray:
     """The enumerated signatures of a set in a band; the lowest bit tells even from odd bands."""
     n = len(features)
     parts = max(LEAST_PARTITIONS, int(BAND ** (band + 1) / FEATURES) + 1)
     at = ((features >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as features are
     firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    want = most_apart(n, similarity) + 1 + int(spare * n)
+    want = most_apart(n, similarity) + 1
     own = np.add.reduceat(mix(features), firsts)[:want]
     places = at[firsts][: len(own)]
     if len(own) < want:  # partitions that are empty here come after all others
@@ -65,43 +63,46 @@ def signatures(features: np.ndarray, band: int, similarity: tuple[int, int], spa
 
 
 def signed(docs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
-    """node, sig, n and h: a row for each signature (h 0), and one for the text itself whose h hashes its whole set."""
+    """node, sig, x: a row for each signature (x 0), and of each text two more: x > 0 hashes its set, x < 0 is -1 - its size."""
 
     def run(batches):
         for batch in batches:
-            nodes, sigs, sizes, hashes = [], [], [], []
+            nodes, sigs, marks = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 n = len(s)
-                out = [mix(np.array([node], dtype=np.int64).view(np.uint64))]
+                out = [mix(np.array([2 * node, 2 * node + 1], dtype=np.int64).view(np.uint64))]
                 if n:
                     band = band_of(n)
                     out.append(signatures(s, band, similarity))
                     if band_of(n * similarity[1] // similarity[0]) > band:
                         out.append(signatures(s, band + 1, similarity))
                 sig = np.concatenate(out).view(np.int64)
-                extra = np.zeros(len(sig), dtype=np.int64)
-                extra[0] = int(mix(s).sum().view(np.int64)) | 1 if n else 1
+                mark = np.zeros(len(sig), dtype=np.int64)
+                mark[:2] = int(mix(s).sum()) >> 1 | 1 if n else 1, -1 - n
                 nodes.append(np.full(len(sig), node))
                 sigs.append(sig)
-                sizes.append(np.full(len(sig), n))
-                hashes.append(extra)
+                marks.append(mark)
                 if len(nodes) == 256:
-                    yield rows(nodes, sigs, sizes, hashes)
-                    nodes, sigs, sizes, hashes = [], [], [], []
+                    yield rows(nodes, sigs, marks)
+                    nodes, sigs, marks = [], [], []
             if nodes:
-                yield rows(nodes, sigs, sizes, hashes)
+                yield rows(nodes, sigs, marks)
 
     def rows(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["node", "sig", "n", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["node", "sig", "x"])
 
-    return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "node long, sig long, n long, h long")
+    return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "node long, sig long, x long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that more than one node has, with their number ``c`` and the smallest node ``leader``."""
+def shared(rows: DataFrame, keep: str = "c > 1") -> DataFrame:
+    """Rows of signatures that more than one node has, with their number ``c`` and a ``leader``.
+
+    Leaders are drawn by hash, in four ways, so that one odd text does not lead all groups of its kind.
+    """
     own = Window.partitionBy("sig")
-    return rows.withColumn("c", F.count("*").over(own)).withColumn("leader", F.min("node").over(own)).where("c > 1 OR h <> 0")
+    drawn = F.min(F.struct(F.xxhash64("node", F.pmod("sig", F.lit(4))).alias("draw"), "node")).over(own)
+    return rows.withColumn("c", F.count("*").over(own)).withColumn("leader", drawn["node"]).where(keep)
 
 
 def fitting(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -110,44 +111,77 @@ def fitting(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return pairs.where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b").distinct()
 
 
+def apart(size: str, partner: str, similarity: tuple[int, int]) -> str:
+    num, den = similarity
+    return f"(({size} + {partner}) * {den - num} div {den + num})"
+
+
 def candidates(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """All pairs of small groups, and leader and member of the others."""
-    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n")
-    a, b = small.toDF("sig", "a", "na"), small.toDF("sig", "b", "nb")
-    # A leader's size is not at hand in a member's row; the check of the sets sees to it.
-    star = groups.where(f"c > {SMALL_GROUP} AND node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    return fitting(a.join(b, "sig"), similarity).union(star).distinct()
+    """Pairs of small groups with as many common signatures as the similarity asks for; leader and member of other groups.
+
+    Both sets have D + 1 signatures, so a pair that is nearer than the worst case has a surplus in
+    common. Those that may be in large groups are not counted against it.
+    """
+    num, den = similarity
+    band = F.col("sig").bitwiseAND(F.lit(1)).alias("band")
+    inside = groups.groupBy("node", band).agg(F.sum((F.col("c") > SMALL_GROUP).cast("long")).alias("large"))
+    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n", band).join(inside, ["node", "band"]).select("sig", "node", "n", "large")
+    a, b = small.toDF("sig", "a", "na", "la"), small.toDF("sig", "b", "nb", "lb")
+    met = a.join(b, "sig").where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)")
+    met = met.groupBy("a", "b", band).agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.min(F.least("la", "lb")).alias("large"))
+    widest = lambda n: apart(n, f"{n} * {den} div {num}", similarity)
+    surplus = f"least({widest('na')}, {widest('nb')}) + 1 - {apart('na', 'nb', similarity)}"
+    star = groups.where(f"c > {SMALL_GROUP} AND node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    return met.where(f"common + large >= {surplus}").select("a", "b").union(star).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact comparison."""
+    """The pairs (a, b) whose sets are similar: by hashes cut to few bits, which never hide a likeness, then by the whole ones."""
     num, den = similarity
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def sets(batches):
         for batch in batches:
+            whole = [shingle_set(t.as_buffer().to_pybytes(), words) for t in batch.column(1)]
+            short = [np.sort(s.astype(np.uint16 if len(s) <= 4096 else np.uint32)) for s in whole]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingle_set(t.as_buffer().to_pybytes(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "s"]
+                [batch.column(0), *(pa.array([s.tobytes() for s in c], pa.binary()) for c in (whole, short)), pa.array([len(s) for s in whole], pa.int64())],
+                names=["node", "s", "short", "n"],
             )
 
-    def compare(batches):
-        for batch in batches:
-            near = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if num * max(len(x), len(y)) > den * min(len(x), len(y)):
-                    near.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                near.append(den * both >= num * (len(x) + len(y) - both))
-            mask = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    rows = texts(docs).join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(sets, "node long, s binary")
+    def common(x: np.ndarray, y: np.ndarray) -> int:
+        if not len(x) or not len(y):
+            return 0
+        at = np.searchsorted(y, x)
+        return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+    def comparing(parse):
+        def compare(batches):
+            for batch in batches:
+                near = []
+                for a, b, na, nb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                    fits = num * max(na, nb) <= den * min(na, nb)
+                    met = common(*parse(a, b, na, nb)) if fits else 0
+                    near.append(fits and den * met >= num * (na + nb - met))
+                mask = pa.array(near, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+        return compare
+
+    def cut(a, b, na, nb):
+        x, y = (np.frombuffer(s, np.uint16 if n <= 4096 else np.uint32) for s, n in ((a, na), (b, nb)))
+        return (x, y) if x.dtype == y.dtype else tuple(np.sort(s.astype(np.uint16)) for s in (x, y))
+
+    def full(a, b, na, nb):
+        return np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+
+    rows = texts(docs).join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(sets, "node long, s binary, short binary, n long")
     rows = stash(rows, "sets")
-    both = pairs.join(rows.toDF("a", "sa"), "a").join(rows.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(compare, "a long, b long")
+    for column, parse in (("short", cut), ("s", full)):
+        one = rows.select("node", column, "n")
+        met = pairs.join(one.toDF("a", "sa", "na"), "a").join(one.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb")
+        pairs = stash(met.mapInArrow(comparing(parse), "a long, b long").distinct(), "near")
+    return pairs
 
 
 def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = 5) -> DataFrame:
@@ -159,39 +193,69 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     out. Rows of one doc_id are one document, as if linked; n_shingles is then its largest. An empty
     table gives no row. Only doc_id and text are read.
     """
-    known = stash(shared(signed(docs, similarity, words)), "signatures")
-    sets = known.where("h <> 0").select("node", "n", "h").distinct()
+    known = stash(shared(signed(docs, similarity, words), "c > 1 OR x <> 0"), "signatures")
+    sizes = known.where("x < 0").groupBy("node").agg((-1 - F.min("x")).alias("n"))
+    sets = stash(known.where("x > 0").select("node", F.col("x").alias("h")).distinct().join(sizes, "node"), "sizes")
     # Equal sets, by size and hash: one of them stands for all.
     reps = sets.where("n > 0").groupBy("n", "h").agg(F.min("node").alias("rep"))
-    alike = stash(sets.join(reps, ["n", "h"]).select("node", "rep"), "alike")
-    own = alike.where("node = rep").select("node").distinct()
-    again = known.where("h = 0").select("node", "sig", "n", "h").join(own, "node", "left_semi").distinct()
-    groups = stash(shared(again), "groups")
+    alike = stash(sets.join(reps, ["n", "h"]).select("node", "rep", "n"), "alike")
+    own = alike.where("node = rep").select("node", "n").distinct()
+    groups = stash(shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node")), "groups")
     pairs = stash(candidates(groups, similarity), "pairs")
-    links = stash(verified(docs, pairs, similarity, words), "links")
-    same = alike.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(docs, pairs, similarity, words)
 
-    found = components(links)
-    left = stash(crowded(groups, found), "crowded")
-    more = fitting(left.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")).join(left.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb")), "sig").where("pa <> pb"), similarity)
-    more = stash(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    all_links = [links, same] + ([verified(docs, more, similarity, words)] if not more.isEmpty() else [])
-    part = components(reduce(DataFrame.union, all_links))
-    whole = sets.groupBy("node").agg(F.max("n").alias("n"))
+    held = stash(crowded(docs, groups, components(links), similarity, words), "rare")
+    star = stash(led(held).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(docs, star, similarity, words)
+    rest = stash(apart_pairs(held, components(links.union(more)), similarity).join(pairs.union(star), ["a", "b"], "left_anti"), "pairs")
+    same = alike.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    part = components(reduce(DataFrame.union, [links, same, more, verified(docs, rest, similarity, words)]))
+    whole = sizes
     return whole.join(part, "node", "left").select(
         F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
 
 
-def crowded(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """sig, node, n, part: members of large groups of several parts that have too few other signatures to be safe."""
-    large = groups.where(f"c > {SMALL_GROUP}").join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+def crowded(docs: DataFrame, groups: DataFrame, found: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
+    """feature, node, n, most, after: the rarest features of all members of large groups that are in several parts.
+
+    ``most`` counts the features that a member has in common with any other, ``after`` those of them from this one on.
+    """
+    num, den = similarity
+    large = groups.where(f"c > {SMALL_GROUP}").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
     split = large.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
-    open_rows = large.join(split, "sig", "left_semi").withColumn("band", F.col("sig").bitwiseAND(F.lit(1)))
-    # A set has D + 1 signatures and floor(n * SPARE) more: as many may lie in such groups.
-    spare = F.floor(F.col("n") * SPARE)
-    tight = open_rows.groupBy("node", "band", "n").agg(F.count("*").alias("inside")).where(F.col("inside") > spare)
-    return open_rows.join(tight.select("node", "band"), ["node", "band"], "left_semi").select("sig", "node", "n", "part")
+    members = large.join(split, "sig", "left_semi").select("node").distinct()
+
+    def features(batches):
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_buffer().to_pybytes(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["node", "n", "feature"])
+
+    rows = texts(docs).join(members, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(features, "node long, n long, feature long")
+    met = rows.withColumn("c", F.count("*").over(Window.partitionBy("feature"))).where("c > 1")
+    # Features of one text alone are its rarest: they take the first places, though their rows are gone.
+    own = Window.partitionBy("node")
+    counted = met.withColumn("most", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "feature")))
+    first = counted.where(f"place + n - most <= n - (n * {num} + {den - 1}) div {den} + 1")
+    return first.select("feature", "node", "n", "most", (F.col("most") - F.col("place") + 1).alias("after"))
+
+
+def led(held: DataFrame) -> DataFrame:
+    """Pairs of each member with the one of its group that shares the largest part of its features with others."""
+    lead = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "n")).over(Window.partitionBy("feature"))["node"]
+    pairs = held.withColumn("leader", lead).where("leader <> node")
+    return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+
+
+def apart_pairs(held: DataFrame, found: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of different parts that share a rare feature and have features enough in common with others."""
+    num, den = similarity
+    placed = held.join(found, "node", "left").select("feature", "node", "n", "after", F.coalesce("component", "node").alias("part"))
+    a, b = placed.toDF("feature", "a", "na", "after_a", "pa"), placed.toDF("feature", "b", "nb", "after_b", "pb")
+    # At its first common feature a pair has no more in common than either shares with any text from there on.
+    enough = f"pa <> pb AND {num + den} * least(after_a, after_b) >= {num} * (na + nb)"
+    return fitting(a.join(b, "feature").where(f"a < b AND {enough}"), similarity)
 
 
 JOIN_SQL = """
