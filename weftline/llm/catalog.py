@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, chat, language, licenses, merkle, mixing, packing, partenum, secrets
+from weftline.llm import ann, chat, language, licenses, merkle, mixing, packing, partenum, secrets, suffixes
 from weftline.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), "probability")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mix": op9_source_mix,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
