@@ -136,6 +136,18 @@ def fit(rows: DataFrame, centroids: int = CENTROIDS, sample_each: int = SAMPLE_E
     return Centroids(names, idf, np.concatenate(centres).astype(np.float32) if own else np.zeros((0, DIMENSIONS), np.float32), floor)
 
 
+def judged(model: Centroids, text: pa.Array, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and rejection of a batch of texts."""
+    letters = letters & bool(model.languages)
+    best, score = np.zeros(len(text), dtype=int), np.zeros(len(text))
+    for at in range(0, len(text), 512):
+        some = np.flatnonzero(letters[at : at + 512]) + at
+        if len(some):
+            best[some], score[some] = model.nearest(tf_rows(text.take(pa.array(some))))
+    langs = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
+    return langs, np.clip(score, 0.0, 1.0), ~letters | (score < model.floor)
+
+
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row.
 
@@ -147,25 +159,28 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, text, letters = batch.column(0), batch.column(1), np.asarray(batch.column(2).to_pylist(), dtype=bool)
-            if not model.languages:
-                letters[:] = False
-            best, score = np.zeros(len(ids), dtype=int), np.zeros(len(ids))
-            if letters.any():
-                for at in range(0, len(ids), 512):
-                    some = np.flatnonzero(letters[at : at + 512]) + at
-                    if len(some):
-                        best[some], score[some] = model.nearest(tf_rows(text.take(pa.array(some))))
-            langs = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
+            langs, score, rejected = judged(model, batch.column(1), np.asarray(batch.column(2).to_pylist(), dtype=bool))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(langs, pa.string()), pa.array(np.clip(score, 0.0, 1.0)), pa.array(~letters | (score < model.floor))],
-                names=["doc_id", "lang_pred", "score", "rejected"],
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"]
             )
 
     read = texts(docs).withColumn("letters", F.col("text").rlike(r"\p{L}"))
     return read.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``predict`` would not mark as rejected."""
+
+    def run(batches):
+        for batch in batches:
+            letters = np.asarray(batch.column(batch.num_columns - 1).to_pylist(), dtype=bool)
+            text = batch.column(batch.schema.get_field_index("text")).fill_null("")
+            kept = batch.filter(pa.array(~judged(model, text, letters)[2]))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return docs.withColumn("has_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the labelled rows of ``docs`` and predict every row."""
     return predict(docs, fit(labelled(docs)))

@@ -120,13 +120,24 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def redact(docs: DataFrame, mask: str = "<secret>", scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every reported span replaced by ``mask`` and n_chars counted anew; all rows and columns stay."""
+    rows = texts(docs)
+    spans = linked(parts(rows), scope).groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind_order", "end", "kind", "base"))).alias("found"))
+    spans = spans.select(F.col("doc_id").alias("of_id"), F.col("k1").alias("of_k1"), F.col("k2").alias("of_k2"), "found")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_k1")) & (F.length("text") == F.col("of_k2"))
+    both = docs.join(spans, same, "left").withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("found"), mask)))
+    changed = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return both.withColumn("n_chars", changed).select(docs.columns)
+
+
 def masked(text: Column, found: Column, mask: str) -> Column:
     """The text with every reported span, or run of overlapping ones, replaced by ``mask``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc, span):
         gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(span["start"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = (span["start"] >= acc["at"]) | (acc["at"] == 0)
+        fresh = span["start"] >= acc["at"]
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], span["end"]).alias("at"))
 
     return F.when(F.size(found) == 0, text).otherwise(
