@@ -1,16 +1,18 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets fall into bands by size. In a band the feature domain is cut by hash into many partitions, and
-a set's signatures are its projections on them. Two sets of Jaccard similarity t or more differ in
-at most D = (1 - t) / (1 + t) * (|A| + |B|) features, each of which spoils one partition at most. So
-of any order of signatures that all sets follow, the first D + 1 of either set have one in common:
-those are enumerated. A set whose partner can be in the next band signs there too.
-
-Sets that share a signature are candidates. Small groups are compared in full. In a large one every
+The feature domain is cut by hash into 2^32 partitions, so fine that a partition holds one feature
+of a set; the enumerated subsets are single partitions, whose projections are the signatures. (With
+coarser partitions both sides' odd features spoil projections, and the join of 0.5 GB took more disk
+than it may: see the README.) Two sets of similarity t or more, of sizes a and b, have at least
+o = t / (1 + t) * (a + b) features in common, so of signatures in one order for all sets, the first
+a - t * a + 1 of either have one in common. As many and ``SPARE`` more are enumerated; then a pair
+has more than ``SPARE`` in common, and sets with fewer that any other has need no further look.
+
+Sets that share signatures are candidates. Small groups are compared in full. In a large one every
 member is compared with one leader, so a group of near copies makes as many pairs as it has
 members. Where that leaves a large group in several parts (texts that share a common passage), its
-members sign once more, by single features and the rarest first: of these the first quarter and one
-must meet. So no link is lost, and what very many texts share makes no pairs.
+members sign once more, the rarest features first: of these the first quarter and one must meet. So
+no link is lost, and what very many texts share makes no pairs.
 """
 
 from __future__ import annotations
@@ -28,71 +30,65 @@ from weftline.llm.shingles import mix, shingle_set
 
 #: Similarity as a fraction of whole numbers, so that limits are exact.
 SIMILARITY = (75, 100)
-#: Sizes of a band: from 4^k to less than 4^(k+1).
-BAND = 4
-#: Features to a partition at the upper end of a band, and partitions in any band at least.
-FEATURES, LEAST_PARTITIONS = 1.5, 4096
+#: Signatures beyond those that must meet, in hundredths of the set.
+SPARE = 8
+#: Documents whose ids are broadcast when their texts are read again (16 MB); more are joined.
+BROADCAST_IDS = 2_000_000
 #: Members up to which a group is compared in full.
 SMALL_GROUP = 12
 
 
-def band_of(size: int) -> int:
-    return (size.bit_length() - 1) // 2
+def least_common(size: int, similarity: tuple[int, int]) -> int:
+    """Features that a set of this size has in common with any similar one, at least."""
+    num, den = similarity
+    return -(-size * num // den)
+
 
+def histogram(features: np.ndarray) -> bytes:
+    """Features by their leading bits, about two to a bin; 255 stands for that many or more."""
+    bits = max(3, (len(features) // 2).bit_length())
+    return np.minimum(np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
-def most_apart(size: int, similarity: tuple[int, int]) -> int:
-    """D for the largest partner that a set of this size can have."""
-    num, den = similarity
-    return (size + size * den // num) * (den - num) // (den + num)
 
+def may_share(a: bytes, b: bytes) -> int:
+    """No less than the features that two sets have in common."""
+    x, y = (np.frombuffer(h, np.uint8).astype(np.int64) for h in (a, b))
+    if max(x.max(), y.max()) == 255:
+        return 1 << 62
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
 
-def signatures(features: np.ndarray, band: int, similarity: tuple[int, int]) -> np.ndarray:
-    """The enumerated signatures of a set in a band; the lowest bit tells even from odd bands."""
-    n = len(features)
-    parts = max(LEAST_PARTITIONS, int(BAND ** (band + 1) / FEATURES) + 1)
-    at = ((features >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as features are
-    firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    want = most_apart(n, similarity) + 1
-    own = np.add.reduceat(mix(features), firsts)[:want]
-    places = at[firsts][: len(own)]
-    if len(own) < want:  # partitions that are empty here come after all others
-        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)[: want - len(own)]
-        own, places = np.concatenate([own, np.zeros(len(empty), np.uint64)]), np.concatenate([places, empty])
-    out = mix(own + mix(places * np.uint64(64) + np.uint64(band)))
-    return (out & ~np.uint64(1)) | np.uint64(band & 1)
+
+SIGNED = "node long, sig long, x long, bins binary"
 
 
 def signed(docs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
-    """node, sig, x: a row for each signature (x 0), and of each text two more: x > 0 hashes its set, x < 0 is -1 - its size."""
+    """node, sig, x, bins: a row for each signature (x 0), and of each text two more: x > 0 hashes its set, x < 0 is -1 - its size (with bins)."""
 
     def run(batches):
         for batch in batches:
-            nodes, sigs, marks = [], [], []
+            nodes, sigs, marks, bins = [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 n = len(s)
-                out = [mix(np.array([2 * node, 2 * node + 1], dtype=np.int64).view(np.uint64))]
-                if n:
-                    band = band_of(n)
-                    out.append(signatures(s, band, similarity))
-                    if band_of(n * similarity[1] // similarity[0]) > band:
-                        out.append(signatures(s, band + 1, similarity))
-                sig = np.concatenate(out).view(np.int64)
+                own = mix(np.array([2 * node, 2 * node + 1], dtype=np.int64).view(np.uint64))
+                sig = np.concatenate([own, s[: n - least_common(n, similarity) + 1 + n * SPARE // 100]]).view(np.int64)
                 mark = np.zeros(len(sig), dtype=np.int64)
                 mark[:2] = int(mix(s).sum()) >> 1 | 1 if n else 1, -1 - n
                 nodes.append(np.full(len(sig), node))
                 sigs.append(sig)
                 marks.append(mark)
+                bins += [None, histogram(s), *[None] * (len(sig) - 2)]
                 if len(nodes) == 256:
-                    yield rows(nodes, sigs, marks)
-                    nodes, sigs, marks = [], [], []
+                    yield rows(nodes, sigs, marks, bins)
+                    nodes, sigs, marks, bins = [], [], [], []
             if nodes:
-                yield rows(nodes, sigs, marks)
+                yield rows(nodes, sigs, marks, bins)
 
-    def rows(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["node", "sig", "x"])
+    def rows(nodes, sigs, marks, bins):
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), pa.int64()) for c in (nodes, sigs, marks)), pa.array(bins, pa.binary())], names=["node", "sig", "x", "bins"])
 
-    return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "node long, sig long, x long")
+    return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
 
 
 def shared(rows: DataFrame, keep: str = "c > 1") -> DataFrame:
@@ -111,43 +107,43 @@ def fitting(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return pairs.where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b").distinct()
 
 
-def apart(size: str, partner: str, similarity: tuple[int, int]) -> str:
-    num, den = similarity
-    return f"(({size} + {partner}) * {den - num} div {den + num})"
-
-
 def candidates(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs of small groups with as many common signatures as the similarity asks for; leader and member of other groups.
 
-    Both sets have D + 1 signatures, so a pair that is nearer than the worst case has a surplus in
-    common. Those that may be in large groups are not counted against it.
+    Signatures that a pair may have in common in large groups are not counted against it.
     """
     num, den = similarity
-    band = F.col("sig").bitwiseAND(F.lit(1)).alias("band")
-    inside = groups.groupBy("node", band).agg(F.sum((F.col("c") > SMALL_GROUP).cast("long")).alias("large"))
-    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n", band).join(inside, ["node", "band"]).select("sig", "node", "n", "large")
+    large = groups.groupBy("node").agg(F.sum((F.col("c") > SMALL_GROUP).cast("long")).alias("large"))
+    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n").join(large, "node").select("sig", "node", "n", "large")
     a, b = small.toDF("sig", "a", "na", "la"), small.toDF("sig", "b", "nb", "lb")
     met = a.join(b, "sig").where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)")
-    met = met.groupBy("a", "b", band).agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.min(F.least("la", "lb")).alias("large"))
-    widest = lambda n: apart(n, f"{n} * {den} div {num}", similarity)
-    surplus = f"least({widest('na')}, {widest('nb')}) + 1 - {apart('na', 'nb', similarity)}"
+    met = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.min(F.least("la", "lb")).alias("large"))
+    overlap = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    room = lambda n: f"({n} - ({n} * {num} + {den - 1}) div {den} + 1 + {n} * {SPARE} div 100 - ({n} - {overlap}))"
     star = groups.where(f"c > {SMALL_GROUP} AND node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    return met.where(f"common + large >= {surplus}").select("a", "b").union(star).distinct()
+    return met.where(f"common + large >= least({room('na')}, {room('nb')})").select("a", "b").union(star).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: by hashes cut to few bits, which never hide a likeness, then by the whole ones."""
+def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: by histograms, which never hide a likeness, then by the whole sets."""
     num, den = similarity
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def comparing(parse, shared):
+        def compare(batches):
+            for batch in batches:
+                near = []
+                for a, b, na, nb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                    fits = num * max(na, nb) <= den * min(na, nb)
+                    near.append(fits and (num + den) * shared(parse(a), parse(b)) >= num * (na + nb))
+                mask = pa.array(near, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+        return compare
 
     def sets(batches):
         for batch in batches:
             whole = [shingle_set(t.as_buffer().to_pybytes(), words) for t in batch.column(1)]
-            short = [np.sort(s.astype(np.uint16 if len(s) <= 4096 else np.uint32)) for s in whole]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([s.tobytes() for s in c], pa.binary()) for c in (whole, short)), pa.array([len(s) for s in whole], pa.int64())],
-                names=["node", "s", "short", "n"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in whole], pa.binary()), pa.array([len(s) for s in whole], pa.int64())], names=["node", "s", "n"])
 
     def common(x: np.ndarray, y: np.ndarray) -> int:
         if not len(x) or not len(y):
@@ -155,33 +151,21 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int], wor
         at = np.searchsorted(y, x)
         return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
-    def comparing(parse):
-        def compare(batches):
-            for batch in batches:
-                near = []
-                for a, b, na, nb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                    fits = num * max(na, nb) <= den * min(na, nb)
-                    met = common(*parse(a, b, na, nb)) if fits else 0
-                    near.append(fits and den * met >= num * (na + nb - met))
-                mask = pa.array(near, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-        return compare
+    def kept(pairs: DataFrame, rows: DataFrame, compare) -> DataFrame:
+        met = pairs.join(rows.toDF("a", "sa", "na"), "a").join(rows.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb")
+        return stash(met.mapInArrow(compare, "a long, b long").distinct(), "near")
 
-    def cut(a, b, na, nb):
-        x, y = (np.frombuffer(s, np.uint16 if n <= 4096 else np.uint32) for s, n in ((a, na), (b, nb)))
-        return (x, y) if x.dtype == y.dtype else tuple(np.sort(s.astype(np.uint16)) for s in (x, y))
+    pairs = kept(pairs, sizes.select("node", "bins", "n"), comparing(bytes, may_share))
+    wanted = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    rows = stash(of_nodes(docs, wanted).mapInArrow(sets, "node long, s binary, n long"), "sets")
+    return kept(pairs, rows, comparing(lambda s: np.frombuffer(s, np.uint64), common))
 
-    def full(a, b, na, nb):
-        return np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
 
-    rows = texts(docs).join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(sets, "node long, s binary, short binary, n long")
-    rows = stash(rows, "sets")
-    for column, parse in (("short", cut), ("s", full)):
-        one = rows.select("node", column, "n")
-        met = pairs.join(one.toDF("a", "sa", "na"), "a").join(one.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb")
-        pairs = stash(met.mapInArrow(comparing(parse), "a long, b long").distinct(), "near")
-    return pairs
+def of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ``nodes`` (node); the ids are broadcast while they are few enough."""
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    return texts(docs).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
 
 
 def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = 5) -> DataFrame:
@@ -194,23 +178,26 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     table gives no row. Only doc_id and text are read.
     """
     known = stash(shared(signed(docs, similarity, words), "c > 1 OR x <> 0"), "signatures")
-    sizes = known.where("x < 0").groupBy("node").agg((-1 - F.min("x")).alias("n"))
-    sets = stash(known.where("x > 0").select("node", F.col("x").alias("h")).distinct().join(sizes, "node"), "sizes")
+    sizes = stash(known.where("x < 0").select("node", (-1 - F.col("x")).alias("n"), "bins"), "sizes")
+    hashes = known.where("x > 0").select("node", F.col("x").alias("h")).distinct().join(sizes.select("node", "n"), "node")
     # Equal sets, by size and hash: one of them stands for all.
-    reps = sets.where("n > 0").groupBy("n", "h").agg(F.min("node").alias("rep"))
-    alike = stash(sets.join(reps, ["n", "h"]).select("node", "rep", "n"), "alike")
+    reps = hashes.where("n > 0").groupBy("n", "h").agg(F.min("node").alias("rep"))
+    alike = stash(hashes.join(reps, ["n", "h"]).select("node", "rep", "n"), "alike")
     own = alike.where("node = rep").select("node", "n").distinct()
-    groups = stash(shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node")), "groups")
+    met = shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node"))
+    # Any partner has more signatures in common than its own spare ones, and it has no fewer features than t * n.
+    enough = F.count("*").over(Window.partitionBy("node")) > F.expr(f"((n * {similarity[0]} + {similarity[1] - 1}) div {similarity[1]}) * {SPARE} div 100")
+    groups = stash(met.withColumn("enough", enough).where("enough").drop("enough"), "groups")
     pairs = stash(candidates(groups, similarity), "pairs")
-    links = verified(docs, pairs, similarity, words)
+    links = verified(docs, sizes, pairs, similarity, words)
 
     held = stash(crowded(docs, groups, components(links), similarity, words), "rare")
     star = stash(led(held).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(docs, star, similarity, words)
+    more = verified(docs, sizes, star, similarity, words)
     rest = stash(apart_pairs(held, components(links.union(more)), similarity).join(pairs.union(star), ["a", "b"], "left_anti"), "pairs")
     same = alike.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    part = components(reduce(DataFrame.union, [links, same, more, verified(docs, rest, similarity, words)]))
-    whole = sizes
+    part = components(reduce(DataFrame.union, [links, same, more, verified(docs, sizes, rest, similarity, words)]))
+    whole = sizes.groupBy("node").agg(F.max("n").alias("n"))
     return whole.join(part, "node", "left").select(
         F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
@@ -232,7 +219,7 @@ def crowded(docs: DataFrame, groups: DataFrame, found: DataFrame, similarity: tu
                 s = shingle_set(text.as_buffer().to_pybytes(), words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["node", "n", "feature"])
 
-    rows = texts(docs).join(members, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(features, "node long, n long, feature long")
+    rows = of_nodes(docs, stash(members, "members")).mapInArrow(features, "node long, n long, feature long")
     met = rows.withColumn("c", F.count("*").over(Window.partitionBy("feature"))).where("c > 1")
     # Features of one text alone are its rarest: they take the first places, though their rows are gone.
     own = Window.partitionBy("node")
