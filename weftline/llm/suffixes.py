@@ -198,7 +198,7 @@ def dealt_spans(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for own, doc_id, k, at, left, right, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = left + right
+                text = left[::-1] + right  # the text before the anchor is held reversed
                 hashes, down = prefix_hashes(text)
                 x = np.arange(max(0, length - len(right)), len(left) + 1)
                 s = len(left) - x
