@@ -90,8 +90,8 @@ def with_next(docs: DataFrame, payload: list[Column]) -> DataFrame:
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("tie", F.xxhash64("text"))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("f"))  # a row for each range
     order = Window.orderBy("bucket")
-    last = firsts.agg(F.max("bucket").alias("last"))
-    before = firsts.select("f", F.lag("bucket").over(order).alias("to")).crossJoin(last).select(F.col("f.doc_id").alias("d"), F.col("f.tie").alias("t"), F.coalesce("to", "last").alias("to"))
+    to = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    before = firsts.select(F.col("f.doc_id").alias("d"), F.col("f.tie").alias("t"), to.alias("to"))
     guests = rows.join(F.broadcast(before), rows["doc_id"].eqNullSafe(before["d"]) & (rows["tie"] == before["t"]))
     guests = guests.select("doc_id", "text", F.col("to").alias("bucket"), "tie", F.lit(True).alias("guest"))
     dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests).select("doc_id", "bucket", "tie", "guest", *payload)
