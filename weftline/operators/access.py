@@ -70,24 +70,34 @@ def text_units_from_facts(seeds: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """Component (least member) of every node of the undirected pairs (a, b), by label spreading with pointer jumps, each round checkpointed."""
+    """node, label (the least member of its component) of the undirected pairs (a, b).
+
+    Rounds of stars: each node's greater neighbours are hung on its least one, then its lesser ones
+    too, until nothing changes. Each round is checkpointed.
+    """
     spark = pairs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.toDF("b", "m"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        step = labels.join(near, "node").select("node", F.least("label", "m").alias("label"))
-        jumped = step.join(step.toDF("label", "next"), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint()
-        changed = jumped.join(labels.toDF("node", "old"), "node").where("label <> old").isEmpty()
-        labels = jumped
-        if changed:
-            return labels
+
+    def hung_low(edges: DataFrame) -> DataFrame:
+        down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        return down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(low.select("m", "u")).where("a <> b").distinct()
+
+    def hung_high(edges: DataFrame) -> DataFrame:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+
+    now, before = hung_low(pairs).checkpoint(), None
+    while before is None or before.count() != now.count() or not now.join(before, ["a", "b"], "left_anti").isEmpty():
+        now, before = hung_low(hung_high(now)).checkpoint(), now
+    return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select("a", "a").distinct())
 
 
 def largest_component(pairs: DataFrame) -> DataFrame:
     """The edges of the largest component, each from its lesser end, in order; of equal ones that with the least member."""
+    pairs = pairs.select("a", "b").persist()
     labels = components(pairs)
     top = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1)
     kept = labels.join(top.select("label"), "label", "left_semi").select(F.col("node").alias("a"))
