@@ -1,6 +1,7 @@
 """Operators on small hand-made tables: planted cases and awkward rows."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -154,6 +155,59 @@ def test_mixing():
     assert (take <= np.array([n for _, n in cells])).all()
 
 
+def brute_rake(docs, targets):
+    """Probability of each (source, lang, text) by plain dictionaries."""
+    import zlib
+
+    def cell(source, lang, text):
+        word = next((w for w in (text or "").split(" ") if len(w) >= 9), None)
+        return str(source or "null"), str(lang or "null"), f"t{zlib.crc32(word.lower().encode()) % 8}" if word else "none"
+
+    have = Counter()
+    for d in docs:
+        have[cell(*d)] += len(d[2].split(" ")) if d[2] else 0
+    total = sum(have.values())
+    take = {c: targets.keep * n for c, n in have.items()}
+    sums = [Counter(), Counter(), Counter()]
+    for c, n in have.items():
+        for k in range(3):
+            sums[k][c[k]] += n
+    for _ in range(targets.rounds):
+        for k, axis in enumerate(("source", "lang", "topic")):
+            if axis in targets.shares:
+                listed = {v: targets.shares[axis][v] for v in sums[k] if v in targets.shares[axis]}
+                rest = total - sum(n for v, n in sums[k].items() if v not in listed)
+                want = {v: listed[v] / sum(listed.values()) * rest if v in listed else n for v, n in sums[k].items()}
+            else:
+                flat = {v: n**targets.temperature for v, n in sums[k].items()}
+                want = {v: x / sum(flat.values()) * total for v, x in flat.items()}
+            now = Counter()
+            for c, t in take.items():
+                now[c[k]] += t
+            take = {c: min(have[c], t * targets.keep * want[c[k]] / now[c[k]]) if now[c[k]] else 0.0 for c, t in take.items()}
+    return {d: take[cell(*d)] / have[cell(*d)] if have[cell(*d)] else 1.0 for d in docs}
+
+
+def mixed(spark, docs, targets):
+    table = spark.createDataFrame([(k, t, g, s) for k, (s, g, t) in enumerate(docs)], "doc_id long, text string, lang string, source string")
+    rows = mixing.calibrated(table, targets).collect()
+    assert len(rows) == len(docs)
+    return {(r.source, r.lang, r.text): r.probability for r in rows}
+
+
+def test_mixing_keeps_values_that_no_target_lists(spark):
+    """A third of the rows have no language or one that is not listed."""
+    r = random.Random(8)
+    docs = [(r.choice("abc"), r.choice(["en", "en", "de", "de", None, "it"]), " ".join(r.choice(["some", "plain", "different", "languages"]) for _ in range(9)) + f" {k}") for k in range(400)]
+    targets = mixing.Targets(shares={"lang": {"en": 0.75, "de": 0.25, "fr": 0.5}}, keep=0.4, rounds=30)
+    got, want = mixed(spark, docs, targets), brute_rake(docs, targets)
+    assert all(abs(got[d] - want[d]) < 1e-6 for d in docs) and min(got.values()) > 0
+    size = {g: sum(len(d[2].split()) for d in docs if d[1] == g) for g in ("en", "de", None, "it")}
+    taken = {g: sum(got[d] * len(d[2].split()) for d in docs if d[1] == g) for g in size}
+    for g in (None, "it"):
+        assert abs(taken[g] / sum(taken.values()) - size[g] / sum(size.values())) < 1e-3
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(45)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), __import__("pyspark.sql.functions", fromlist=["x"]).expr("vec_id % 20 = 0"))
