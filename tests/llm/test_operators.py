@@ -208,6 +208,18 @@ def test_mixing_keeps_values_that_no_target_lists(spark):
         assert abs(taken[g] / sum(taken.values()) - size[g] / sum(size.values())) < 1e-3
 
 
+@pytest.mark.parametrize("driver_cells", [0, 100_000])
+def test_mixing_rakes_every_source(spark, monkeypatch, driver_cells):
+    """More sources than any cap, one of them called other, and a wanted language that is rare; by both ways."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", driver_cells, raising=False)
+    r = random.Random(9)
+    docs = [(f"s{k % 260}", r.choice(["en", "de"]), " ".join(r.choice(["some", "plain", "different", "languages"]) for _ in range(2 + k % 7)) + f" {k}") for k in range(700)]
+    docs += [("other", "en", f"several words here {k}") for k in range(20)] + [("s3", "fr", "rare words")] + [(f"s{k}", f"x{k}", f"one {k}") for k in range(210)] + [("s5", None, "")]
+    targets = mixing.Targets(shares={"lang": {"en": 0.5, "de": 0.4, "fr": 0.1}}, keep=0.5, rounds=4)
+    got, want = mixed(spark, docs, targets), brute_rake(docs, targets)
+    assert all(abs(got[d] - want[d]) < 1e-9 for d in docs) and min(got.values()) > 0
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(45)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), __import__("pyspark.sql.functions", fromlist=["x"]).expr("vec_id % 20 = 0"))
