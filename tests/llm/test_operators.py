@@ -251,3 +251,74 @@ def test_empty(docs, name):
 @pytest.mark.parametrize("name", sorted(set(EMPTY) - {"jaccard"}))
 def test_awkward(awkward, name):
     assert EMPTY[name](awkward).count() >= (0 if name == "mixing" else 9)
+
+
+def test_pipeline_brute_force(spark):
+    """All stages on rows without doc_id, doc_ids of several texts, equal rows, near copies and secrets."""
+    import re
+    import zlib
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as c
+
+    r = random.Random(12)
+    prose = lambda n: [r.choice(["river", "mountain", "ordinary", "weather", "little", "garden"]) + r.choice("abcdefgh") for _ in range(n)]
+    rows, lang = [], lambda: r.choice(["en", "en", "de", None, "it"])
+    for k in range(40):
+        text = prose(60)
+        rows.append((k, " ".join(text), lang(), f"s{k % 3}"))
+        if k % 4 == 0:  # another text under the same id
+            rows.append((k, " ".join(prose(50)), lang(), "s1"))
+        if k % 5 == 0:  # a near copy, under a larger id or an id that has another text
+            text[30] = "changed"
+            rows.append((1000 + k if k % 2 else k + 1, " ".join(text), lang(), "s2"))
+        if k % 6 == 0:  # no id
+            rows.append((None, " ".join(text), lang(), "s0"))
+        if k % 7 == 0:  # the same row again, of another source
+            rows.append((*rows[-1][:3], "s9"))
+    rows += [(500, " ".join(prose(30)) + " password=Abcdef123456 " + " ".join(prose(20)), "en", "s1"), (501, None, "en", "s1"), (502, "12 34 56", "en", "s1")]
+    docs = c.stash(spark.createDataFrame([(d, t, g, s, len(t or "")) for d, t, g, s in rows], DOCS), "t")  # noqa: F405
+    plain = lambda df: sorted((tuple(x[n] for n in ("doc_id", "text", "lang", "source", "n_chars")) for x in df.collect()), key=repr)
+
+    first = c.stash(c.language_id(spark, docs, ""), "t")
+    model = language.fit(language.labelled(docs))
+    judged = [bool(t and re.search("[a-z]", t)) and not language.judged(model, language.pa.array([t]), language.np.array([True]))[2][0] for _, t, _, _ in rows]
+    assert plain(first) == sorted(((d, t, g, s, len(t or "")) for ok, (d, t, g, s) in zip(judged, rows, strict=True) if ok), key=repr)
+
+    second = c.stash(c.near_duplicates(spark, first, ""), "t")
+    came = plain(first)
+    nodes = sorted({(d, t) for d, t, *_ in came if d is not None})
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in nodes]
+    label = list(range(len(nodes)))
+    for a in range(len(nodes)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    want = [x for x in came if x[0] is None]
+    for group in set(label):
+        own = min(nodes[k][0] for k in range(len(nodes)) if label[k] == group)
+        texts = {nodes[k][1] for k in range(len(nodes)) if label[k] == group and nodes[k][0] == own}
+        here = [x for x in came if x[0] == own and x[1] in texts]
+        assert len(texts) == 1
+        want.append(min(here, key=lambda x: (x[2] or "", x[3])))
+    assert plain(second) == sorted(want, key=repr)
+    assert len({x[0] for x in want if x[0] is not None}) < len([x for x in want if x[0] is not None])
+
+    third = c.stash(c.secret_masks(spark, second, ""), "t")
+    masked = [(d, re.sub(r"(password=)[A-Za-z0-9]+", "<secret>", t), g, s) for d, t, g, s, _ in plain(second)]
+    assert plain(third) == sorted(((d, t, g, s, len(t)) for d, t, g, s in masked), key=repr)
+
+    fourth = c.stash(c.mix(spark, third, ""), "t")
+    chance = brute_rake([(s, g, t) for _, t, g, s, _ in plain(third)], c.MIX)
+    draw = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(42))).otherwise(F.xxhash64("doc_id", F.lit(42)))
+    u = {(x.doc_id, x.text): x.u for x in third.select("doc_id", "text", (F.pmod(draw, F.lit(1 << 53)) / float(1 << 53)).alias("u")).collect()}
+    assert len({v for (d, _), v in u.items() if d is None}) > 1
+    assert plain(fourth) == [x for x in plain(third) if u[x[0], x[1]] < chance[x[3], x[2], x[1]]]
+
+    encoder = packing.Encoder("byte_bpe_50k.tiktoken")
+    ids = lambda t: encoder.encode(t) + (2).to_bytes(4, "little")
+    packed = c.pack(spark, fourth, "").collect()
+    assert sorted(((x.doc_id, x.length, x.ids_crc32) for x in packed), key=repr) == sorted(((d, len(ids(t)) // 4, zlib.crc32(ids(t))) for d, t, *_ in plain(fourth)), key=repr)
+    for q in {x.sequence_id for x in packed}:
+        parts = sorted((x.offset, x.length) for x in packed if x.sequence_id == q)
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 1024
