@@ -253,6 +253,22 @@ def test_awkward(awkward, name):
     assert EMPTY[name](awkward).count() >= (0 if name == "mixing" else 9)
 
 
+def test_language_of_few_texts_is_learned(spark, monkeypatch):
+    """A language whose rows are copies of few texts, and a text that many rows of another hold."""
+    from pyspark.sql import functions as F
+
+    en = [" ".join(words(3, k)) + " the quick brown fox and the lazy dog" for k in range(60)]
+    pool = ["der schnelle braune fuchs", "ein ganz anderer satz", "noch ein kurzer text"]
+    table = spark.createDataFrame([(t, "en") for t in en] + [(en[0], "en")] * 700 + [(t, "de") for t in pool for _ in range(300)], "text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "clusters", lambda x, k: seen.append(len(x)) or x[:k])
+    model = language.fit(table, sample_each=5)
+    assert set(model.languages) == {"de", "en"} and seen == [3, 5]
+    by_hash = sorted(table.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h")).distinct().collect(), key=lambda r: r.h)
+    want = language.unit(language.tf_rows(language.pa.array([r.text for r in by_hash if r.lang == "en"][:5])) * model.idf)[:4]
+    assert language.np.allclose(model.centroids[[g == "en" for g in model.languages]], want)
+
+
 def test_pipeline_brute_force(spark):
     """All stages on rows without doc_id, doc_ids of several texts, equal rows, near copies and secrets."""
     import re

@@ -5,7 +5,8 @@ centroids, found by spherical k-means over labelled rows. The language of the ce
 cosine wins; a text that is farther from it than nearly all labelled rows were is rejected.
 
 Document frequencies count every labelled row. The k-means runs on the driver over a sample of at
-most ``SAMPLE_ROWS`` rows (``SAMPLE_EACH`` of a language, drawn by a hash of the text).
+most ``SAMPLE_ROWS`` distinct texts (``SAMPLE_EACH`` of a language, drawn by a hash of the text, and
+one of each at least, so every language is learned however often its texts are repeated).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import texts
@@ -96,7 +97,9 @@ def held_out():
 def fit(rows: DataFrame, centroids: int = CENTROIDS, sample_each: int = SAMPLE_EACH, sample_rows: int = SAMPLE_ROWS) -> Centroids:
     """Learn from the columns text and lang of ``rows``, which must hold neither nulls nor texts without letters."""
     rows = rows.select("text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("n_texts")).orderBy("lang").collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return Centroids([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), 0.0)
 
@@ -113,19 +116,23 @@ def fit(rows: DataFrame, centroids: int = CENTROIDS, sample_each: int = SAMPLE_E
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
 
     each = max(1, min(sample_each, sample_rows // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * each / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    # Twice what is taken and 50: fewer than are wanted come with no chance that matters, and few meet in a language's task.
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, (2 * each + 50) / max(r["n_texts"], 1)))])
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches):
         for batch in batches:
             tf = [t.tobytes() for t in tf_rows(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(tf, pa.binary()), batch.column(2)], names=["lang", "tf", "draw"])
 
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h"))
+    some = rows.select("lang", "h", draw.alias("draw")).where(F.col("draw") < share[F.col("lang")]).distinct()
+    first = some.withColumn("place", order).where(F.col("place") <= each).drop("place")
+    drawn = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h", "draw").agg(F.min("text").alias("text"))
     sample = drawn.select("text", "lang", "draw").mapInArrow(vectors, "lang string, tf binary, draw double").collect()
     names, centres, own = [], [], []
     for lang in counts:
-        picked = sorted((r["draw"], r["tf"]) for r in sample if r["lang"] == lang)[:each]
+        picked = sorted((r["draw"], r["tf"]) for r in sample if r["lang"] == lang)
         if picked:
             x = unit(np.array([np.frombuffer(tf, np.float32) for _, tf in picked]) * idf)
             c = clusters(x, centroids)
