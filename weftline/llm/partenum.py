@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by PartEnum signatures.
+"""N-gram Jaccard join by prefix filtering, which replaced PartEnum.
 
-The feature domain is cut by hash into 2^32 partitions, so fine that a partition holds one feature
-of a set; the enumerated subsets are single partitions, whose projections are the signatures. (With
-coarser partitions both sides' odd features spoil projections, and the join of 0.5 GB took more disk
-than it may: see the README.) Two sets of similarity t or more, of sizes a and b, have at least
+The signatures of a set are its first features in hash order; there are no partitions of several
+features, no size bands and no enumerated subsets. (With partitions both sides' odd features spoil
+projections, and the join of 0.5 GB took more disk than it may, beyond 2.34 GB: see the README.)
+Two sets of similarity t or more, of sizes a and b, have at least
 o = t / (1 + t) * (a + b) features in common, so of signatures in one order for all sets, the first
 a - t * a + 1 of either have one in common. As many and ``SPARE`` more are enumerated; then a pair
 has more than ``SPARE`` in common, and sets with fewer that any other has need no further look.
