@@ -59,13 +59,20 @@ def test_suffixes(docs):
     assert got == {k: v[:3] for k, v in brute_dedup(list(enumerate(texts)), 400).items()}
 
 
-def test_suffix_groups_beyond_one_task(docs, monkeypatch):
-    monkeypatch.setattr(suffixes, "SORTED_GROUP", 3)
+@pytest.mark.parametrize("limit", [1, 3])
+def test_suffix_groups_beyond_one_task(docs, monkeypatch, limit):
+    """Groups that are split: shifted passages, exact copies, a repeated row, edits at all places."""
+    monkeypatch.setattr(suffixes, "SORTED_GROUP", limit)
     r = random.Random(9)
     passage = "".join(r.choice("abcd ") for _ in range(500))
     texts = ["".join(r.choice("efgh ") for _ in range(150)) + passage[k : 450 + k] for k in range(8)]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffixes.dedup(docs(*texts)).collect()}
-    assert got == {k: v[:3] for k, v in brute_dedup(list(enumerate(texts)), 400).items()}
+    for k in range(12):
+        texts.append(passage[: 40 * k] + "X" + passage[40 * k + 1 :])
+    texts += [texts[0], texts[9], "z" * 900]
+    every = list(enumerate(texts))
+    got = [(x.doc_id, (x.n_bytes, x.n_removed, x.n_spans)) for x in suffixes.dedup(docs(*every, every[3])).collect()]
+    want = brute_dedup([*every, (99, texts[3])], 400)
+    assert dict(got) == {k: v[:3] for k, v in want.items() if k != 99} and len(got) == len(every) + 1
 
 
 def test_suffix_sort():

@@ -134,14 +134,14 @@ def brute_dedup(texts, length):
 
 
 def test_op10(spark):
-    want = brute_dedup([(d.doc_id, d.text) for d in rows(spark, "documents") if len(d.text or "") < 8000], 400)
-    short = spark.read.parquet(f"{SF}/documents.parquet").where("coalesce(length(text), 0) < 8000")
-    from pyspark.sql import functions as F
-
-    from weftline.llm import suffixes
-
-    got = suffixes.dedup(short).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert {r[0]: tuple(r)[1:] for r in got} == want
+    """The registered query on the whole table."""
+    texts = {d.doc_id: d.text for d in rows(spark, "documents")}
+    want = brute_dedup(list(texts.items()), 400)
+    got = catalog.op10_suffix_dedup(spark, SF).collect()
+    assert {r[0]: tuple(r)[1:5] for r in got} == want and len(got) == len(want)
+    assert any(n for _, n, *_ in want.values())
+    for r in got:
+        assert r.n_chars == len(r.text) and (r.n_removed or r.text == (texts[r.doc_id] or ""))
 
 
 def test_pipeline(spark):

@@ -56,7 +56,8 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.dedup(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), suffixes.as_text(F.col("kept")).alias("text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

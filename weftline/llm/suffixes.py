@@ -1,28 +1,33 @@
 """Suffix-array dedup: bytes covered by long strings that also start elsewhere.
 
 Every string of ``LENGTH`` bytes holds one gram of ``GRAM`` bytes that its content alone picks (the
-least hash in it, leftmost), so equal strings meet in the group of an equal gram, their anchor. An
-anchor whose whole surroundings occur twice is done at once. The others of its group are sorted by
-the suffix that starts at the anchor and by the reversed text before it: a merge sort whose
-comparisons find the common extension by binary search over prefix hashes, so each takes a
-logarithmic number of steps. The neighbours' common extensions are verified byte by byte; they tell
-which anchors agree on x bytes before and ``LENGTH`` - x from the anchor on.
+least hash in it, leftmost), so equal strings meet in the group of an equal gram, their anchor.
+Anchors with equal surroundings, told by a 128-bit BLAKE2 digest of the bytes, are done at once and
+leave one of them to the rest. The anchors of a group are sorted by the suffix that starts at the
+anchor and by the reversed text before it: a merge sort whose comparisons find the common extension
+by binary search over prefix hashes, so each takes a logarithmic number of steps. The neighbours'
+common extensions are verified byte by byte; they tell which anchors agree on x bytes before and
+``LENGTH`` - x from the anchor on. Groups too large for a task are split by the bytes next to the
+anchor, and the parts sorted.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stash, texts
 from weftline.llm.shingles import mix, prefix_hashes
 
 LENGTH, GRAM = 400, 200
-#: Anchors of one gram that one task sorts (some 12 MB); groups beyond that are dealt out by string.
-SORTED_GROUP = 20_000
-_PLACE_BITS = np.uint64(28)
+#: Anchors that are sorted together (some 3 MB); larger groups are split.
+SORTED_GROUP = 5_000
+_PLACE_BITS = np.uint64(32)
 
 
 def anchors(hashes: np.ndarray, down: np.ndarray, size: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -39,26 +44,30 @@ def anchors(hashes: np.ndarray, down: np.ndarray, size: int, length: int = LENGT
     return at, own[at]
 
 
+ANCHORS = "doc_id long, k long, at long, before int, after int, own long, d1 long, d2 long"
+
+
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, k, at, before, after, own, around: every anchor with the extent of its surroundings and their hash."""
+    """doc_id, k, at, before, after, own, d1, d2: every anchor with the extent of its surroundings and their digest in two halves."""
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for doc_id, text, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 if len(raw) < length:
                     continue
-                hashes, down = prefix_hashes(raw)
-                at, own = anchors(hashes, down, len(raw), length, gram)
+                at, own = anchors(*prefix_hashes(raw), len(raw), length, gram)
                 lo, hi = np.maximum(at - (length - gram), 0), np.minimum(at + length, len(raw))
-                around = mix(mix((hashes[hi] - hashes[lo]) * down[lo]) + ((at - lo) * 4096 + (hi - at)).astype(np.uint64))
-                for c, v in zip(columns, ([doc_id] * len(at), [k] * len(at), at, at - lo, hi - at, own.view(np.int64), around.view(np.int64)), strict=True):
-                    c.append(pa.array(v, pa.int64()))
+                digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+                halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                for c, v, t in zip(columns, ([doc_id] * len(at), [k] * len(at), at, at - lo, hi - at, own.view(np.int64), *halves.T), kind, strict=True):
+                    c.append(pa.array(v, t))
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "k", "at", "before", "after", "own", "around"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "k", "at", "before", "after", "own", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, k long, at long, before long, after long, own long, around long")
+    kind = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3
+    return docs.mapInArrow(run, ANCHORS)
 
 
 class Suffixes:
@@ -156,12 +165,12 @@ def agreements(group: np.ndarray, before: list[bytes], after: list[bytes], lengt
 
 
 def sorted_spans(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of anchors by sorting the groups of a gram, several small groups at once."""
+    """Spans of anchors by sorting groups (``part``), several small ones at once."""
 
     def spans(held):
         columns = [sum((c[k] for c in held), []) for k in range(7)]
-        own, doc_id, k, at, before, after, alone = columns
-        group = np.unique(np.array(own), return_inverse=True)[1]
+        part, doc_id, k, at, before, after, alone = columns
+        group = np.unique(np.array(part, dtype=object), return_inverse=True)[1]
         most, least = agreements(group, before, after, length)
         use = (most >= 0) & np.array(alone)
         at = np.array(at)
@@ -174,60 +183,80 @@ def sorted_spans(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            own = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            part = batch.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(part)) if part[i] != part[i - 1]), len(part)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b == a:
                     continue
-                part = [c.slice(a, b - a).to_pylist() for c in batch.columns]
-                if size > 4000 and held[-1][0][-1] != part[0][0]:
+                rows = [c.slice(a, b - a).to_pylist() for c in batch.columns]
+                if size > 4000 and held[-1][0][-1] != rows[0][0]:
                     yield spans(held)
                     held, size = [], 0
-                held.append(part)
+                held.append(rows)
                 size += b - a
         if held:
             yield spans(held)
 
-    dealt = rows.repartition("own").sortWithinPartitions("own")
-    return dealt.select("own", "doc_id", "k", "at", "left", "right", "alone").mapInArrow(run, "doc_id long, k long, start long, end long")
+    dealt = rows.repartition("part").sortWithinPartitions("part")
+    return dealt.select("part", "doc_id", "k", "at", "left", "right", "alone").mapInArrow(run, "doc_id long, k long, start long, end long")
 
 
-def dealt_spans(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of anchors in very large groups: every string at an anchor as a row, counted by hash."""
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``kinds``, the size of their ``part``; counts are combined before the shuffle."""
+    return rows.join(rows.groupBy("part").agg(F.count("*").alias("kinds")), "part")
 
-    def run(batches):
-        for batch in batches:
-            for own, doc_id, k, at, left, right, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = left[::-1] + right  # the text before the anchor is held reversed
-                hashes, down = prefix_hashes(text)
-                x = np.arange(max(0, length - len(right)), len(left) + 1)
-                s = len(left) - x
-                h = mix((hashes[s + length] - hashes[s]) * down[s])
-                n = len(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, own)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, k)), pa.array(np.full(n, at)), pa.array([alone] * n, pa.bool_()), pa.array(x), pa.array(h.view(np.int64))],
-                    names=["own", "doc_id", "k", "at", "alone", "x", "h"],
-                )
-
-    named = rows.select("own", "doc_id", "k", "at", "left", "right", "alone")
-    strings = named.mapInArrow(run, "own long, doc_id long, k long, at long, alone boolean, x long, h long")
-    twice = strings.groupBy("own", "x", "h").count().where("count > 1").drop("count")
-    met = strings.where("alone").join(twice, ["own", "x", "h"])
-    return met.groupBy("doc_id", "k", "at").agg(F.max("x").alias("most"), F.min("x").alias("least")).select("doc_id", "k", (F.col("at") - F.col("most")).alias("start"), (F.col("at") + length - F.col("least")).alias("end"))
+
+def split_spans(rows: DataFrame, length: int, limit: int) -> DataFrame:
+    """Spans of anchors (part, doc_id, k, at, left, right, alone, kinds) by sorting groups of up to ``limit``.
+
+    Larger groups are split by the bytes next to their anchors. Two anchors that agree on x bytes
+    before and ``length`` - x after, with x in lo..hi, agree on the lo bytes before and the
+    ``length`` - hi after. So a group is dealt into the halves of its range of x, each by those bytes
+    (a digest of them), until its parts are small. Members whose bytes are alike over all of a half
+    (hi before, ``length`` - lo after) are settled by it and leave one of them to the rest.
+    """
+    out = [sorted_spans(rows.where(f"kinds <= {limit}"), length)]
+    widest = rows.agg(F.max(F.length("left"))).first()[0] or 0
+    large = rows.where(f"kinds > {limit}").withColumns({"lo": F.lit(0), "hi": F.lit(widest)})
+    while not large.isEmpty():
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = large.withColumn("half", F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))))
+        halves = halves.withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).where(f"lo <= hi AND length(left) >= lo AND length(right) >= {length} - hi")
+        near = lambda a, b: F.concat(F.substring("left", F.lit(1), a), F.substring("right", F.lit(1), b))
+        low = F.greatest("lo", length - F.length("right"))
+        high = F.least("hi", F.length("left"))
+        dealt = halves.withColumns({
+            "part": F.sha2(F.concat(F.col("part").cast("binary"), F.concat_ws(",", F.lit(""), "lo", "hi", F.lit("")).cast("binary"), near(F.col("lo"), length - F.col("hi"))), 256),
+            "low": low, "high": high, "bytes": F.sha2(near(high, length - low), 256),
+        })
+        dealt = stash(dealt.select("part", "doc_id", "k", "at", "left", "right", "alone", "lo", "hi", "low", "high", "bytes"), "halves")
+        kind = ["part", "bytes", "low", "high"]
+        first = F.struct("doc_id", "k", "at")
+        kinds = stash(dealt.groupBy(*kind).agg(F.count("*").alias("same"), F.min(first).alias("first")), "kinds")
+        met = dealt.join(kinds, kind)
+        settled = met.where("same > 1 AND alone").select("doc_id", "k", (F.col("at") - F.col("high")).alias("start"), (F.col("at") + length - F.col("low")).alias("end"))
+        rest = met.where(first.eqNullSafe(F.col("first"))).withColumn("alone", F.col("alone") & (F.col("same") == 1))
+        rest = rest.dropDuplicates(["part", "doc_id", "k", "at"])  # a row that repeats comes twice
+        rest = stash(counted(rest.select("part", "doc_id", "k", "at", "left", "right", "alone", "lo", "hi")).where("kinds > 1"), "parts")
+        out += [stash(settled, "settled"), sorted_spans(rest.where(f"kinds <= {limit}"), length)]
+        large = rest.where(f"kinds > {limit}")
+    return reduce(DataFrame.union, out)
 
 
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, k, start, end (bytes): spans covered by strings of ``length`` bytes that also start elsewhere; they overlap."""
-    own, alike = Window.partitionBy("own"), Window.partitionBy("own", "around", "before", "after")
-    counted = anchor_rows(rows, length, gram).withColumn("group", F.count("*").over(own)).where("group > 1")
-    counted = counted.withColumn("same", F.count("*").over(alike)).withColumn("one", F.row_number().over(alike.orderBy("doc_id", "k", "at")) == 1)
-    found = stash(counted, "anchors")
-    done = found.where(f"same > 1 AND before + after >= {length}").select("doc_id", "k", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
+    every = stash(anchor_rows(rows, length, gram), "anchors")
+    crowd = every.groupBy("own").count().where("count > 1").select("own")
+    found = stash(every.join(crowd, "own"), "anchors")
+    kind = ["own", "d1", "d2", "before", "after"]
+    kinds = stash(found.groupBy(*kind).agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "k", "at")).alias("first")), "kinds")
+    done = found.join(kinds.where(f"same > 1 AND before + after >= {length}").select(*kind), kind)
+    done = done.select("doc_id", "k", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
 
     # One anchor of each kind of surroundings, in groups that have some that occur once.
-    kinds = found.where("one").withColumn("kinds", F.count("*").over(own)).withColumn("alone", F.col("same") == 1)
-    kinds = kinds.withColumn("open", F.max("alone").over(own)).where("open AND kinds > 1")
-    wanted = kinds.groupBy("doc_id", "k").agg(F.collect_list(F.struct("at", "before", "after", "own", "alone", "kinds")).alias("places"))
+    groups = kinds.groupBy("own").agg(F.count("*").alias("kinds"), F.min("same").alias("least")).where("kinds > 1 AND least = 1")
+    wanted = kinds.join(groups, "own").select("first.doc_id", "first.k", F.struct("first.at", "before", "after", "own", (F.col("same") == 1).alias("alone"), "kinds").alias("place"))
+    wanted = wanted.groupBy("doc_id", "k").agg(F.collect_list("place").alias("places"))
 
     def surroundings(batches):
         for batch in batches:
@@ -236,16 +265,20 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 raw = text.as_buffer().to_pybytes()
                 for p in places:
                     at = p["at"]
-                    row = (p["own"], doc_id, k, at, raw[at - p["before"] : at][::-1], raw[at : at + p["after"]], p["alone"], p["kinds"])
+                    row = (str(p["own"]), doc_id, k, at, raw[at - p["before"] : at][::-1], raw[at : at + p["after"]], p["alone"], p["kinds"])
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
-            kind = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kind, strict=True)], names=["own", "doc_id", "k", "at", "left", "right", "alone", "kinds"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["part", "doc_id", "k", "at", "left", "right", "alone", "kinds"])
 
     near = rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.k") == F.col("w.k")))
-    text = near.select("r.doc_id", "r.k", "r.text", "w.places").mapInArrow(surroundings, "own long, doc_id long, k long, at long, left binary, right binary, alone boolean, kinds long")
-    text = stash(text, "surroundings")
-    return done.union(sorted_spans(text.where(f"kinds <= {SORTED_GROUP}"), length)).union(dealt_spans(text.where(f"kinds > {SORTED_GROUP}"), length))
+    text = near.select("r.doc_id", "r.k", "r.text", "w.places").mapInArrow(surroundings, "part string, doc_id long, k long, at long, left binary, right binary, alone boolean, kinds long")
+    return done.union(split_spans(stash(text, "surroundings"), length, SORTED_GROUP))
+
+
+def as_text(kept: Column) -> Column:
+    """Kept bytes as a string; what is left of characters that a span cut becomes U+FFFD."""
+    return F.make_valid_utf8(kept.cast("string"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
