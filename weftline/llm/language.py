@@ -11,6 +11,7 @@ one of each at least, so every language is learned however often its texts are r
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,16 @@ def tf_rows(column: pa.Array) -> np.ndarray:
     return np.array([np.log1p(gram_counts(t.as_buffer().to_pybytes())) for t in column], dtype=np.float32).reshape(-1, DIMENSIONS)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as they are sent to the driver: some 2 KB for most texts."""
+    return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(sent: list[bytes]) -> np.ndarray:
+    """The rows of ``tf_rows`` from what ``packed`` gives."""
+    return np.array([np.log1p(np.frombuffer(zlib.decompress(x), np.uint32)) for x in sent], dtype=np.float32).reshape(-1, DIMENSIONS)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -122,19 +133,19 @@ def fit(rows: DataFrame, centroids: int = CENTROIDS, sample_each: int = SAMPLE_E
 
     def vectors(batches):
         for batch in batches:
-            tf = [t.tobytes() for t in tf_rows(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(tf, pa.binary()), batch.column(2)], names=["lang", "tf", "draw"])
+            counts = [packed(gram_counts(t.as_buffer().to_pybytes())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(counts, pa.binary()), batch.column(2)], names=["lang", "counts", "draw"])
 
     order = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h"))
     some = rows.select("lang", "h", draw.alias("draw")).where(F.col("draw") < share[F.col("lang")]).distinct()
     first = some.withColumn("place", order).where(F.col("place") <= each).drop("place")
     drawn = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h", "draw").agg(F.min("text").alias("text"))
-    sample = drawn.select("text", "lang", "draw").mapInArrow(vectors, "lang string, tf binary, draw double").collect()
+    sample = drawn.select("text", "lang", "draw").mapInArrow(vectors, "lang string, counts binary, draw double").collect()
     names, centres, own = [], [], []
     for lang in counts:
-        picked = sorted((r["draw"], r["tf"]) for r in sample if r["lang"] == lang)
+        picked = sorted((r["draw"], r["counts"]) for r in sample if r["lang"] == lang)
         if picked:
-            x = unit(np.array([np.frombuffer(tf, np.float32) for _, tf in picked]) * idf)
+            x = unit(unpacked([counts for _, counts in picked]) * idf)
             c = clusters(x, centroids)
             names += [lang] * len(c)
             centres.append(c)
