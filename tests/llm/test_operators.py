@@ -44,6 +44,40 @@ def test_jaccard_brute_force(docs):
     assert got == dict(enumerate(label))
 
 
+def test_partenum_signatures_meet():
+    """Any two sets at the limit or above share a signature, in every band and across bands; most of unlike ones share none."""
+    import numpy as np
+
+    rng, met, unlike = np.random.default_rng(3), 0, 0
+    for _ in range(1500):
+        a = int(np.exp(rng.uniform(0, np.log(1500))))
+        b = int(rng.integers(-(-3 * a // 4), a * 4 // 3 + 1))
+        common = -(-75 * (a + b) // 175)
+        if common > min(a, b):
+            continue
+        u = np.unique(rng.integers(1 << 63, size=3 * a + 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        rng.shuffle(u)
+        x, y = np.sort(u[:a]), np.sort(np.concatenate([u[:common], u[a : a + b - common]]))
+        sign = lambda s: partenum.signatures(s, (75, 100))
+        assert np.intersect1d(sign(x), sign(y)).size
+        met += 1
+        z = np.sort(np.concatenate([u[: a // 4], u[2 * a : 3 * a - a // 4]]))
+        unlike += np.intersect1d(sign(x), sign(z)).size > 0.1 * len(sign(x))
+    assert met > 1000 and unlike < 0.1 * met
+    small, large = partenum.Scheme(64), partenum.Scheme(256)
+    assert (small.cells, small.spoiled, small.subsets) == (3, 1, [(0, 1), (0, 2), (1, 2)]) and large.subsets == [(0,)]
+
+
+def test_partenum_decides_the_candidates(docs, monkeypatch):
+    """Without signatures no pair is found, however alike the texts."""
+    import numpy as np
+
+    monkeypatch.setattr(partenum, "signatures", lambda s, similarity: np.zeros(0, dtype=np.uint64))
+    base = words(200, 1)
+    got = {r.doc_id: r.component_id for r in partenum.groups_of(docs(" ".join(base), " ".join([*base[:-1], "changed"]))).collect()}
+    assert got == {0: 0, 1: 1}
+
+
 def test_jaccard_awkward(awkward):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.groups_of(awkward).collect()}
     assert got == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (1, 7), 8: (3, 8)}

@@ -1,23 +1,28 @@
-"""N-gram Jaccard join by prefix filtering, which replaced PartEnum.
-
-The signatures of a set are its first features in hash order; there are no partitions of several
-features, no size bands and no enumerated subsets. (With partitions both sides' odd features spoil
-projections, and the join of 0.5 GB took more disk than it may, beyond 2.34 GB: see the README.)
-Two sets of similarity t or more, of sizes a and b, have at least
-o = t / (1 + t) * (a + b) features in common, so of signatures in one order for all sets, the first
-a - t * a + 1 of either have one in common. As many and ``SPARE`` more are enumerated; then a pair
-has more than ``SPARE`` in common, and sets with fewer that any other has need no further look.
+"""N-gram Jaccard join by PartEnum signatures.
+
+Two sets of similarity t or more, of sizes a and b, differ in at most k = (1 - t) / (1 + t) * (a + b)
+features. Sets are put into bands of like size. A band partitions the domain of features into n1
+parts, each of n2 cells; a part in which two sets differ in k2 features at most has a subset of
+n2 - k2 cells in which they are equal, so for each part all such subsets are enumerated and the
+features in each are hashed to one signature. As at most k / (k2 + 1) parts differ in more, a set
+signs its parts in order until it has signed one more than that of those that cannot be empty in
+any subset ("strong" ones, of more than k2 filled cells). A set whose similar sets may be in the
+next band signs in that as well. ``Scheme`` has each band's n1, n2 and k2: subsets of two of three
+cells for small sets, and for large ones, whose signatures are what costs, whole parts (k2 = 0).
 
 Sets that share signatures are candidates. Small groups are compared in full. In a large one every
 member is compared with one leader, so a group of near copies makes as many pairs as it has
 members. Where that leaves a large group in several parts (texts that share a common passage), its
-members sign once more, the rarest features first: of these the first quarter and one must meet. So
-no link is lost, and what very many texts share makes no pairs.
+members are compared by their rarest features, of which the first quarter and one must meet. So no
+link is lost, and what very many texts share makes no pairs. Candidates are verified by histograms,
+which never hide a likeness, and then by their whole sets.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +35,14 @@ from weftline.llm.shingles import mix, shingle_set
 
 #: Similarity as a fraction of whole numbers, so that limits are exact.
 SIMILARITY = (75, 100)
-#: Signatures beyond those that must meet, in hundredths of the set.
-SPARE = 8
+#: Sizes below which a band's parts have three cells, of which all pairs are enumerated.
+SMALL_SETS = 128
 #: Documents whose ids are broadcast when their texts are read again (16 MB); more are joined.
 BROADCAST_IDS = 2_000_000
 #: Members up to which a group is compared in full.
 SMALL_GROUP = 12
 
 
-def least_common(size: int, similarity: tuple[int, int]) -> int:
-    """Features that a set of this size has in common with any similar one, at least."""
-    num, den = similarity
-    return -(-size * num // den)
-
-
 def histogram(features: np.ndarray) -> bytes:
     """Features by their leading bits, about two to a bin; 255 stands for that many or more."""
     bits = max(3, (len(features) // 2).bit_length())
@@ -59,6 +58,85 @@ def may_share(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """How the band of sizes ``low`` .. 2 * ``low`` - 1 is signed."""
+
+    low: int
+
+    @property
+    def top(self) -> int:
+        return 2 * self.low - 1
+
+    @property
+    def cells(self) -> int:
+        return 3 if 16 <= self.low < SMALL_SETS else 1
+
+    @property
+    def spoiled(self) -> int:
+        """k2: features by which two sets may differ in a part and still share a signature of it."""
+        return 1 if self.cells > 1 else 0
+
+    @property
+    def parts(self) -> int:
+        """n1: so many that nearly every set of the band, or just below it, has strong parts enough."""
+        return self.top * (19 if self.cells > 1 else 33) // 100 + 4
+
+    @property
+    def subsets(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.cells), self.cells - self.spoiled))
+
+
+def most_apart(a: int, b: int, similarity: tuple[int, int]) -> int:
+    """Features that are in one only of two similar sets of these sizes, at most."""
+    num, den = similarity
+    return (den - num) * (a + b) // (den + num)
+
+
+def signatures(s: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """The signatures of a set of hashed features, ascending, in its band and, where it must, in the next."""
+    n, (num, den) = len(s), similarity
+    if not n:
+        return s
+    own = Scheme(1 << (n.bit_length() - 1))
+    largest = n * den // num
+    out, spread = [], mix(s)
+    for scheme in (own, Scheme(2 * own.low)):
+        if scheme is own or largest > own.top:
+            out.append(signed_in(s, spread, scheme, most_apart(n, min(largest, scheme.top), similarity)))
+    return np.concatenate(out)
+
+
+def signed_in(s: np.ndarray, spread: np.ndarray, scheme: Scheme, apart: int) -> np.ndarray:
+    """Signatures in one band, for partners that differ in at most ``apart`` features."""
+    n_cells = scheme.cells
+    place = ((s >> np.uint64(32)) * np.uint64(scheme.parts)) >> np.uint64(32)
+    if n_cells > 1:
+        place = place * np.uint64(n_cells) + (((s & np.uint64(0xFFFFFFFF)) * np.uint64(n_cells)) >> np.uint64(32))
+        order = np.argsort(place, kind="stable")
+        place, spread = place[order], spread[order]
+    place = place.astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    cells, sums = place[first], np.add.reduceat(spread, first)  # those that are filled, in order
+
+    strong = np.flatnonzero(np.bincount(cells // n_cells, minlength=scheme.parts) > scheme.spoiled)
+    quota = apart // (scheme.spoiled + 1) + 1
+    # Sets that have too few strong parts meet each other by their empty subsets, too.
+    enough = len(strong) >= quota
+    parts = int(strong[quota - 1]) + 1 if enough else scheme.parts
+    held, filled = np.zeros(parts * n_cells, dtype=np.uint64), np.zeros(parts * n_cells, dtype=bool)
+    here = int(np.searchsorted(cells, parts * n_cells))
+    held[cells[:here]], filled[cells[:here]] = mix(sums[:here]), True
+    held, filled = held.reshape(parts, n_cells), filled.reshape(parts, n_cells)
+    out = []
+    for k, subset in enumerate(scheme.subsets):
+        total, some = np.full(parts, (scheme.low << 34) + (k << 32), dtype=np.uint64) + np.arange(parts, dtype=np.uint64), np.zeros(parts, dtype=bool)
+        for c in subset:
+            total, some = mix(total) + held[:, c], some | filled[:, c]
+        out.append(mix(total[some] if enough else total))
+    return np.concatenate(out)
+
+
 SIGNED = "node long, sig long, x long, bins binary"
 
 
@@ -72,7 +150,7 @@ def signed(docs: DataFrame, similarity: tuple[int, int], words: int) -> DataFram
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 n = len(s)
                 own = mix(np.array([2 * node, 2 * node + 1], dtype=np.int64).view(np.uint64))
-                sig = np.concatenate([own, s[: n - least_common(n, similarity) + 1 + n * SPARE // 100]]).view(np.int64)
+                sig = np.concatenate([own, signatures(s, similarity)]).view(np.int64)
                 mark = np.zeros(len(sig), dtype=np.int64)
                 mark[:2] = int(mix(s).sum()) >> 1 | 1 if n else 1, -1 - n
                 nodes.append(np.full(len(sig), node))
@@ -108,20 +186,11 @@ def fitting(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 
 def candidates(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of small groups with as many common signatures as the similarity asks for; leader and member of other groups.
-
-    Signatures that a pair may have in common in large groups are not counted against it.
-    """
-    num, den = similarity
-    large = groups.groupBy("node").agg(F.sum((F.col("c") > SMALL_GROUP).cast("long")).alias("large"))
-    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n").join(large, "node").select("sig", "node", "n", "large")
-    a, b = small.toDF("sig", "a", "na", "la"), small.toDF("sig", "b", "nb", "lb")
-    met = a.join(b, "sig").where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.min(F.least("la", "lb")).alias("large"))
-    overlap = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
-    room = lambda n: f"({n} - ({n} * {num} + {den - 1}) div {den} + 1 + {n} * {SPARE} div 100 - ({n} - {overlap}))"
+    """Pairs of small groups whose sizes allow the similarity; leader and member of other groups."""
+    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n")
+    met = fitting(small.toDF("sig", "a", "na").join(small.toDF("sig", "b", "nb"), "sig"), similarity)
     star = groups.where(f"c > {SMALL_GROUP} AND node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    return met.where(f"common + large >= least({room('na')}, {room('nb')})").select("a", "b").union(star).distinct()
+    return met.union(star).distinct()
 
 
 def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
@@ -184,10 +253,7 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     reps = hashes.where("n > 0").groupBy("n", "h").agg(F.min("node").alias("rep"))
     alike = stash(hashes.join(reps, ["n", "h"]).select("node", "rep", "n"), "alike")
     own = alike.where("node = rep").select("node", "n").distinct()
-    met = shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node"))
-    # Any partner has more signatures in common than its own spare ones, and it has no fewer features than t * n.
-    enough = F.count("*").over(Window.partitionBy("node")) > F.expr(f"((n * {similarity[0]} + {similarity[1] - 1}) div {similarity[1]}) * {SPARE} div 100")
-    groups = stash(met.withColumn("enough", enough).where("enough").drop("enough"), "groups")
+    groups = stash(shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node")), "groups")
     pairs = stash(candidates(groups, similarity), "pairs")
     links = verified(docs, sizes, pairs, similarity, words)
 
