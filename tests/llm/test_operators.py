@@ -156,6 +156,37 @@ def test_secrets(docs):
 
 def test_secrets_repeated(awkward):
     assert secrets.scan(awkward).count() == 9
+    clashing = awkward.withColumnRenamed("node", "found").withColumnRenamed("sig", "k0").withColumnRenamed("n", "row")
+    masked = secrets.redact(clashing)
+    assert masked.columns == clashing.columns and sorted(map(repr, masked.collect())) == sorted(map(repr, clashing.collect()))
+
+
+def test_secrets_without_id_and_repeated(spark):
+    """Rows without doc_id link their weak parts like others, and rows that repeat keep their spans once."""
+    key = "AKIA" + "A1B2" * 4
+    text = f"id {key}\npwd = hunter2 and more"
+    table = spark.createDataFrame([(None, text), (None, text), (7, text), (None, "pwd = hunter2"), (0, text)], "doc_id long, text string")
+    got = [(r.doc_id, r.spans) for r in secrets.digest(secrets.scan(table)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "access:3:23,weak_secret:24:37")] * 2 + [(k, "access:3:23,weak_secret:24:37") for k in (7, 0)] + [(None, "")], key=repr)
+
+
+def brute_spans(text, scope=200):
+    """All spans by Python's re and every pair of parts."""
+    import re
+
+    flags = lambda k: re.A | (re.I if k.pattern.startswith("(?i)") else 0)
+    found = [(m.start(), n, m.end(), k) for n, k in enumerate(secrets.KINDS) for m in re.finditer(k.pattern.removeprefix("(?i)"), text, flags(k)) if len(m[k.group]) >= k.least]
+    near = lambda x, y: abs(x[0] - y[0]) <= scope and y[3].role in secrets.COMPLEMENTS[x[3].role]
+    return ",".join(f"{k.name}:{a}:{b}" for a, _, b, k in sorted((x for x in found if x[3].base or any(near(x, y) for y in found)), key=lambda x: x[:3]))
+
+
+def test_secrets_brute_force(docs):
+    """Texts of parts at random distances: every span and link, by all pairs."""
+    r = random.Random(4)
+    piece = lambda: r.choice(["pwd = hunter2", "login: alice", "token='abcdef12'", "https://a.example.com:80", "host = db.internal.net", "secret: abc", "AKIA" + "Z9" * 8, "AKIA123", "0123456789abcdef" * 2, "auth: xyz1", "x" * r.randrange(250), "é" * r.randrange(90), " "])
+    texts = [" ".join(piece() for _ in range(r.randrange(1, 14))) for _ in range(150)]
+    got = {x.doc_id: x.spans for x in secrets.digest(secrets.scan(docs(*texts))).collect()}
+    assert got == {k: brute_spans(t) for k, t in enumerate(texts)}
 
 
 def test_merkle(docs):

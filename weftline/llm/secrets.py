@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import texts
+from weftline.llm.common import stash, texts
 
 SCOPE = 200
 
@@ -36,43 +36,47 @@ class Kind:
 
 KINDS = (
     Kind("assign", rf"(?i)(password|passwd|secret|token|api_?key){_SET}({_VALUE})", 2, 6, "secret", True),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 20, "identifier", True),
-    Kind("hex", r"[0-9a-f]+", 0, 24, "secret", True),
+    # Runs of at least the least length: a shorter one cannot hide a longer one, as both end where the run ends.
+    Kind("access", r"AKIA[A-Z0-9]{16,}", 0, 20, "identifier", True),
+    Kind("hex", r"[0-9a-f]{24,}", 0, 24, "secret", True),
     Kind("endpoint", r"(?i)(https?://[a-z0-9.-]+(:[0-9]+)?|(host|endpoint|server)" + _SET + r"[a-z0-9-]+\.[a-z0-9.-]+)", 0, 4, "endpoint", False),
     Kind("identifier", rf"(?i)(user_?name|user|login|client_?id|account|access_?key_?id){_SET}([A-Za-z0-9._@-]+)", 2, 3, "identifier", False),
     Kind("weak_secret", rf"(?i)(pwd|passphrase|credential|private_?key|auth){_SET}({_VALUE})", 2, 4, "secret", False),
 )
 
-#: What finds texts to look at closely, so that most texts are searched once for each kind and not split. Fixed by the kinds above.
-_LIKELY = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}"}
-
-
-def key_columns() -> list[Column]:
-    """Rows with the same doc_id and text have the same parts."""
-    return [F.col("doc_id"), F.xxhash64("text").alias("k1"), F.length("text").alias("k2")]
-
-
-def parts(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, kind, kind_order, role, base, start, end: all strong and weak matches, in code points."""
-    found = []
-    for order, kind in enumerate(KINDS):
-        pattern = F.lit(kind.pattern)
-        hits = docs.where(F.col("text").rlike(_LIKELY.get(kind.name, kind.pattern)))
-        matches = F.regexp_extract_all("text", pattern, F.lit(0))
-        gaps = F.split("text", kind.pattern, -1)
-        sizes = F.transform(F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(F.regexp_extract(x["m"], kind.pattern, kind.group)).alias("inner")))
-        rows = hits.select(*key_columns(), F.posexplode(sizes).alias("at", "x")).where(F.col("x.size") > 0)
-        before = Window.partitionBy("doc_id", "k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-        ends = F.sum(F.col("x.gap") + F.col("x.size")).over(before)
-        found.append(
-            rows.dropDuplicates(["doc_id", "k1", "k2", "at"])
-            .select("doc_id", "k1", "k2", F.lit(kind.name).alias("kind"), F.lit(order).alias("kind_order"), F.lit(kind.role).alias("role"), F.lit(kind.base).alias("base"), (ends - F.col("x.size")).alias("start"), ends.alias("end"), F.col("x.inner").alias("inner"))
-            .where(F.col("inner") >= kind.least).drop("inner")
-        )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+KEY = ["k0", "k1", "k2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and a key without nulls; rows with the same doc_id and text have the same key."""
+    rows = texts(docs)
+    key = (F.coalesce("doc_id", F.lit(0)), F.xxhash64("text", F.col("doc_id").isNull()), F.length("text"))
+    return rows.withColumns(dict(zip(KEY, key, strict=True)))
+
+
+def searched(docs: DataFrame) -> DataFrame:
+    """doc_id, key and, for each kind, the lengths (gap before, match, its group) of all matches in order; the one pass over the texts."""
+    text = F.col("text")
+
+    def lengths(kind: Kind) -> Column:
+        matches, gaps = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
+        both = F.slice(F.arrays_zip(gaps.alias("g"), matches.alias("m")), F.lit(1), F.size(matches))
+        sizes = F.transform(both, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(F.regexp_extract(x["m"], kind.pattern, kind.group)).alias("inner")))
+        return F.when(text.rlike(kind.pattern), sizes).alias(kind.name)
+
+    return keyed(docs).select("doc_id", *KEY, *[lengths(k) for k in KINDS])
+
+
+def parts(scanned: DataFrame) -> DataFrame:
+    """key, kind, kind_order, role, base, start, end: all strong and weak matches, in code points."""
+    sizes = F.array(*[F.struct(F.lit(order).alias("kind_order"), F.col(kind.name).alias("sizes")) for order, kind in enumerate(KINDS)])
+    some = scanned.where(" OR ".join(f"{k.name} IS NOT NULL" for k in KINDS)).dropDuplicates(KEY)
+    each = some.select(*KEY, F.explode(sizes).alias("of")).select(*KEY, "of.kind_order", F.posexplode("of.sizes").alias("at", "x"))
+    before = Window.partitionBy(*KEY, "kind_order").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.sum(F.col("x.gap") + F.col("x.size")).over(before)
+    of = lambda field: F.element_at(F.array(*[F.lit(getattr(k, field)) for k in KINDS]), F.col("kind_order") + 1)
+    rows = each.select(*KEY, "kind_order", of("name").alias("kind"), of("role").alias("role"), of("base").alias("base"), (ends - F.col("x.size")).alias("start"), ends.alias("end"), F.col("x.inner").alias("inner"))
+    return rows.where(F.col("inner") >= of("least")).drop("inner")
 
 
 #: Roles that make a weak part of the role on the left worth a report.
@@ -81,7 +85,7 @@ COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",),
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The parts to report: strong ones, and weak ones with a complementary part in their scope."""
-    key = ["doc_id", "k1", "k2"]
+    key = KEY
     bucket = F.floor(F.col("start") / scope)
     ends = found.groupBy(*key, bucket.alias("bucket"), "role").agg(F.min("start").alias("lowest"), F.max("start").alias("highest"))
     weak = found.where(~F.col("base")).select(*key, "kind", "role", "start", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
@@ -94,19 +98,23 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return found.where("base").unionByName(found.join(kept, [*key, "kind", "start"], "left_semi"))
 
 
+def spans_of(scanned: DataFrame, scope: int) -> DataFrame:
+    """key, found: the reported spans of texts that have some."""
+    reported = linked(stash(parts(scanned), "parts"), scope)
+    return reported.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind_order", "end", "kind", "base"))).alias("found"))
+
+
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, text and reported spans of every row.
+    """doc_id and reported spans of every row.
 
     ``found`` is an array of (start, kind_order, end, kind, base), ordered by start and kind, in code
     points with exclusive ends. Null text counts as empty and has no spans; rows that repeat (doc_id
-    and text) each get the same spans; an empty table gives no row. Other columns are not read.
+    and text) each get the same spans, as do those without doc_id; an empty table gives no row. Other
+    columns are not read. Texts are read once.
     """
-    rows = texts(docs)
-    spans = linked(parts(rows), scope).groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind_order", "end", "kind", "base"))).alias("found"))
-    keyed = rows.select("doc_id", *key_columns()[1:])
-    same = [keyed["doc_id"].eqNullSafe(spans["doc_id"]), keyed["k1"] == spans["k1"], keyed["k2"] == spans["k2"]]
+    scanned = stash(searched(docs), "searched")
     empty = F.array().cast("array<struct<start:bigint,kind_order:int,end:bigint,kind:string,base:boolean>>")
-    return keyed.join(spans, same, "left").select(keyed["doc_id"], keyed["k1"], keyed["k2"], F.coalesce(spans["found"], empty).alias("found"))
+    return scanned.select("doc_id", *KEY).join(spans_of(scanned, scope), KEY, "left").select("doc_id", F.coalesce("found", empty).alias("found"))
 
 
 def joined(spans: Column) -> Column:
@@ -121,14 +129,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "<secret>", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every reported span replaced by ``mask`` and n_chars counted anew; all rows and columns stay."""
-    rows = texts(docs)
-    spans = linked(parts(rows), scope).groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind_order", "end", "kind", "base"))).alias("found"))
-    spans = spans.select(F.col("doc_id").alias("of_id"), F.col("k1").alias("of_k1"), F.col("k2").alias("of_k2"), "found")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_k1")) & (F.length("text") == F.col("of_k2"))
-    both = docs.join(spans, same, "left").withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("found"), mask)))
-    changed = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return both.withColumn("n_chars", changed).select(docs.columns)
+    """``docs`` with every reported span replaced by ``mask`` and n_chars counted anew; all rows and columns stay.
+
+    Null text stays null, rows that repeat or have no doc_id are treated each like any other, and an
+    empty table gives no row. Columns beyond doc_id, text and n_chars pass through, whatever their names.
+    """
+    spans = spans_of(stash(searched(docs), "searched"), scope)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    whole = whole.select("row", F.coalesce("doc_id", F.lit(0)).cast("long").alias("k0"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("k1"), F.length(F.coalesce("text", F.lit(""))).alias("k2"))
+    both = whole.join(spans, KEY, "left")
+    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(masked(F.col("row.text"), F.col("found"), mask))
+    both = both.select("row", text.alias("text"), F.col("found").isNull().alias("same"))
+    fields = {"text": F.col("text"), "n_chars": F.when(F.col("same"), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
+    return both.select(*[fields.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def masked(text: Column, found: Column, mask: str) -> Column:
