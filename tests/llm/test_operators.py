@@ -195,8 +195,27 @@ def test_merkle(docs):
     assert got[2].fingerprint == got[3].fingerprint != got[0].fingerprint
     from pyspark.sql import functions as F
 
-    rows = docs((0, texts[0])).select(merkle.differing_paragraphs(merkle.tree(F.lit(texts[0])), merkle.tree(F.lit(texts[1]))).alias("d"))
-    assert [(x.section, x.paragraph) for x in rows.first().d] == [(0, 1)]
+    def walk(a, b):
+        rows = docs((0, None)).select(merkle.tree(F.lit(a)).alias("x"), merkle.tree(F.lit(b)).alias("y"))
+        r = merkle.compared(rows, "x", "y", "like", "at").first()
+        return r.at, round(r.like, 6)
+
+    # Leaves: "A one.", " B two.", "C three.", "D four."; one differs, of five in all.
+    assert walk(texts[0], texts[1]) == ("0.1", 0.6)
+    assert walk(texts[0], texts[0]) == (None, 1.0) and walk("", "") == (None, 1.0) and walk("", "x") == ("0.0", 0.0)
+    # An inserted section moves those behind it, which are still passed by from the end.
+    many = "\n\n".join(f"Section {k}. It has a sentence {k}." for k in range(20))
+    at, like = walk(many, many.replace("\n\nSection 9.", "\n\nNew one.\n\nSection 9."))
+    assert at == "9.0" and like == round(40 / 41, 6)
+
+
+def test_merkle_likeness_comes_from_the_tree(docs, monkeypatch):
+    """If digests of branches told nothing apart, unlike texts would be passed by as equal."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(merkle, "equal_run", lambda a, b, reverse=False: F.least(F.size(a), F.size(b)) if not reverse else F.lit(0))
+    rows = docs((0, None)).select(merkle.tree(F.lit("one thing.")).alias("x"), merkle.tree(F.lit("another.")).alias("y"))
+    assert merkle.compared(rows, "x", "y", "like").first().like == 1.0
 
 
 def test_merkle_next(docs):
