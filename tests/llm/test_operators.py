@@ -311,6 +311,58 @@ def test_mixing_rakes_every_source(spark, monkeypatch, driver_cells):
     assert all(abs(got[d] - want[d]) < 1e-9 for d in docs) and min(got.values()) > 0
 
 
+def test_encoder_gives_the_ids_of_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder("byte_bpe_50k.tiktoken")
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext|", "Été, 12345  \n\n\tso!", "日本語 🙂", ""):
+        assert packing.np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_plan(monkeypatch):
+    """Grouping, configurations and substitution decide the plan, and beat best fit where lengths go badly together."""
+    counts = {401: 300, 312: 300, 311: 300, 60: 40}
+
+    def checked(plan):
+        held, seen = {}, {k: [] for k in counts}
+        for length, lo, hi, base, offset in plan.rows:
+            seen[length] += range(lo, hi)
+            for k in range(hi - lo):
+                held.setdefault(base + k, []).append((offset, length))
+        assert all(sorted(v) == list(range(counts[k])) for k, v in seen.items())
+        for parts in held.values():
+            end = 0
+            for offset, length in sorted(parts):
+                assert offset == end
+                end += length
+            assert end <= 1024
+        return len(held)
+
+    grouped = checked(packing.plan_sequences(counts, 1024))
+    asked = []
+    real = packing.configurations
+    monkeypatch.setattr(packing, "configurations", lambda *a: asked.append(a) or [])
+    best_fit = checked(packing.plan_sequences(counts, 1024))
+    assert asked and grouped < best_fit
+    sizes, demand = packing.rounded({520: 300, 401: 300, 352: 800, 340: 100}, [520, 401, 352, 340], 5)
+    assert sizes.tolist() == [520, 401, 352] and demand.tolist() == [300, 300, 900]
+    assert sum(w for _, w in real(sizes, demand, 1024)) >= 1500 * 352 / 1024
+
+
+def test_column_is_the_best_that_fits():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sizes, values = rng.choice(np.arange(20, 100), 5, replace=False), rng.random(5)
+        best, column = packing.best_column(values, sizes, 130)
+        fitting = [n for n in itertools.product(range(7), repeat=5) if np.dot(n, sizes) <= 130]
+        assert abs(best - max(np.dot(n, values) for n in fitting)) < 1e-9 and np.dot(column, sizes) <= 130 and abs(np.dot(column, values) - best) < 1e-9
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(45)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), __import__("pyspark.sql.functions", fromlist=["x"]).expr("vec_id % 20 = 0"))

@@ -58,7 +58,6 @@ def test_op6(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = catalog.op6_best_fit_packing(spark, SF).collect()
     pieces = defaultdict(list)
     for r in got:

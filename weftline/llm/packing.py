@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from weftline.llm.common import stash, texts, width
 
 END_ID = 2
-GROUPS = 48
-#: Shares of the capacity above which lengths are grouped; the plan of fewest sequences is kept. With 1 nothing is left to group.
-LARGE_SHARES = (0.125, 0.25, 1.0)
+GROUPS = 96
+#: Shares of the capacity above which lengths are grouped; the plan of fewest sequences is kept.
+LARGE_SHARES = (1 / 4, 1 / 3)
+#: Fixed value: the added token of the JSON file, which ``tokenizers`` finds in texts, too.
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Token ids of a text as little-endian 32-bit bytes.
+    """Token ids of a text as little-endian 32-bit bytes; the string of the special token is that token.
 
     ``tiktoken`` with the vocabulary's ranks gives the ids that ``tokenizers`` gives with its JSON
     file (the tests hold one against the other) at about six times the speed.
@@ -43,10 +45,10 @@ class Encoder:
 
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -81,25 +83,24 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str = "byte_bpe_50k
 
 
 def best_column(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration of largest value that fits (unbounded knapsack)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    s, v = sizes[order], values[order]
-    for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(s, room, side="right"))
-        best[room], last[room] = best[room - 1], -1
-        if fits:
-            got = best[room - s[:fits]] + v[:fits]
-            k = int(np.argmax(got))
-            if got[k] > best[room] + 1e-12:
-                best[room], last[room] = got[k], k
+    """The configuration of largest value that fits (unbounded knapsack, one more document in each round)."""
+    rooms = np.arange(capacity + 1) - sizes[:, None]
+    fits, rooms = rooms >= 0, np.maximum(rooms, 0)
+    best, chosen = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        got = np.where(fits, values[:, None] + best[rooms], -1.0)
+        k = got.argmax(axis=0)
+        more = got[k, np.arange(capacity + 1)]
+        better = more > best + 1e-12
+        if not better.any():
+            break
+        chosen.append(np.where(better, k, -1))
+        best = np.where(better, more, best)
     column, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-            continue
-        column[order[last[room]]] += 1
-        room -= int(s[last[room]])
+    for picks in reversed(chosen):
+        if picks[room] >= 0:
+            column[picks[room]] += 1
+            room -= int(sizes[picks[room]])
     return float(best[capacity]), column
 
 
@@ -108,7 +109,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     basis = np.diag([float(capacity // s) for s in sizes])
     inverse = np.linalg.inv(basis)
     x = inverse @ demand
-    for _ in range(40 * len(sizes)):
+    for _ in range(10 * len(sizes)):
         duals = np.ones(len(sizes)) @ inverse
         value, column = best_column(np.maximum(duals, 0), sizes, capacity)
         if value <= 1 + 1e-7:
@@ -167,64 +168,65 @@ class Plan:
 
 
 def plan_sequences(counts: dict[int, int], capacity: int, groups: int = GROUPS, shares: tuple[float, ...] = LARGE_SHARES) -> Plan:
-    """Where documents go, by length and rank within the length."""
+    """Where documents go, by length and rank within the length: the plan of fewest sequences among some bounds of "large"."""
     return min((grouped_plan(counts, capacity, groups, share) for share in shares), key=lambda p: p.sequences)
 
 
+def rounded(counts: dict[int, int], large: list[int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and demand after linear grouping: ``large`` lengths, longest first, in groups of equal cardinality, each rounded up to its longest."""
+    total = sum(counts[k] for k in large)
+    each, sizes, demand, room = -(-total // min(groups, total)), [], [], 0
+    for length in large:
+        n = counts[length]
+        while n:
+            if not room:
+                sizes.append(length)
+                demand.append(0.0)
+                room = each
+            take = min(n, room)
+            demand[-1] += take
+            n, room = n - take, room - take
+    # Groups that one length fills have one size.
+    merged: dict[int, float] = {}
+    for size, n in zip(sizes, demand, strict=True):
+        merged[size] = merged.get(size, 0.0) + n
+    return np.array(list(merged)), np.array(list(merged.values()))
+
+
 def grouped_plan(counts: dict[int, int], capacity: int, groups: int, share: float) -> Plan:
+    """Configurations of rounded sizes, filled with actual documents; then best fit for all that remain, longest first."""
     plan = Plan({k: v for k, v in counts.items() if v}, capacity)
     if plan.left.get(capacity):
         plan.start([capacity], plan.left[capacity])
     large = sorted((k for k, v in plan.left.items() if v and k > capacity * share), reverse=True)
-    total = sum(plan.left[k] for k in large)
-    if total:
-        each = -(-total // min(groups, total))
-        runs: list[list[list[int]]] = []  # of each group: [length, documents left], longest first
-        room = 0
-        for length in large:
-            n = plan.left[length]
-            while n:
-                if not room:
-                    runs.append([])
-                    room = each
-                take = min(n, room)
-                runs[-1].append([length, take])
-                n, room = n - take, room - take
-        sizes = np.array([g[0][0] for g in runs])
-        demand = np.array([float(sum(n for _, n in g)) for g in runs])
+    if large:
+        sizes, demand = rounded(plan.left, large, groups)
         for column, weight in sorted(configurations(sizes, demand, capacity), key=lambda c: -c[1]):
-            slots, n = [k for k in np.argsort(-sizes, kind="stable") for _ in range(int(round(column[k])))], int(weight + 1e-6)
-            while n and slots:
-                # Each run of equal lengths serves as many slots of its group as ask for it.
-                filled, asked = [], {}
-                for k in slots:
-                    seen = asked.get(k, 0)
-                    stock = [(length, have) for length, have in runs[k] if have]
-                    if stock:
-                        filled.append((k, stock[0][0], stock[0][1]))
-                        asked[k] = seen + 1
-                if not filled:
+            slots = [int(sizes[k]) for k in np.argsort(-sizes, kind="stable") for _ in range(int(round(column[k])))]
+            n = int(weight + 1e-6)
+            while n:
+                chosen = substituted(plan.left, slots, capacity)
+                if not chosen:
                     break
-                per = {k: sum(1 for f in filled if f[0] == k) for k, _, _ in filled}
-                m = min(n, *(have // per[k] for k, _, have in filled))
-                if m == 0:  # fewer documents of this length than slots: one sequence by hand
-                    m, filled = 1, []
-                    spare = {k: [r[:] for r in runs[k]] for k in per}
-                    for k in slots:
-                        for r in spare.get(k, []):
-                            if r[1]:
-                                r[1] -= 1
-                                filled.append((k, r[0], 1))
-                                break
-                plan.start([length for _, length, _ in filled], m)
-                for k, length, _ in filled:
-                    next(r for r in runs[k] if r[0] == length and r[1])[1] -= m
+                m = min(n, *(plan.left[k] // chosen.count(k) for k in set(chosen)))
+                plan.start(chosen, m)
                 n -= m
     for length in sorted(plan.left, reverse=True):
         plan.best_fit(length)
     return plan
 
 
+def substituted(left: dict[int, int], slots: list[int], capacity: int) -> list[int]:
+    """Lengths of documents for the slots of a configuration: the longest that fits each, and for the last one the longest that fits the room left."""
+    chosen: list[int] = []
+    for k, slot in enumerate(slots):
+        room = capacity - sum(chosen) if k == len(slots) - 1 else slot
+        length = next((x for x in range(room, 0, -1) if left.get(x, 0) > chosen.count(x)), None)
+        if length:
+            chosen.append(length)
+    return chosen
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """Adds rank: 0, 1, ... within each length, from counts over salted buckets."""
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4 * width(pieces.sparkSession))).cast("int")
