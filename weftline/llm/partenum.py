@@ -6,11 +6,12 @@ parts, each of n2 cells; a part in which two sets differ in k2 features at most
 n2 - k2 cells in which they are equal, so for each part all such subsets are enumerated and the
 features in each are hashed to one signature. As at most k / (k2 + 1) parts differ in more, a set
 signs its parts in order until it has signed one more than that of those that cannot be empty in
-any subset ("strong" ones, of more than k2 filled cells). A set whose similar sets may be in the
-next band signs in that as well. ``Scheme`` has each band's n1, n2 and k2: subsets of two of three
-cells for small sets, and for large ones, whose signatures are what costs, whole parts (k2 = 0).
+any subset ("strong" ones, of more than k2 filled cells), and a few to spare: a similar pair has
+more signatures in common than the spare ones. A set whose similar sets may be in the next band
+signs in that as well. ``Scheme`` has each band's n1, n2, k2 and spare parts: subsets of two of
+three cells for small sets, and for large ones, whose signatures are what costs, whole parts (k2 = 0).
 
-Sets that share signatures are candidates. Small groups are compared in full. In a large one every
+Sets that share signatures enough are candidates. Small groups are compared in full. In a large one every
 member is compared with one leader, so a group of near copies makes as many pairs as it has
 members. Where that leaves a large group in several parts (texts that share a common passage), its
 members are compared by their rarest features, of which the first quarter and one must meet. So no
@@ -26,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stash, texts
@@ -37,6 +38,8 @@ from weftline.llm.shingles import mix, shingle_set
 SIMILARITY = (75, 100)
 #: Sizes below which a band's parts have three cells, of which all pairs are enumerated.
 SMALL_SETS = 128
+#: Bits of a signature that hold its band (sets of up to 2^32 features).
+BAND_BITS = np.uint64(31)
 #: Documents whose ids are broadcast when their texts are read again (16 MB); more are joined.
 BROADCAST_IDS = 2_000_000
 #: Members up to which a group is compared in full.
@@ -80,7 +83,12 @@ class Scheme:
     @property
     def parts(self) -> int:
         """n1: so many that nearly every set of the band, or just below it, has strong parts enough."""
-        return self.top * (19 if self.cells > 1 else 33) // 100 + 4
+        return self.top * (20 if self.cells > 1 else 36) // 100 + (2 if self.cells > 1 else 4)
+
+    @property
+    def spare(self) -> int:
+        """Strong parts that are signed beyond those of which one must be shared."""
+        return self.top // (100 if self.cells > 1 else 50)
 
     @property
     def subsets(self) -> list[tuple[int, ...]]:
@@ -120,8 +128,7 @@ def signed_in(s: np.ndarray, spread: np.ndarray, scheme: Scheme, apart: int) ->
     cells, sums = place[first], np.add.reduceat(spread, first)  # those that are filled, in order
 
     strong = np.flatnonzero(np.bincount(cells // n_cells, minlength=scheme.parts) > scheme.spoiled)
-    quota = apart // (scheme.spoiled + 1) + 1
-    # Sets that have too few strong parts meet each other by their empty subsets, too.
+    quota = apart // (scheme.spoiled + 1) + 1 + scheme.spare
     enough = len(strong) >= quota
     parts = int(strong[quota - 1]) + 1 if enough else scheme.parts
     held, filled = np.zeros(parts * n_cells, dtype=np.uint64), np.zeros(parts * n_cells, dtype=bool)
@@ -133,8 +140,17 @@ def signed_in(s: np.ndarray, spread: np.ndarray, scheme: Scheme, apart: int) ->
         total, some = np.full(parts, (scheme.low << 34) + (k << 32), dtype=np.uint64) + np.arange(parts, dtype=np.uint64), np.zeros(parts, dtype=bool)
         for c in subset:
             total, some = mix(total) + held[:, c], some | filled[:, c]
-        out.append(mix(total[some] if enough else total))
-    return np.concatenate(out)
+        out.append(mix(total[some]))
+    if not enough:  # sets with too few strong parts meet each other by single features, the finest parts of the domain
+        out.append(mix(s[: apart + 1 + scheme.spare] + np.uint64(scheme.low)))
+    # The last bits tell the band.
+    return np.concatenate(out) & ~BAND_BITS | np.uint64(scheme.low.bit_length() - 1)
+
+
+def spare_of(sig: str = "sig") -> Column:
+    """``Scheme.spare`` of a signature's band."""
+    bands = F.array(*[F.lit(Scheme(1 << k).spare) for k in range(int(BAND_BITS) + 1)])
+    return F.element_at(bands, F.col(sig).bitwiseAND(int(BAND_BITS)).cast("int") + 1)
 
 
 SIGNED = "node long, sig long, x long, bins binary"
@@ -185,12 +201,25 @@ def fitting(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return pairs.where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b").distinct()
 
 
+def promising(groups: DataFrame) -> DataFrame:
+    """The rows of sets that have, in the row's band, more signatures in common with others than the spare ones."""
+    groups = groups.withColumn("band", F.col("sig").bitwiseAND(int(BAND_BITS)).cast("int"))
+    own = Window.partitionBy("node", "band")
+    large = F.sum((F.col("c") > SMALL_GROUP).cast("long")).over(own)
+    return groups.withColumns({"shared": F.count("*").over(own), "large": large}).where(F.col("shared") > spare_of()).drop("shared")
+
+
 def candidates(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of small groups whose sizes allow the similarity; leader and member of other groups."""
-    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n")
-    met = fitting(small.toDF("sig", "a", "na").join(small.toDF("sig", "b", "nb"), "sig"), similarity)
+    """Pairs of small groups with as many common signatures as a similar pair has; leader and member of other groups.
+
+    Signatures that a pair may have in common in large groups are not counted against it.
+    """
+    num, den = similarity
+    small = groups.where(f"c <= {SMALL_GROUP}").select("sig", "node", "n", "large")
+    met = small.toDF("sig", "a", "na", "la").join(small.toDF("sig", "b", "nb", "lb"), "sig").where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)")
+    met = met.groupBy("a", "b", F.col("sig").bitwiseAND(int(BAND_BITS)).cast("int").alias("band"), spare_of().alias("spare")).agg(F.count("*").alias("common"), F.min(F.least("la", "lb")).alias("large"))
     star = groups.where(f"c > {SMALL_GROUP} AND node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    return met.union(star).distinct()
+    return met.where("common + large > spare").select("a", "b").union(star).distinct()
 
 
 def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
@@ -253,7 +282,7 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     reps = hashes.where("n > 0").groupBy("n", "h").agg(F.min("node").alias("rep"))
     alike = stash(hashes.join(reps, ["n", "h"]).select("node", "rep", "n"), "alike")
     own = alike.where("node = rep").select("node", "n").distinct()
-    groups = stash(shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node")), "groups")
+    groups = stash(promising(shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node"))), "groups")
     pairs = stash(candidates(groups, similarity), "pairs")
     links = verified(docs, sizes, pairs, similarity, words)
 
