@@ -202,8 +202,8 @@ def sorted_spans(rows: DataFrame, length: int) -> DataFrame:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``kinds``, the size of their ``part``; counts are combined before the shuffle."""
-    return rows.join(rows.groupBy("part").agg(F.count("*").alias("kinds")), "part")
+    """``rows`` with ``kinds``, the size of their ``part``; counts are combined before the shuffle, and written so that the join may split large parts."""
+    return rows.join(stash(rows.groupBy("part").agg(F.count("*").alias("kinds")), "sizes"), "part")
 
 
 def split_spans(rows: DataFrame, length: int, limit: int) -> DataFrame:
@@ -237,6 +237,7 @@ def split_spans(rows: DataFrame, length: int, limit: int) -> DataFrame:
         settled = met.where("same > 1 AND alone").select("doc_id", "k", (F.col("at") - F.col("high")).alias("start"), (F.col("at") + length - F.col("low")).alias("end"))
         rest = met.where(first.eqNullSafe(F.col("first"))).withColumn("alone", F.col("alone") & (F.col("same") == 1))
         rest = rest.dropDuplicates(["part", "doc_id", "k", "at"])  # a row that repeats comes twice
+        rest = stash(rest, "parts")
         rest = stash(counted(rest.select("part", "doc_id", "k", "at", "left", "right", "alone", "lo", "hi")).where("kinds > 1"), "parts")
         out += [stash(settled, "settled"), sorted_spans(rest.where(f"kinds <= {limit}"), length)]
         large = rest.where(f"kinds > {limit}")
@@ -246,15 +247,17 @@ def split_spans(rows: DataFrame, length: int, limit: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, k, start, end (bytes): spans covered by strings of ``length`` bytes that also start elsewhere; they overlap."""
     every = stash(anchor_rows(rows, length, gram), "anchors")
-    crowd = every.groupBy("own").count().where("count > 1").select("own")
+    crowd = stash(every.groupBy("own").count().where("count > 1").select("own"), "crowd")
     found = stash(every.join(crowd, "own"), "anchors")
     kind = ["own", "d1", "d2", "before", "after"]
     kinds = stash(found.groupBy(*kind).agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "k", "at")).alias("first")), "kinds")
-    done = found.join(kinds.where(f"same > 1 AND before + after >= {length}").select(*kind), kind)
+    twice = stash(kinds.where(f"same > 1 AND before + after >= {length}").select(*kind), "twice")
+    done = found.join(twice, kind)
     done = done.select("doc_id", "k", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
 
     # One anchor of each kind of surroundings, in groups that have some that occur once.
     groups = kinds.groupBy("own").agg(F.count("*").alias("kinds"), F.min("same").alias("least")).where("kinds > 1 AND least = 1")
+    groups = stash(groups, "groups")
     wanted = kinds.join(groups, "own").select("first.doc_id", "first.k", F.struct("first.at", "before", "after", "own", (F.col("same") == 1).alias("alone"), "kinds").alias("place"))
     wanted = wanted.groupBy("doc_id", "k").agg(F.collect_list("place").alias("places"))
 
