@@ -376,6 +376,48 @@ def test_vectors_that_take_no_part(spark):
         assert [v for x, _, v, _ in sorted(rows) if x == q] == want
 
 
+def test_vectors_awkward(spark, monkeypatch):
+    """Several blocks and tasks, repeated ids and vectors, ties, clashing columns; an empty table."""
+    from pyspark.sql import functions as F
+
+    import numpy as np
+
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "AT_ONCE", 3)
+    rng = np.random.default_rng(5)
+    vectors = {k: rng.integers(-3, 4, 8).astype(float) for k in range(400)}
+    for k in range(300, 360):
+        vectors[k] = vectors[11]
+    table = spark.createDataFrame([(k, v.tolist(), "x", 1.0) for k, v in vectors.items() if v.any()] + [(5, vectors[5].tolist(), "y", 2.0)], "vec_id long, embedding array<double>, entry string, score double")
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    fine = {k: v for k, v in vectors.items() if v.any()}
+    met = 0
+    for q in (k for k in fine if k % 20 == 0):
+        want = sorted((k for k in fine if k != q), key=lambda k: (-float(fine[k] @ fine[q]), k))[:20]
+        found = [v for _, v, _ in sorted(got[q])]
+        assert len(found) == 20 and all(s == fine[v] @ fine[q] for _, v, s in got[q])
+        met += found == want
+    assert met >= 0.9 * len(got)
+    assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_lookup_tables_choose_the_candidates(spark, monkeypatch):
+    """With tables that put the worst first, the search finds little."""
+    import numpy as np
+
+    real = ann.shortlist
+    monkeypatch.setattr(ann, "shortlist", lambda codes, norm, first, words, q, keep: real(codes, norm, -first, -words, q, keep))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 16))
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 500 == 0, rerank=64).collect()
+    assert len(got) == 80 and sum(r.score for r in got) < 0
+
+
 EMPTY = {
     "merkle": merkle.edit_report,
     "jaccard": partenum.groups_of,

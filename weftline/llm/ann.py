@@ -4,10 +4,11 @@ Every vector is coded as its nearest codeword of a first codebook plus a stored
 one codeword from each of many more, all full-dimensional, found by beam search over residuals. The
 stored norm is that of the first residual, so vectors crowded round one point are told apart as
 finely as others. A query's inner products with all codewords form lookup tables, by which all
-codes are scored; the best are reranked with the original vectors in double precision.
+codes are scored; the best are reranked with the original vectors in double precision. The index
+holds codes and vectors together, so a task reranks what it has scored and only a query's best leave it.
 
-Codebooks are fitted on the driver to at most ``SAMPLE`` vectors drawn by hash. Every vector is
-indexed: equal vectors share one entry, which keeps their smallest ids.
+Codebooks are fitted on the driver to at most ``SAMPLE`` vectors, those of least hash. Every vector
+is indexed: equal vectors share one entry, which keeps their smallest ids.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stash
+from weftline.llm.common import stash, width
 
 FIRST = 256
 BOOKS = 40
@@ -29,10 +30,10 @@ BEAM = 4
 SAMPLE = 8192
 #: Entries that each query reranks, out of what the lookup tables put first.
 RERANK = 256
-#: Queries scored in one pass over the codes; their lookup tables take BOOKS * WORDS floats each, 21 MB in all.
-QUERY_BLOCK = 4096
-#: Entries that one task scores; with fewer tasks each query has fewer part results to merge.
-ENTRIES_PER_TASK = 65_536
+#: Queries that are sent to all tasks for one pass over the index (4 MB of 64 doubles each), and those that a task scores at once.
+QUERY_BLOCK, AT_ONCE = 8192, 1024
+#: Entries that one task holds (8 MB of 64 doubles each), at most.
+ENTRIES_PER_TASK = 16_384
 _SALTS = 16
 
 
@@ -137,53 +138,72 @@ def entries(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def coded(heads: DataFrame, model: Codebooks, tasks: int) -> DataFrame:
-    """entry, codes, norm."""
+    """entry, codes, norm, vector: the index, dealt to so many tasks."""
 
     def run(batches):
         for batch in batches:
             out, norms = [], []
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float32).reshape(len(batch), -1)
+            x = matrix(batch.column(1)).astype(np.float32)
             for k in range(0, len(x), 1024):
                 codes, norm = model.encode(x[k : k + 1024])
                 norms += norm.tolist()
                 out += [c.tobytes() for c in codes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(norms, pa.float32())], names=["entry", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(norms, pa.float32()), batch.column(1)], names=["entry", "codes", "norm", "vector"])
 
-    return heads.select("entry", "vector").repartition(tasks, "entry").mapInArrow(run, "entry long, codes binary, norm float")
+    return heads.select("entry", "vector").repartition(tasks, "entry").mapInArrow(run, "entry long, codes binary, norm float, vector array<double>")
 
 
-def scored(index: DataFrame, queries: np.ndarray, ids: np.ndarray, model: Codebooks, rerank: int) -> DataFrame:
-    """query_id, entry, near: for each query and task the entries that the lookup tables put first."""
-    shared = index.sparkSession.sparkContext.broadcast((ids, queries.astype(np.float32), model.first, model.words))
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equal length from an array of lists without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def from_each(rerank: int, tasks: int) -> int:
+    """Entries that a task reranks for a query: its part of ``rerank``, as entries are dealt by hash, and six deviations more."""
+    part = rerank / tasks
+    return min(rerank, int(np.ceil(part + 6 * np.sqrt(part))))
+
+
+def scored(index: DataFrame, queries: np.ndarray, ids: np.ndarray, model: Codebooks, tasks: int, rerank: int, k: int) -> DataFrame:
+    """query_id, entry, score: for each query and task the ``k`` best entries of those that the lookup tables put first."""
+    shared = index.sparkSession.sparkContext.broadcast((ids, queries, model.first, model.words))
+    first_few = from_each(rerank, tasks)
 
     def run(batches):
-        own, q, first, words = shared.value
-        coarse = first @ q.T
-        tables = [c @ q.T for c in words]  # words x queries
-        best = np.full((len(q), 0), 0, dtype=np.float32)
-        held = np.zeros((len(q), 0), dtype=np.int64)
-        for batch in batches:
-            entry = np.asarray(batch.column(0))
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(entry), -1)
-            norm = np.asarray(batch.column(2))
-            for k in range(0, len(entry), 1024):
-                near = tables[0][codes[k : k + 1024, 1]]
-                for m in range(1, len(tables)):
-                    near += tables[m][codes[k : k + 1024, m + 1]]
-                near *= norm[k : k + 1024, None]
-                near += coarse[codes[k : k + 1024, 0]]
-                best = np.concatenate([best, near.T], axis=1)
-                held = np.concatenate([held, np.broadcast_to(entry[k : k + 1024], (len(q), len(near)))], axis=1)
-                if best.shape[1] > rerank:
-                    at = np.argpartition(-best, rerank - 1, axis=1)[:, :rerank]
-                    best, held = np.take_along_axis(best, at, 1), np.take_along_axis(held, at, 1)
-        for k in range(0, len(q), 256):
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(own[k : k + 256], n)), pa.array(held[k : k + 256].ravel()), pa.array(best[k : k + 256].ravel())], names=["query_id", "entry", "near"]
-            )
-
-    return index.mapInArrow(run, "query_id long, entry long, near float")
+        held = [(np.asarray(b.column(0)), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), np.asarray(b.column(2)), matrix(b.column(3))) for b in batches if len(b)]
+        if not held:
+            return
+        entry, codes, norm, vectors = map(np.concatenate, zip(*held, strict=True))
+        every, all_queries, first, words = shared.value
+        for at in range(0, len(every), AT_ONCE):
+            own, q = every[at : at + AT_ONCE], all_queries[at : at + AT_ONCE]
+            few = shortlist(codes, norm, first, words, q.astype(np.float32), first_few)
+            for k0 in range(0, len(q), 64):
+                near = np.einsum("qd,qnd->qn", q[k0 : k0 + 64], vectors[few[k0 : k0 + 64]])
+                best = np.lexsort((entry[few[k0 : k0 + 64]], -near), axis=1)[:, :k]
+                found, score = np.take_along_axis(few[k0 : k0 + 64], best, 1), np.take_along_axis(near, best, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[k0 : k0 + 64], best.shape[1])), pa.array(entry[found].ravel()), pa.array(score.ravel())], names=["query_id", "entry", "score"])
+
+    return index.mapInArrow(run, "query_id long, entry long, score double")
+
+
+def shortlist(codes: np.ndarray, norm: np.ndarray, first: np.ndarray, words: np.ndarray, q: np.ndarray, keep: int) -> np.ndarray:
+    """Rows of ``codes`` that the lookup tables put first for each query (queries x at most ``keep``)."""
+    coarse, tables = first @ q.T, [c @ q.T for c in words]  # words x queries
+    best, held = np.zeros((len(q), 0), dtype=np.float32), np.zeros((len(q), 0), dtype=np.int64)
+    for k in range(0, len(codes), 2048):
+        some = codes[k : k + 2048]
+        near = tables[0][some[:, 1]]
+        for m in range(1, len(tables)):
+            near += tables[m][some[:, m + 1]]
+        near *= norm[k : k + 2048, None]
+        near += coarse[some[:, 0]]
+        best = np.concatenate([best, near.T], axis=1)
+        held = np.concatenate([held, np.broadcast_to(np.arange(k, k + len(some)), (len(q), len(some)))], axis=1)
+        if best.shape[1] > keep:
+            at = np.argpartition(-best, keep - 1, axis=1)[:, :keep]
+            best, held = np.take_along_axis(best, at, 1), np.take_along_axis(held, at, 1)
+    return held
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -205,37 +225,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = RERA
     n = heads.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, 1.2 * SAMPLE / n)
-    drawn = heads.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) < share * (1 << 30)).select("entry", "vector").limit(SAMPLE) if share < 1 else heads.select("entry", "vector")
-    sample = np.array([r["vector"] for r in drawn.collect()] or [heads.first()["vector"]])
+    # Those of least hash, thinned before they are sorted.
+    draw = F.pmod(F.xxhash64("entry"), F.lit(1 << 30))
+    drawn = heads.select("entry", "vector", draw.alias("draw")).where(F.col("draw") < min(1.0, 1.2 * SAMPLE / n + 1e-3) * (1 << 30)).orderBy("draw", "entry").limit(SAMPLE)
+    sample = matrix((drawn.select("vector") if n > SAMPLE else heads.select("vector").orderBy("entry")).toArrow().column(0).combine_chunks())
     model = fit(sample, books, words)
-    index = stash(coded(heads, model, -(-n // ENTRIES_PER_TASK)), "codes")
+    tasks = max(width(spark), -(-n // ENTRIES_PER_TASK))
+    index = stash(coded(heads, model, tasks), "index")
 
     asked = stash(usable(vectors).where(is_query), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
     passes = []
     for b in range(blocks):
-        some = asked.where(block == b).select("vec_id", "vector").collect()  # about QUERY_BLOCK rows
-        if some:
-            q, ids = np.array([r["vector"] for r in some]), np.array([r["vec_id"] for r in some])
-            first = Window.partitionBy("query_id").orderBy(F.desc("near"), "entry")
-            part = scored(index, q, ids, model, rerank).withColumn("at", F.row_number().over(first)).where(F.col("at") <= rerank)
-            passes.append(stash(part.select("query_id", "entry"), "near"))
+        some = asked.where(block == b).select("vec_id", "vector").toArrow()  # about QUERY_BLOCK rows
+        if some.num_rows:
+            found = scored(index, matrix(some.column(1).combine_chunks()), some.column(0).to_numpy(), model, tasks, rerank, k + 2)
+            best = found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 2)
+            passes.append(stash(best.select("query_id", "entry"), "near"))
     if not passes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pairs = reduce(DataFrame.union, passes)
+    few = reduce(DataFrame.union, passes)
 
-    exact = (
-        pairs.join(heads.select("entry", "vector"), "entry")
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id")
-        .select("query_id", "entry", dot(F.col("q"), F.col("vector")).alias("score"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
-    few = exact.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 2)
+    score = dot(F.col("q"), F.col("vector")).alias("score")
+    exact = few.join(heads.select("entry", "vector"), "entry").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id").select("query_id", "entry", score)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        few.join(rows.select("entry", "vec_id"), "entry")
+        exact.join(rows.select("entry", "vec_id"), "entry")
         .where(F.col("vec_id") != F.col("query_id"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
