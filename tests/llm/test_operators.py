@@ -136,6 +136,49 @@ def test_licenses(docs):
     assert got[4].n_words == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        prev, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            prev, row[j + 1] = row[j + 1], min(prev + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_license_labels_brute_force(docs):
+    """The method's labels on notices with planted edits: those within the bound, by edit distance over all runs of words."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(120):
+        phrase = list(r.choice(licenses.NOTICES).phrase)
+        for _ in range(r.randrange(6)):
+            at = r.randrange(2, len(phrase) - 2)
+            phrase[at : at + r.randrange(2)] = r.choice(["", "q", "zz"])
+        texts.append(" ".join(words(5, r.random()) + ["".join(phrase)] + words(5, r.random())))
+
+    def labels(text):
+        w, out = text.split(), set()
+        for n in licenses.NOTICES:
+            size = len(n.phrase.split())
+            for k in range(max(1, size - 3), size + 4):
+                out |= {n.label for i in range(len(w) - k + 1) if edit_distance(" ".join(w[i : i + k]), n.phrase) <= n.edits}
+        return ",".join(sorted(out))
+
+    got = {x.doc_id: x.labels for x in licenses.digest(licenses.scan(docs(*texts))).collect()}
+    assert got == {k: labels(t) for k, t in enumerate(texts)} and len(set(got.values())) > 8
+
+
+def test_license_scan_is_linear():
+    """A text of very many notices, exact and edited."""
+    import time
+
+    searcher = licenses.Searcher(licenses.NOTICES)
+    start = time.process_time()
+    found = searcher.search("under the mit license and undr the mit license or cc by nc " * 30_000)
+    assert len(found) == 90_000 and found[-1][2] == 30_000 * 13 - 3
+    assert time.process_time() - start < 15
+
+
 def test_secrets(docs):
     key = "AKIA" + "A1B2" * 4
     texts = [

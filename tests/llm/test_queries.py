@@ -42,15 +42,21 @@ def test_op1(spark):
 
 
 def test_op5(spark):
+    """Base places by plain word lists, for every document, those without any included; the method's labels hold the base ones."""
     import re
 
-    for r in catalog.op5_license_scan(spark, SF).collect():
-        text = next(d.text for d in rows(spark, "documents") if d.doc_id == r.doc_id) if r.n_base else None
-        if text is not None:
-            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
-            places = [(k, label) for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")) for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
-            assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places)[0], max(places)[0])
-            assert r.base_labels == ",".join(sorted({x for _, x in places}))
+    phrases = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+    got = {r.doc_id: r for r in catalog.op5_license_scan(spark, SF).collect()}
+    seen = 0
+    for d in rows(spark, "documents"):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), d.text or ""))
+        places = sorted((k, label) for phrase, label in phrases for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        r, labels = got.pop(d.doc_id), {x for _, x in places}
+        first, last = (places[0][0], places[-1][0]) if places else (None, None)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), first, last, ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) and (r.score == 1.0) == bool(places or any(not x.edits for x in r.found))
+        seen += len(places)
+    assert seen and not got
 
 
 def test_op6(spark):

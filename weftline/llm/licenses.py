@@ -8,6 +8,7 @@ verifies the notice, counts its edits and tells its span.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -63,7 +64,7 @@ class Searcher:
         import ahocorasick
         import regex
 
-        self.notices = notices
+        self.notices, self.blank = notices, regex.compile(" ")
         places: dict[str, list[tuple[int, int]]] = {}
         for k, notice in enumerate(notices):
             for offset, seed in notice.seeds():
@@ -90,24 +91,28 @@ class Searcher:
                     own[-1][0] = min(own[-1][0], lo)
                 else:
                     own.append([lo, hi])
+        if not windows:
+            return []
         out = []
         for k, spans in windows.items():
             notice = self.notices[k]
-            exact = self.exact(joined, notice.phrase)
-            out += [(a, a + len(notice.phrase), k, 0) for a in exact]
-            taken = [(a, a + len(notice.phrase)) for a in exact]
+            size, exact = len(notice.phrase), self.exact(joined, notice.phrase)
+            out += [(a, a + size, k, 0) for a in exact]
             done = 0
             for lo, hi in spans if notice.edits else ():
                 at = max(lo, done)
                 while m := self.patterns[k].search(joined, at, hi):
                     done = max(m.end(), at + 1)
-                    if not any(a < m.end() and m.start() < b for a, b in taken):
+                    # Exact places have one length: the first that ends beyond the match's start is the one that may overlap it.
+                    near = bisect_right(exact, m.start() - size)
+                    if near == len(exact) or exact[near] >= m.end():
                         out.append((m.start() + (m.group()[:1] == " "), m.end(), k, sum(m.fuzzy_counts)))
                     at = done
-        return [self.place(joined, *x) for x in sorted(out)]
+        starts = [0, *(m.end() for m in self.blank.finditer(joined))]
+        return [self.place(joined, starts, *x) for x in sorted(out)]
 
-    def place(self, joined: str, start: int, end: int, k: int, edits: int) -> tuple:
-        notice, first = self.notices[k], joined.count(" ", 0, start)
+    def place(self, joined: str, starts: list[int], start: int, end: int, k: int, edits: int) -> tuple:
+        notice, first = self.notices[k], bisect_right(starts, start) - 1
         return notice.label, notice.base and not edits, first, first + joined[start:end].strip().count(" "), edits, len(notice.phrase)
 
     @staticmethod
