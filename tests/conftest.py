@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # Spark's tasks share the cores already
+    os.environ.setdefault(name, "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 

@@ -6,6 +6,7 @@ from weftline.functions import chunks, text, vectors
 from weftline.operators import access, evaluation, merge
 from weftline.plans import retrieval
 from weftline.plans.engine import Engine
+from weftline.sources.workspace import Workspace
 
 
 def test_vote_collapse(spark):
@@ -72,15 +73,172 @@ def test_engine(spark, tmp_path):
     assert engine.table("edges").where("entity = '\"LIGHTHOUSE\"'").isEmpty()
 
 
-def test_stream(spark, tmp_path):
+def state(engine):
+    """All tables' rows, as sets."""
+    from weftline.plans.engine import SCHEMAS
+
+    return {name: sorted(map(repr, engine.table(name).collect())) for name in SCHEMAS}
+
+
+SENTENCES = [
+    "The lighthouse keeper watches wonderful seabirds. Seabirds like lighthouse windows.",
+    "Mountains collect snowflakes every wintertime. The lighthouse keeper watches wonderful seabirds.",
+    "Gardeners cultivate strawberries carefully.",
+]
+
+
+def test_insert_is_atomic_and_repeatable(spark, tmp_path, monkeypatch):
+    """A failure at any write of the second insert leaves the first's state, and the insert run again equals a clean one."""
+    first = spark.createDataFrame([(SENTENCES[0],)], "content string")
+    second = spark.createDataFrame([(t,) for t in SENTENCES[1:]], "content string")
+    clean = Engine(spark, str(tmp_path / "clean"))
+    clean.insert(first)
+    before = state(clean)
+    clean.insert(second)
+    after = state(clean)
+    real = Workspace._write
+    engine = Engine(spark, str(tmp_path / "w"))
+    engine.insert(first)
+    for fails_at in (1, 5, 9):  # of nine tables
+        seen = []
+
+        def write(self, name, rows):
+            seen.append(name)
+            if len(seen) == fails_at:
+                raise OSError("lost")
+            return real(self, name, rows)
+
+        monkeypatch.setattr(Workspace, "_write", write)
+        try:
+            engine.insert(second)
+        except OSError:
+            pass
+        monkeypatch.setattr(Workspace, "_write", real)
+        assert len(seen) == fails_at and engine.table("facts").count() == len(before["facts"]) and engine.table("docs").count() == 1
+    engine.insert(second)
+    assert state(engine) == after
+    counted = access.node_degree(engine.table("edges"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, engine.table("degrees").collect()))
+
+
+def test_rebuild_vacuum_and_compaction(spark, tmp_path, monkeypatch):
+    from weftline.sources import workspace
+
+    monkeypatch.setattr(workspace, "MOST_FOLDERS", 2)
+    docs = lambda texts: spark.createDataFrame([(t,) for t in texts], "content string")
+    engine = Engine(spark, str(tmp_path / "w"))
+    for t in SENTENCES:
+        engine.insert(docs([t]))
+    assert max(map(len, engine.store.folders().values())) <= 2
+    held = state(engine)
+    engine.store.vacuum()
+    assert state(engine) == held and engine.store.missing("docs", "facts", "nothing") == ["nothing"]
+    assert {f for parts in engine.store.folders().values() for f in parts} == {p.name for p in (tmp_path / "w" / "tables").iterdir()}
+    engine.rebuild(docs(SENTENCES))
+    again = state(engine)
+    assert all(again[n] == held[n] for n in ("docs", "facts", "edges", "degrees", "fact_vectors"))
+    engine.rebuild(docs(SENTENCES[2:]))
+    assert engine.table("docs").count() == 1 and engine.table("facts").count() == 1
+
+
+def test_custom_graph_and_delete(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "w"))
+    engine.insert(spark.createDataFrame([(SENTENCES[0],)], "content string"))
+    chunks = spark.createDataFrame([("s", "Paris is in France")], "source_id string, content string")
+    entities = spark.createDataFrame([("Paris", "CITY", "a city", "s"), ("lighthouse", "ANIMAL", "a bird", "s")], "entity_name string, entity_type string, description string, source_id string")
+    relations = spark.createDataFrame([("Paris", "France", "in", "place", 2.0, "s"), ("Paris", "lighthouse", "has", "life", None, None)], "src_id string, tgt_id string, description string, keywords string, weight double, source_id string")
+    for _ in range(2):
+        engine.insert_graph(chunks, entities, relations)
+    kinds = {r.entity: (r.entity_type, r.descriptions) for r in engine.table("entities").collect()}
+    assert kinds['"PARIS"'] == ("CITY", ["a city"]) and kinds['"FRANCE"'][0] == "UNKNOWN" and kinds['"LIGHTHOUSE"'][0] == "ANIMAL" and len(kinds['"LIGHTHOUSE"'][1]) > 1
+    assert {(r.src, r.tgt, r.weight) for r in engine.table("kg_edges").collect()} == {('"PARIS"', '"FRANCE"', 2.0), ('"PARIS"', '"LIGHTHOUSE"', 1.0)}
+    engine.delete(spark.createDataFrame([("lighthouse",), ("france",)], "name string"))
+    left = {r.entity for r in engine.table("entities").collect()}
+    assert not left & {'"LIGHTHOUSE"', '"FRANCE"'} and engine.table("kg_edges").count() == 0
+    assert {r.name for r in engine.table("entity_vectors").collect()} == left
+    assert engine.table("edges").where("entity = '\"LIGHTHOUSE\"'").isEmpty() and '"LIGHTHOUSE"' not in {r.node for r in engine.table("degrees").collect()}
+
+
+def test_own_embedder(spark, tmp_path):
+    """Any callable over lists of texts; vectors of a wrong shape are refused."""
+    import numpy as np
+    import pytest
+
+    def letters(texts):
+        return np.array([[t.lower().count(c) for c in "abcdefghij"] for t in texts], dtype=float)
+
+    rows = spark.createDataFrame([("x", "abba"), ("y", "zz"), ("z", None)], "name string, content string")
+    got = {r.name: r.embedding for r in vectors.embedded_by(rows, "name", "content", letters, 10).collect()}
+    assert got["x"][:2] == [2.0, 2.0] and got["y"] == [0.0] * 10 and got["z"] == [0.0] * 10
+    with pytest.raises(Exception, match="10 vectors|of 9"):
+        vectors.embedded_by(rows, "name", "content", letters, 9).collect()
+    sparse = lambda r: vectors.sparse_units(vectors.embedded_by(r, "name", "content", letters, 10), "name")
+    engine = Engine(spark, str(tmp_path / "w"), embedder=sparse)
+    engine.insert(spark.createDataFrame([(t,) for t in SENTENCES], "content string"))
+    asks = spark.createDataFrame([(1, "gardeners cultivate strawberries carefully")], "query_id long, text string")
+    assert engine.query(asks, retrieval.QueryParams(mode="naive", at_least=0.9)).first().knowledge == SENTENCES[2]
+
+
+def test_small_operators(spark, tmp_path):
+    """Operators that no registered query uses."""
+    from weftline.operators import extraction, search
+    from weftline.sources import corpus
+
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("1", "x", "t", "f", 0)], corpus.CORPUS)
+    corpus.write_corpus(rows, path)
+    corpus.append_corpus(rows, path)
+    assert corpus.read_corpus_strict(spark, path).count() == 2
+    (tmp_path / "bad.jsonl").write_text('{"id": "1"}\nbroken\n')
+    for attempt in (lambda: corpus.read_corpus_strict(spark, str(tmp_path / "bad.jsonl")).collect(), lambda: corpus.write_corpus(rows, path)):
+        try:
+            attempt()
+        except Exception:
+            continue
+        raise AssertionError("accepted")
+    (tmp_path / "q.json").write_text('[{"question": "a?", "golden_answers": ["b", "c"]}]')
+    assert [tuple(r) for r in corpus.read_questions(spark, str(tmp_path / "q.json")).collect()] == [("a?", ["b", "c"])]
+    files = spark.createDataFrame([("a.txt", b"fine"), ("a.pdf", b"x"), ("b.txt", b"\xff\xfe"), ("c.txt", b" ")], "path string, content binary")
+    assert [r.error for r in corpus.valid_uploads(files).collect()] == [None, "only .txt files", "not UTF-8", "empty file"]
+    table = spark.createDataFrame([("E", ["word " * 600]), ("F", ["short"])], "entity string, descriptions array<string>")
+    got = {r.entity: r.description for r in merge.summarised(table, lambda c: F.left(c, F.lit(4))).collect()}
+    assert got == {"E": "word", "F": "short"}
+    points = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(20)], "id long, embedding array<double>")
+    near = search.approximate_pairs(points.where("id = 0").toDF("query_id", "query"), points, 0.1)
+    assert {r.id for r in near.collect()} <= {0, 5, 10, 15} and 0 in {r.id for r in near.collect()}
+    row = spark.range(1).select(search.unit(F.array(F.lit(3.0), F.lit(4.0))).alias("u"), text.csv_line(F.lit("a,b"), F.lit(1)).alias("c"), text.args_hash(F.lit(1), F.lit("x")).alias("h"), text.args_hash(F.lit(1), F.lit("y")).alias("g"), text.parsed_json(F.lit("so {'k': 3} ok"), "k int")["k"].alias("k")).first()
+    assert row.u == [0.6, 0.8] and row.c == '"a,b",1' and row.h != row.g and row.k == 3
+    assert extraction.prompt("Of {kind}: {input_text}", F.lit("x"), kind="facts") is not None
+    entities = spark.createDataFrame([("A", "T", "d", "s")], "id string, entity_type string, description string, source_id string")
+    edges = spark.createDataFrame([("A", "B", 2.5, "d", "k", "s")], "source string, target string, weight double, description string, keywords string, source_id string")
+    corpus.write_graphml(entities, edges, str(tmp_path / "g"))
+    nodes, back = corpus.read_graphml(spark, str(tmp_path / "g" / "edges")), corpus.read_graphml(spark, str(tmp_path / "g" / "nodes"))
+    assert [(r.source, r.target, r.weight) for r in nodes[1].collect()] == [("A", "B", 2.5)] and [tuple(r) for r in back[0].collect()] == [("A", "T", "d", "s")]
+
+
+def test_stream(spark, tmp_path, monkeypatch):
+    """A batch that fails in its last write is retried, and its documents are counted once."""
     from weftline.streaming.ingest import ingest
 
     engine = Engine(spark, str(tmp_path / "w"))
     source = tmp_path / "in"
     spark.createDataFrame([("Gardeners cultivate strawberries carefully.",)], "content string").write.json(str(source))
+    run = lambda: ingest(spark.readStream.schema("content string").json(str(source)), engine, str(tmp_path / "cp")).awaitTermination()
+    real = Workspace._write
+    monkeypatch.setattr(Workspace, "_write", lambda self, name, rows: real(self, name, rows) if name != "chunk_vectors" else 1 / 0)
+    try:
+        run()
+    except Exception:
+        pass
+    monkeypatch.setattr(Workspace, "_write", real)
+    assert engine.table("docs").isEmpty()
     for _ in range(2):
-        ingest(spark.readStream.schema("content string").json(str(source)), engine, str(tmp_path / "cp")).awaitTermination()
-    assert engine.table("docs").count() == 1
+        run()
+    assert engine.table("docs").count() == 1 and engine.table("facts").count() == 1
+    weight = engine.table("facts").first().weight
+    once = Engine(spark, str(tmp_path / "o"))
+    once.insert(spark.createDataFrame([("Gardeners cultivate strawberries carefully.",)], "content string"))
+    assert once.table("facts").first().weight == weight
 
 
 def test_files(spark, tmp_path):

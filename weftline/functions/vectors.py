@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +40,30 @@ def embedded(rows: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame
     bucket = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dim).cast("int")
     counts = words.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     return counts.select(key, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))).alias("value"))
+
+
+def embedded_by(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray], dim: int, at_once: int = 32) -> DataFrame:
+    """Key, embedding by any callable from a list of texts to as many vectors of ``dim`` numbers; null text counts as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].fillna("").tolist()
+            parts = []
+            for k in range(0, len(texts), at_once):
+                some = texts[k : k + at_once]
+                got = np.asarray(embed(some), dtype=float)
+                if got.shape != (len(some), dim):
+                    raise ValueError(f"{len(some)} texts gave an array of shape {got.shape}, not vectors of {dim}")
+                parts += got.tolist()
+            yield pd.DataFrame({"key": batch["key"], "embedding": parts})
+
+    kind = dict(rows.dtypes)[key]
+    out = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, embedding array<double>")
+    return out.withColumnRenamed("key", key)
+
+
+def sparse_units(rows: DataFrame, key: str) -> DataFrame:
+    """Dense vectors (embedding) as key, bucket, value of unit length, without zeros; a zero vector has no row."""
+    length = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    each = rows.withColumn("length", length).where("length > 0").select(key, "length", F.posexplode("embedding").alias("bucket", "x"))
+    return each.where("x <> 0").select(key, "bucket", (F.col("x") / F.col("length")).alias("value"))

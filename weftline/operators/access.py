@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,15 +36,23 @@ def present(keys: DataFrame, table: DataFrame, *on: str) -> DataFrame:
     return keys.join(table, list(on), "left_semi")
 
 
-def looked_up(keys: DataFrame, table: DataFrame, key: str, *fields: str) -> DataFrame:
-    """The fields of each key, null where the table lacks it."""
-    return keys.join(table.select(key, *fields), key, "left")
+def looked_up(keys: DataFrame, table: DataFrame, key: str, *fields: str, default: dict | None = None) -> DataFrame:
+    """The fields of each key; where the table lacks it, ``default`` (null for fields not given there)."""
+    return keys.join(table.select(key, *fields), key, "left").fillna(default or {}) if default else keys.join(table.select(key, *fields), key, "left")
 
 
-def related_edges(seeds: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """query_id, entity, fact, degree, weight, rank: edges of the seeds (query_id, entity, seed_rank), by degree, then weight, then discovery."""
+def related_edges(seeds: DataFrame, edges: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+    """query_id, entity, fact, degree, weight, rank: edges of the seeds (query_id, entity, seed_rank), by degree, then weight, then discovery.
+
+    ``degrees`` (node, degree) are those that an insert has stored; without them they are counted
+    for the ends of the seeds' edges alone.
+    """
     found = seeds.groupBy("query_id", "entity").agg(F.min("seed_rank").alias("seed_rank")).join(edges, "entity")
-    ranked = found.join(edge_degree(edges), ["fact", "entity"])
+    if degrees is None:
+        near = edges.join(seeds.select("entity").distinct(), "entity", "left_semi")
+        facts = edges.join(near.select("fact").distinct(), "fact", "left_semi").groupBy(F.col("fact").alias("node")).agg(F.count("*").alias("degree"))
+        degrees = near.groupBy(F.col("entity").alias("node")).agg(F.count("*").alias("degree")).union(facts)
+    ranked = found.join(degrees.toDF("fact", "d1"), "fact").join(degrees.toDF("entity", "d2"), "entity").withColumn("degree", F.col("d1") + F.col("d2"))
     order = Window.partitionBy("query_id").orderBy(F.desc("degree"), F.desc("weight"), "seed_rank", "seq", "fact")
     return ranked.select("query_id", "entity", "fact", "degree", "weight", F.row_number().over(order).alias("rank"))
 
@@ -69,6 +77,14 @@ def text_units_from_facts(seeds: DataFrame, facts: DataFrame) -> DataFrame:
     return seeds.join(facts.select("fact", F.explode("source_ids").alias("chunk_id")), "fact").groupBy("query_id", "chunk_id").agg(F.min("seed_rank").alias("seed_rank"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; a local one only where the master is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node, label (the least member of its component) of the undirected pairs (a, b).
 
@@ -77,7 +93,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(scratch(spark))
 
     def hung_low(edges: DataFrame) -> DataFrame:
         down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -97,7 +113,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def largest_component(pairs: DataFrame) -> DataFrame:
     """The edges of the largest component, each from its lesser end, in order; of equal ones that with the least member."""
-    pairs = pairs.select("a", "b").persist()
+    pairs = pairs.select("a", "b")
     labels = components(pairs)
     top = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1)
     kept = labels.join(top.select("label"), "label", "left_semi").select(F.col("node").alias("a"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SET = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+
+def set_of(arrays: str) -> Column:
+    """The sorted set of all members of a group's arrays."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(arrays))))
 
 
 def merged_facts(facts: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Fact, weight (sum), source_ids (sorted set)."""
     new = facts.select("fact", "weight", F.array("chunk_id").alias("source_ids"))
-    return (new.unionByName(state) if state is not None else new).groupBy("fact").agg(F.sum("weight").alias("weight"), _SET("source_ids").alias("source_ids"))
+    return (new.unionByName(state) if state is not None else new).groupBy("fact").agg(F.sum("weight").alias("weight"), set_of("source_ids").alias("source_ids"))
 
 
 def merged_entities(mentions: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -20,27 +23,16 @@ def merged_entities(mentions: DataFrame, state: DataFrame | None = None) -> Data
     if state is not None:
         old = state.select("entity", "entity_type", F.struct(F.lit(1).alias("old"), F.lit("").alias("chunk_id"), F.lit(0).alias("pos")).alias("seen"), "descriptions", "source_ids")
         new = new.unionByName(old)
-    by_type = new.groupBy("entity", "entity_type").agg(F.count("*").alias("votes"), F.min("seen").alias("first"), _SET("descriptions").alias("descriptions"), _SET("source_ids").alias("source_ids"))
+    by_type = new.groupBy("entity", "entity_type").agg(F.count("*").alias("votes"), F.min("seen").alias("first"), set_of("descriptions").alias("descriptions"), set_of("source_ids").alias("source_ids"))
     best = F.min_by("entity_type", F.struct(-F.col("votes"), F.col("first")))
-    return by_type.groupBy("entity").agg(best.alias("entity_type"), _SET("descriptions").alias("descriptions"), _SET("source_ids").alias("source_ids"))
+    return by_type.groupBy("entity").agg(best.alias("entity_type"), set_of("descriptions").alias("descriptions"), set_of("source_ids").alias("source_ids"))
 
 
 def merged_edges(mentions: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Fact, entity, weight (sum), source_ids, seq (chunk and place first seen)."""
     new = mentions.select("fact", "entity", "weight", F.array("chunk_id").alias("source_ids"), F.struct("chunk_id", "pos").alias("seq"))
     both = new.unionByName(state) if state is not None else new
-    return both.groupBy("fact", "entity").agg(F.sum("weight").alias("weight"), _SET("source_ids").alias("source_ids"), F.min("seq").alias("seq"))
-
-
-def vector_texts(entities: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, name, content) of both indexes."""
-    from weftline.functions.text import hash_id
-
-    content = F.concat("entity", F.array_join("descriptions", "<SEP>"))
-    return (
-        entities.select(hash_id(F.col("entity"), "ent-").alias("id"), F.col("entity").alias("name"), content.alias("content")),
-        facts.select(hash_id(F.col("fact"), "rel-").alias("id"), F.col("fact").alias("name"), F.col("fact").alias("content")),
-    )
+    return both.groupBy("fact", "entity").agg(F.sum("weight").alias("weight"), set_of("source_ids").alias("source_ids"), F.min("seq").alias("seq"))
 
 
 def summarised(entities: DataFrame, summarise, limit: int = 500) -> DataFrame:
@@ -56,8 +48,10 @@ def new_keys(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def insert_absent(stored: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
-    """Stored rows, and incoming ones with a new key."""
-    return stored.unionByName(incoming.join(stored.select(*key).distinct(), list(key), "left_anti"))
+    """Stored rows, and incoming ones with a new key; of several incoming rows of one key the least."""
+    rest = [c for c in incoming.columns if c not in key]
+    once = incoming.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*") if rest else incoming.distinct()
+    return stored.unionByName(once.join(stored.select(*key).distinct(), list(key), "left_anti"))
 
 
 def replace_rows(stored: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:

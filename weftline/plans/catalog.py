@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.operators import access, cache, context, evaluation, extraction, merge, search
 from weftline.plans import retrieval
+from weftline.plans.engine import Engine
 
 SIZE, OVERLAP = 120, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,12 +43,21 @@ def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.records(extraction.rule_responses(chunk_table(spark, sf_dir)))
 
 
+def built(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over a workspace of ``documents``, built at the session's first use of that folder.
+
+    Another insert of the same documents would find them all known, so later queries go without.
+    """
+    folder = zlib.crc32(f"{sf_dir}/{spark.sparkContext.applicationId}".encode())
+    engine = Engine(spark, f"{access.scratch(spark)}/weftline-graph-{folder}", SIZE, OVERLAP)
+    if not engine.store.exists("docs"):
+        engine.insert(read(spark, sf_dir, "documents").select(F.col("text").alias("content")))
+    return engine
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> retrieval.Graph:
-    """The graph of ``documents``; the parsed records are kept for the plan's several readers."""
-    chunks = chunk_table(spark, sf_dir)
-    rows = extraction.records(extraction.rule_responses(chunks)).persist()
-    mentions = extraction.mentions(rows)
-    return retrieval.Graph(merge.merged_entities(mentions), merge.merged_facts(extraction.facts(rows)), merge.merged_edges(mentions), chunks)
+    """The stored graph of ``documents``."""
+    return built(spark, sf_dir).graph()
 
 
 CHUNKS = r"""
@@ -217,6 +229,24 @@ def node_degree(spark, sf_dir):
     return access.node_degree(graph_of(spark, sf_dir).edges)
 
 
+@query(f"WITH {MENTIONS} SELECT node, degree FROM degrees")
+def stored_degrees(spark, sf_dir):
+    """The degrees that the insert has kept."""
+    return graph_of(spark, sf_dir).degrees
+
+
+@query(f"WITH {MENTIONS}, {PATHS} SELECT entity AS name, count(*) AS n_buckets, round(sum(value * value), 6) AS squares, sum(bucket)::BIGINT AS buckets FROM ev GROUP BY entity")
+def vector_upsert(spark, sf_dir):
+    """The entities' stored vectors after two inserts, the second of which touches entities of the first."""
+    folder = f"{access.scratch(spark)}/weftline-twice-{uuid.uuid4().hex}"
+    engine, docs = Engine(spark, folder, SIZE, OVERLAP), read(spark, sf_dir, "documents")
+    half = F.crc32(F.coalesce("text", F.lit(""))) % 2
+    for k in (0, 1):
+        engine.insert(docs.where(half == k).select(F.col("text").alias("content")))
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["value"] * x["value"])
+    return engine.table("entity_vectors").select("name", F.size("vector").cast("long").alias("n_buckets"), F.round(squares, 6).alias("squares"), F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x["bucket"]).alias("buckets"))
+
+
 @query(f"WITH {MENTIONS} SELECT e.fact, e.entity, a.degree + b.degree AS degree FROM edges e JOIN degrees a ON a.node = e.fact JOIN degrees b ON b.node = e.entity")
 def edge_degree(spark, sf_dir):
     return access.edge_degree(graph_of(spark, sf_dir).edges)
@@ -231,10 +261,7 @@ def incident_edges(spark, sf_dir):
 @query(f"WITH {MENTIONS}, {PATHS} SELECT query_id, entity, fact, a.degree + b.degree AS degree, weight FROM eh JOIN edges e USING (entity) JOIN degrees a ON a.node = e.entity JOIN degrees b ON b.node = e.fact")
 def related_edges(spark, sf_dir):
     graph = graph_of(spark, sf_dir)
-    names = graph.entities.select(F.col("entity").alias("name"), F.concat_ws(" ", F.regexp_replace("entity", '"', ""), F.array_join("descriptions", " ")).alias("content"))
-    hits = search.sparse_top_k(vx.embedded(asked(spark, sf_dir), "query_id", "text"), vx.embedded(names, "name", "content"), 60)
-    seeds = hits.select("query_id", F.col("name").alias("entity"), F.col("rank").alias("seed_rank"))
-    return access.related_edges(seeds, graph.edges, graph.facts).drop("rank")
+    return access.related_edges(_seeds(spark, sf_dir, graph, "entity"), graph.edges).drop("rank")
 
 
 _TOP = "SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round({0}, 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({0}, 9) DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 {1}) WHERE rank <= 20"
@@ -292,11 +319,8 @@ _UNIT_SQL = f"WITH {MENTIONS}, {PATHS}, around AS (SELECT e.entity, u.chunk_id,
 
 
 def _seeds(spark, sf_dir, graph, kind):
-    if kind == "entity":
-        names = graph.entities.select(F.col("entity").alias("name"), F.concat_ws(" ", F.regexp_replace("entity", '"', ""), F.array_join("descriptions", " ")).alias("content"))
-    else:
-        names = graph.facts.select(F.col("fact").alias("name"), F.regexp_replace(F.replace("fact", F.lit(extraction.FACT_MARK), F.lit("")), '"', "").alias("content"))
-    hits = search.sparse_top_k(vx.embedded(asked(spark, sf_dir), "query_id", "text"), vx.embedded(names, "name", "content"), 60)
+    stored = graph.entity_vectors if kind == "entity" else graph.fact_vectors
+    hits = search.sparse_top_k(graph.asked(asked(spark, sf_dir)), stored, 60)
     return hits.select("query_id", F.col("name").alias(kind), F.col("rank").alias("seed_rank"))
 
 
@@ -347,7 +371,8 @@ def graph_stats(spark, sf_dir):
     return nodes.agg(one("node").alias("n_entities"), one("fact").alias("n_facts"), one("edge").alias("n_edges"))
 
 
-_SPLIT = "o_orderkey % 3 <> 0"
+# Every order is stored, new, or both.
+_SPLIT = "o_orderkey % 2 <> 0 OR o_orderkey % 3 = 0"
 
 
 def _halves(spark, sf_dir):
@@ -403,17 +428,34 @@ def _pairs(spark, sf_dir):
     return gold.join(said, "conv_id")
 
 
-@query()
+def _words(text: str) -> str:
+    marks = tx.PUNCTUATION.replace("'", "''")
+    return f"list_filter(string_split_regex(translate(lower({text}), '{marks}', ''), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+
+
+def _bare(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s]', '', 'g'))"
+
+
+_PAIRS = """pairs AS (SELECT conv_id, golds, prediction
+  FROM (SELECT conv_id, list_sort(list_distinct(list(text))) AS golds FROM conversations WHERE role = 'user' GROUP BY conv_id)
+  JOIN (SELECT conv_id, arg_min(text, (turn, text)) AS prediction FROM conversations WHERE role = 'assistant' GROUP BY conv_id) USING (conv_id))"""
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, (CASE WHEN list_contains(list_transform(golds, lambda g: {_words('g')}), {_words('prediction')}) THEN 1 ELSE 0 END)::DOUBLE AS em FROM pairs")
 def qa_em(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", evaluation.exact_match(F.col("prediction"), F.col("golds")).alias("em"))
 
 
-@query()
+@query(f"""WITH {_PAIRS},
+each AS (SELECT conv_id, {_words('prediction')} AS p, unnest(list_transform(golds, lambda g: {_words('g')})) AS g FROM pairs),
+same AS (SELECT conv_id, len(p) + len(g) AS n, coalesce(list_sum(list_transform(list_intersect(p, g), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS s FROM each)
+SELECT conv_id, round(max(CASE WHEN s = 0 THEN 0 ELSE 2.0::DOUBLE * s / n END), 9) AS f1 FROM same GROUP BY conv_id""")
 def qa_f1(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", F.round(evaluation.best_f1(F.col("prediction"), F.col("golds")), 9).alias("f1"))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT conv_id, len(list_filter(golds, lambda g: contains({_bare('prediction')}, {_bare('g')}))) > 0 AS met FROM pairs")
 def qa_contains(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", tx.contains_any(F.col("prediction"), F.col("golds")).alias("met"))
 
@@ -430,6 +472,74 @@ def rag_context(spark, sf_dir):
     return context.sources_text(answers("hybrid")(spark, sf_dir), 5)
 
 
-@query()
+@query(f"WITH {MENTIONS}, {PATHS}, top AS ({fused_sql('local_path', 'global_path')}) SELECT query_id, json_object('query', query_id, 'results', list(json_object('<knowledge>', knowledge, '<coherence>', coherence) ORDER BY rank))::VARCHAR AS json FROM top GROUP BY query_id")
 def search_json(spark, sf_dir):
     return context.answers_json(answers("hybrid")(spark, sf_dir))
+
+
+_NAMES = "names AS (SELECT DISTINCT '\"' || upper(w) || '\"' AS entity FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM benchmark))"
+
+
+def _names(spark, sf_dir):
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)))
+    return read(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.concat(F.lit('"'), F.upper("w"), F.lit('"')).alias("entity")).distinct()
+
+
+@query(f"WITH {MENTIONS}, {_NAMES} SELECT entity, coalesce(array_to_string(descriptions, '<SEP>'), 'none') AS description FROM names LEFT JOIN entities USING (entity)")
+def lookup_default(spark, sf_dir):
+    """The descriptions of the benchmark's long words, where the graph has them as entities, else a default."""
+    entities = graph_of(spark, sf_dir).entities.withColumn("description", F.array_join("descriptions", "<SEP>"))
+    return access.looked_up(_names(spark, sf_dir), entities, "entity", "description", default={"description": "none"})
+
+
+@query(f"WITH {MENTIONS}, {_NAMES} SELECT entity FROM names WHERE entity IN (SELECT entity FROM entities)")
+def node_exists(spark, sf_dir):
+    return access.present(_names(spark, sf_dir), graph_of(spark, sf_dir).entities, "entity")
+
+
+@query(f"WITH {MENTIONS}, {_NAMES} SELECT e.fact, e.entity FROM edges e JOIN names USING (entity)")
+def edge_exists(spark, sf_dir):
+    graph = graph_of(spark, sf_dir)
+    asked_edges = graph.edges.select("fact", "entity").join(_names(spark, sf_dir), "entity", "left_semi")
+    return access.present(asked_edges, graph.edges, "fact", "entity").select("fact", "entity")
+
+
+@query("SELECT vec_id AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'answer ' || vec_id END AS response FROM embeddings")
+def exact_cache(spark, sf_dir):
+    """All questions asked of a cache that holds every third's response."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.lit("local").alias("mode"), tx.args_hash(F.col("vec_id")).alias("args_hash"))
+    held = v.where("query_id % 3 = 0").select("mode", "args_hash", F.concat(F.lit("answer "), "query_id").alias("response"))
+    return cache.exact_hits(v, held).select("query_id", "response")
+
+
+@query("""
+WITH a AS (SELECT source AS "group", doc_id AS pos, lang AS item, 0 AS part FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source, doc_id, left(text, 3), 1 FROM documents WHERE doc_id % 2 = 1),
+seen AS (SELECT "group", item, min((part, pos)) AS first_at FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE item <> '' GROUP BY ALL)
+SELECT "group", item, row_number() OVER (PARTITION BY "group" ORDER BY first_at)::INT AS pos FROM seen""")
+def combine_contexts(spark, sf_dir):
+    """Two lists for each source: languages of the even documents, and beginnings of the odd ones."""
+    docs = read(spark, sf_dir, "documents")
+    rows = lambda odd, item: docs.where(F.col("doc_id") % 2 == odd).select(F.col("source").alias("group"), F.col("doc_id").alias("pos"), item.alias("item"))
+    return context.combined(rows(0, F.col("lang")), rows(1, F.left("text", F.lit(3))))
+
+
+@query(f"WITH {MENTIONS}, {PATHS}, top AS ({fused_sql('local_path', 'global_path')}), best AS (SELECT query_id, max(coherence) AS c FROM questions LEFT JOIN top USING (query_id) GROUP BY query_id) SELECT count(*) AS n, avg(CASE WHEN c IS NULL THEN 0.0 ELSE 1.0 END)::DOUBLE AS success, round(coalesce(avg(c), 0), 6) AS coherence FROM best")
+def retrieval_summary(spark, sf_dir):
+    found = asked(spark, sf_dir).select("query_id").join(answers("hybrid")(spark, sf_dir), "query_id", "left")
+    return evaluation.retrieval_summary(found).select("n", "success", F.round("coherence", 6).alias("coherence"))
+
+
+@query(r"""SELECT 'doc-' || left(md5(text), 16) AS id, text AS contents, 'd' || doc_id || '.x' AS title, 'd' || doc_id || '.x.txt' AS source_file, NULL::INT AS chunk_index FROM documents WHERE text IS NOT NULL""")
+def corpus_rows(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(F.lit("in/d"), "doc_id", F.lit(".x.txt")).alias("path"), "text")
+    return ch.corpus_rows(files, "whole")
+
+
+@query("SELECT event_id, event_id || ',' || user_id AS line FROM events")
+def csv_lines(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", tx.csv_line(F.col("event_id"), F.col("user_id")).alias("line"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
+def parsed_props(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", tx.parsed_json(F.concat(F.lit("reply: "), "props", F.lit(" end")), "k int")["k"].alias("k"))

@@ -1,7 +1,8 @@
-"""The engine: insert, query, delete and custom graphs over a workspace."""
+"""The engine: insert, rebuild, query, delete and custom graphs over a workspace."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,66 +10,129 @@ from pyspark.sql import functions as F
 
 from weftline.functions.chunks import distinct_chunks, windows
 from weftline.functions.text import hash_id, strip
+from weftline.functions.vectors import embedded
 from weftline.operators import extraction, merge
-from weftline.plans.retrieval import Graph, QueryParams, answer
+from weftline.operators.access import node_degree
+from weftline.plans.retrieval import Graph, QueryParams, answer, entity_texts, fact_texts
 from weftline.sources.workspace import Workspace
 
+VECTOR = "name string, vector array<struct<bucket: int, value: double>>"
 SCHEMAS = {
     "docs": "doc_key string, content string",
     "chunks": "chunk_id string, full_doc_id string, chunk_order_index int, tokens int, content string",
     "facts": "fact string, weight double, source_ids array<string>",
     "entities": "entity string, entity_type string, descriptions array<string>, source_ids array<string>",
     "edges": "fact string, entity string, weight double, source_ids array<string>, seq struct<chunk_id: string, pos: int>",
+    "degrees": "node string, degree long",
+    "entity_vectors": VECTOR,
+    "fact_vectors": VECTOR,
+    "chunk_vectors": VECTOR,
+    "kg_edges": "src string, tgt string, weight double, description string, keywords string, source_id string",
 }
+KEYS = {
+    "docs": ("doc_key",), "chunks": ("chunk_id",), "facts": ("fact",), "entities": ("entity",), "edges": ("fact", "entity"),
+    "degrees": ("node",), "entity_vectors": ("name",), "fact_vectors": ("name",), "chunk_vectors": ("name",), "kg_edges": ("src", "tgt"),
+}
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """The default embedder: name, bucket, value of (name, content)."""
+    return embedded(rows, "name", "content")
 
 
 @dataclass
 class Engine:
-    """G12 and the facade. ``extractor`` turns chunks (chunk_id, content) into responses (chunk_id, response)."""
+    """G12 and the facade.
+
+    ``extractor`` turns chunks (chunk_id, content) into responses (chunk_id, response), ``embedder``
+    texts (name, content) into sparse unit vectors (name, bucket, value); questions go through it, too.
+    """
 
     spark: SparkSession
     path: str
     size: int = 1200
     overlap: int = 100
-    extractor: object = field(default=extraction.rule_responses)
+    extractor: Callable[[DataFrame], DataFrame] = field(default=extraction.rule_responses)
+    embedder: Callable[[DataFrame], DataFrame] = field(default=hashed)
 
     def __post_init__(self):
-        self.store = Workspace(self.spark, self.path)
+        self.store = Workspace(self.spark, self.path, KEYS)
 
     def table(self, name: str) -> DataFrame:
         return self.store.read_or(name, SCHEMAS[name])
 
+    def vectors(self, texts: DataFrame) -> DataFrame:
+        """Name, vector of (name, content); texts without a word have no row."""
+        rows = self.embedder(texts)
+        return rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), F.col("value").cast("double").alias("value")))).alias("vector"))
+
     def insert(self, docs: DataFrame) -> None:
-        """Add documents (content). Known documents and chunks change nothing, so an insert may be run again.
+        """Add documents (content). Known documents and chunks change nothing.
 
-        Chunks are recorded before the graph is merged from them, by version: merged tables hold the
-        sources that they have counted, and a chunk found in none of them is merged (again).
+        The new rows of all tables are published by one commit: an insert that fails leaves
+        everything as it was, and may be run again, as a stream does with a batch. Of the stored
+        state only the keys that the new chunks touch are read into the merges and written.
         """
-        text = strip(F.col("content"))
-        new = merge.new_keys(docs.select(hash_id(text, "doc-").alias("doc_key"), text.alias("content")).dropDuplicates(["doc_key"]), self.table("docs"), "doc_key")
-        chunks = merge.new_keys(distinct_chunks(windows(new, "doc_key", "content", self.size, self.overlap)), self.table("chunks"), "chunk_id")
-        staged = self.store.write("staged", chunks)
-        if staged.isEmpty():
+        self._add(docs, self.table)
+
+    def rebuild(self, docs: DataFrame) -> None:
+        """The same from nothing; the old tables stay in force until the new ones are complete."""
+        self._add(docs, lambda name: self.spark.createDataFrame([], SCHEMAS[name]), fresh=True)
+
+    def _add(self, docs: DataFrame, table: Callable[[str], DataFrame], fresh: bool = False) -> None:
+        text, stage = strip(F.col("content")), self.store.stage
+        new = merge.new_keys(docs.select(hash_id(text, "doc-").alias("doc_key"), text.alias("content")).dropDuplicates(["doc_key"]), table("docs"), "doc_key")
+        new = stage("docs", new)
+        chunks = stage("chunks", merge.new_keys(distinct_chunks(windows(new, "doc_key", "content", self.size, self.overlap)), table("chunks"), "chunk_id"))
+        if chunks.isEmpty() and not fresh:
             return
-        rows = self.store.write("records", extraction.records(self.extractor(staged)))
+        rows = stage("records", extraction.records(self.extractor(chunks)))
         facts, mentions = extraction.facts(rows), extraction.mentions(rows)
-        if facts.isEmpty():
+        if facts.isEmpty() and not fresh:
             return
-        self.store.write("facts", merge.merged_facts(facts, self.table("facts")))
-        self.store.write("entities", merge.merged_entities(mentions, self.table("entities")))
-        self.store.write("edges", merge.merged_edges(mentions, self.table("edges")))
-        self.store.write("chunks", self.table("chunks").unionByName(staged))
-        self.store.write("docs", self.table("docs").unionByName(new))
+        touched = lambda name, keys, *on: table(name).join(keys.select(*on).distinct(), list(on), "left_semi")
+        merged_facts = stage("facts", merge.merged_facts(facts, touched("facts", facts, "fact")))
+        entities = stage("entities", merge.merged_entities(mentions, touched("entities", mentions, "entity")))
+        edges = stage("edges", merge.merged_edges(mentions, touched("edges", mentions, "fact", "entity")))
+        fresh_ends = node_degree(edges.join(table("edges").select("fact", "entity"), ["fact", "entity"], "left_anti"))
+        degrees = fresh_ends.unionByName(touched("degrees", fresh_ends, "node")).groupBy("node").agg(F.sum("degree").alias("degree"))
+        new_facts = merged_facts.join(table("fact_vectors").select(F.col("name").alias("fact")), "fact", "left_anti")
+        changes = {
+            "docs": new, "chunks": chunks, "facts": merged_facts, "entities": entities, "edges": edges, "degrees": degrees,
+            "entity_vectors": self.vectors(entity_texts(entities)), "fact_vectors": self.vectors(fact_texts(new_facts)),
+            "chunk_vectors": self.vectors(chunks.select(F.col("chunk_id").alias("name"), "content")),
+        }
+        self.store.commit(**{"replace" if fresh else "append": changes})
+
+    def insert_graph(self, chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> None:
+        """Add a hand-made graph (see ``merge.custom_graph``); a known entity keeps its chunks and gets the new type and description, too."""
+        texts, nodes, kg_edges = merge.custom_graph(chunks, entities, relations)
+        new = nodes.select("entity", "entity_type", F.array("description").alias("descriptions"), F.array("source_id").alias("source_ids"))
+        old = self.table("entities").join(new.select("entity").distinct(), "entity", "left_semi")
+        every = new.withColumn("age", F.lit(1)).unionByName(old.withColumn("age", F.lit(0))).groupBy("entity").agg(
+            F.max_by("entity_type", F.struct("age", "entity_type")).alias("entity_type"), merge.set_of("descriptions").alias("descriptions"), merge.set_of("source_ids").alias("source_ids"),
+        )
+        every = self.store.stage("entities", every)
+        held = texts.join(self.table("chunks").select("chunk_id"), "chunk_id", "left_anti").select(
+            "chunk_id", F.lit(None).cast("string").alias("full_doc_id"), F.lit(0).alias("chunk_order_index"), F.size(F.split("content", r"\s+")).alias("tokens"), "content"
+        )
+        one = kg_edges.groupBy("src", "tgt").agg(F.max(F.struct("weight", "description", "keywords", "source_id")).alias("row")).select("src", "tgt", "row.*")
+        self.store.commit(append={"chunks": held, "entities": every, "kg_edges": one, "entity_vectors": self.vectors(entity_texts(every))})
 
     def graph(self) -> Graph:
-        return Graph(self.table("entities"), self.table("facts"), self.table("edges"), self.table("chunks"))
+        vectors = {k: self.table(k).select("name", F.inline("vector")) for k in ("entity_vectors", "fact_vectors", "chunk_vectors")}
+        return Graph(*(self.table(k) for k in ("entities", "facts", "edges", "chunks")), degrees=self.table("degrees"), embedder=self.embedder, **vectors)
 
     def query(self, queries: DataFrame, params: QueryParams = QueryParams()) -> DataFrame:
         """query_id, rank, knowledge, coherence for queries (query_id, text)."""
         return answer(self.graph(), queries, params)
 
     def delete(self, names: DataFrame) -> None:
-        """Remove the entities (name) and their edges."""
+        """Remove the entities (name), their edges and vectors, and count the degrees anew, in one commit."""
         entities, edges = merge.delete_entity(self.table("entities"), self.table("edges"), names)
-        self.store.write("entities", entities)
-        self.store.write("edges", edges)
+        left = self.store.stage("edges", edges)
+        vectors = self.table("entity_vectors").join(entities.select(F.col("entity").alias("name")), "name", "left_semi")
+        kg_edges = self.table("kg_edges")
+        for end in ("src", "tgt"):
+            kg_edges = merge.delete_entity(kg_edges.withColumnRenamed(end, "entity"), self.table("edges"), names)[0].withColumnRenamed("entity", end)
+        self.store.commit(replace={"entities": entities, "edges": left, "degrees": node_degree(left), "entity_vectors": vectors, "kg_edges": kg_edges.select("src", "tgt", "weight", "description", "keywords", "source_id")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -25,31 +26,52 @@ class QueryParams:
 
 @dataclass
 class Graph:
-    """A graph's tables, as the merges give them."""
+    """A graph's tables, as the merges give them, with the vectors (name, bucket, value) and degrees that an insert stored, if any."""
 
     entities: DataFrame
     facts: DataFrame
     edges: DataFrame
     chunks: DataFrame
+    degrees: DataFrame | None = None
+    entity_vectors: DataFrame | None = None
+    fact_vectors: DataFrame | None = None
+    chunk_vectors: DataFrame | None = None
+    embedder: Callable[[DataFrame], DataFrame] = lambda rows: embedded(rows, "name", "content")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """query_id, bucket, value of queries (query_id, text)."""
+        return self.embedder(queries.select(F.col("query_id").alias("name"), F.col("text").alias("content"))).withColumnRenamed("name", "query_id")
+
+    def near(self, queries: DataFrame, stored: DataFrame | None, texts: DataFrame, params: QueryParams) -> DataFrame:
+        """query_id, name, score, rank by stored vectors, or by those of ``texts`` (name, content)."""
+        return sparse_top_k(self.asked(queries), self.embedder(texts) if stored is None else stored, params.top_k, params.at_least)
 
 
 def _plain(fact):
     return F.replace(fact, F.lit(FACT_MARK), F.lit(""))
 
 
+def entity_texts(entities: DataFrame) -> DataFrame:
+    """What is embedded of an entity: its name and descriptions."""
+    return entities.select(F.col("entity").alias("name"), F.concat_ws(" ", F.regexp_replace("entity", '"', ""), F.array_join("descriptions", " ")).alias("content"))
+
+
+def fact_texts(facts: DataFrame) -> DataFrame:
+    """What is embedded of a fact: its sentence."""
+    return facts.select(F.col("fact").alias("name"), F.regexp_replace(_plain("fact"), '"', "").alias("content"))
+
+
 def entity_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Q1: query_id, knowledge, position: facts next to the nearest entities, with one position for each (entity, fact)."""
-    names = graph.entities.select(F.col("entity").alias("name"), F.concat_ws(" ", F.regexp_replace("entity", '"', ""), F.array_join("descriptions", " ")).alias("content"))
-    hits = sparse_top_k(embedded(queries, "query_id", "text"), embedded(names, "name", "content"), params.top_k, params.at_least)
+    hits = graph.near(queries, graph.entity_vectors, entity_texts(graph.entities), params)
     seeds = hits.select("query_id", F.col("name").alias("entity"), F.col("rank").alias("seed_rank"))
-    found = related_edges(seeds, graph.edges, graph.facts)
+    found = related_edges(seeds, graph.edges, graph.degrees)
     return found.select("query_id", _plain("fact").alias("knowledge"), F.col("rank").alias("position"))
 
 
 def fact_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Q2: query_id, knowledge, position: the nearest facts by weight, ties in order of nearness."""
-    texts = graph.facts.select(F.col("fact").alias("name"), F.regexp_replace(_plain("fact"), '"', "").alias("content"))
-    hits = sparse_top_k(embedded(queries, "query_id", "text"), embedded(texts, "name", "content"), params.top_k, params.at_least)
+    hits = graph.near(queries, graph.fact_vectors, fact_texts(graph.facts), params)
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "rank")
     met = hits.join(graph.facts.select(F.col("fact").alias("name"), "weight"), "name")
     return met.select("query_id", _plain("name").alias("knowledge"), F.row_number().over(order).alias("position"))
@@ -68,8 +90,8 @@ def fused(first: DataFrame, second: DataFrame, top_k: int, rrf_k: int = 0) -> Da
 def naive_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Chunks nearest to the query."""
     texts = graph.chunks.select(F.col("chunk_id").alias("name"), "content")
-    hits = sparse_top_k(embedded(queries, "query_id", "text"), embedded(texts, "name", "content"), params.top_k, params.at_least)
-    return hits.join(graph.chunks.select(F.col("chunk_id").alias("name"), "content"), "name").select("query_id", F.col("content").alias("knowledge"), F.col("rank").alias("position"))
+    hits = graph.near(queries, graph.chunk_vectors, texts, params)
+    return hits.join(texts, "name").select("query_id", F.col("content").alias("knowledge"), F.col("rank").alias("position"))
 
 
 def answer(graph: Graph, queries: DataFrame, params: QueryParams = QueryParams()) -> DataFrame:

@@ -61,6 +61,14 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges (as ``read_graphml`` gives them) under ``path``/nodes and ``path``/edges, each part a GraphML file."""
+    data = lambda fields: F.array(*[F.struct(F.lit(k).alias("_key"), F.col(c).cast("string").alias("_VALUE")) for k, c in fields]).alias("data")
+    write = lambda rows, tag, to: rows.write.format("xml").option("rootTag", "graphml").option("rowTag", tag).save(f"{path}/{to}")
+    write(nodes.select(F.col("id").alias("_id"), data((("d0", "entity_type"), ("d1", "description"), ("d2", "source_id")))), "node", "nodes")
+    write(edges.select(F.col("source").alias("_source"), F.col("target").alias("_target"), data((("d3", "weight"), ("d4", "description"), ("d5", "keywords"), ("d6", "source_id")))), "edge", "edges")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question, golden_answers of a JSON array."""
     return spark.read.schema("question string, golden_answers array<string>").option("multiLine", True).json(path)

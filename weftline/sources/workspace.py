@@ -1,54 +1,120 @@
-"""Workspaces: Parquet tables with versions, switched by a pointer that is written last."""
+"""Workspaces: named Parquet tables published together by one manifest, which is written last."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of one table beyond which a commit writes it anew as one.
+MOST_FOLDERS = 8
+
 
 class Workspace:
-    """Named tables under one folder. A write makes a new version; readers keep theirs.
+    """Named tables under one folder, in versions.
 
-    The pointer is a one-row Parquet table per version: the highest committed version counts, so a
-    write that fails leaves the old table in force.
+    A version's manifest lists each table's folders, oldest first: a commit appends small folders of
+    changed rows, of which the newest row of a key counts, or replaces a table. Readers take the
+    highest manifest that Spark has committed, so a commit that fails anywhere changes nothing, and
+    all tables of a commit appear at once. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self, name: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        found = []
-        for s in fs.listStatus(hadoop):
-            place = s.getPath()
-            if place.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")):
-                found.append(int(place.getName()[2:]))
-        return sorted(found)
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, tuple[str, ...]] | None = None):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys or {}
+
+    def _folder(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _version(self) -> int:
+        """The highest committed version, 0 for none."""
+        place, fs = self._folder(f"{self.path}/manifest")
+        found = [s.getPath() for s in fs.listStatus(place)] if fs.exists(place) else []
+        success = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+        return max((int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(success(p))), default=0)
+
+    def folders(self) -> dict[str, list[str]]:
+        version = self._version()
+        if not version:
+            return {}
+        rows = self.spark.read.parquet(f"{self.path}/manifest/v={version}").orderBy("name", "place").collect()  # a few for each table
+        out: dict[str, list[str]] = {}
+        for r in rows:
+            out.setdefault(r["name"], []).append(r["folder"])
+        return out
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return name in self.folders()
+
+    def missing(self, *names: str) -> list[str]:
+        """Those of the tables that are not there."""
+        return sorted(set(names) - set(self.folders()))
+
+    def _rows(self, name: str, folders: list[str]) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.path}/tables/{f}") for f in folders]
+        if len(parts) == 1:
+            return parts[0]
+        key = self.keys.get(name, ())
+        every = parts[0].withColumn("_age", F.lit(0))
+        for k, part in enumerate(parts[1:], 1):
+            every = every.unionByName(part.withColumn("_age", F.lit(k)))
+        if not key:
+            return every.drop("_age")
+        rest = [c for c in parts[0].columns if c not in key]
+        if not rest:
+            return every.select(*key).distinct()
+        return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "_age").alias("_row")).select(*[c if c in key else F.col(f"_row.{c}").alias(c) for c in parts[0].columns])
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/v={self._versions(name)[-1]}")
+        return self._rows(name, self.folders()[name])
 
     def read_or(self, name: str, schema: str) -> DataFrame:
-        return self.read(name) if self.exists(name) else self.spark.createDataFrame([], schema)
+        folders = self.folders()
+        return self._rows(name, folders[name]) if name in folders else self.spark.createDataFrame([], schema)
+
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written beside the tables, for use within a commit's work."""
+        path = f"{self.path}/staging/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None) -> None:
+        """Write all tables, then the manifest that shows them."""
+        version, folders = self._version(), self.folders()
+        for name, rows, fresh in [*((n, r, False) for n, r in (append or {}).items()), *((n, r, True) for n, r in (replace or {}).items())]:
+            held = [] if fresh else folders.get(name, [])
+            folders[name] = [*held, self._write(name, rows)]
+            if len(folders[name]) > MOST_FOLDERS:
+                folders[name] = [self._write(name, self._rows(name, folders[name]))]
+        listed = [(name, k, f) for name, parts in folders.items() for k, f in enumerate(parts)]
+        self.spark.createDataFrame(listed, "name string, place int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version + 1}")
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/tables/{folder}")
+        return folder
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """Spark's commit puts _SUCCESS in place last; a version without it is not seen."""
-        version = (self._versions(name) or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v={version}")
+        self.commit(replace={name: rows})
         return self.read(name)
 
     def drop(self, name: str) -> None:
         self.write(name, self.read(name).limit(0))
 
+    def vacuum(self) -> None:
+        """Delete staged rows and all folders that the manifest in force does not list; for when no one reads older versions."""
+        used = {f for parts in self.folders().values() for f in parts}
+        for top in ("staging", "tables"):
+            place, fs = self._folder(f"{self.path}/{top}")
+            for s in fs.listStatus(place) if fs.exists(place) else []:
+                if s.getPath().getName() not in used:
+                    fs.delete(s.getPath(), True)
+
     def stats(self) -> DataFrame:
         """Rows of each table of the graph that is there."""
-        parts = [self.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("docs", "chunks", "entities", "facts", "edges") if self.exists(n)]
+        there = self.folders()
+        parts = [self.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("docs", "chunks", "entities", "facts", "edges") if n in there]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
