@@ -291,13 +291,18 @@ def test_mixing():
     assert (take <= np.array([n for _, n in cells])).all()
 
 
-def brute_rake(docs, targets):
+def topics_of(table):
+    """Topic of each text of a table, by the operator's own model."""
+    model, texts = mixing.fit_topics(table), list({r.text for r in table.collect()})
+    letters = mixing.np.array([any(c.isalpha() for c in t or "") for t in texts], dtype=bool)
+    return dict(zip(texts, model.of(mixing.pa.array(texts, mixing.pa.string()).fill_null(""), letters), strict=True))
+
+
+def brute_rake(docs, targets, topics):
     """Probability of each (source, lang, text) by plain dictionaries."""
-    import zlib
 
     def cell(source, lang, text):
-        word = next((w for w in (text or "").split(" ") if len(w) >= 9), None)
-        return str(source or "null"), str(lang or "null"), f"t{zlib.crc32(word.lower().encode()) % 8}" if word else "none"
+        return str(source or "null"), str(lang or "null"), topics[text]
 
     have = Counter()
     for d in docs:
@@ -308,8 +313,10 @@ def brute_rake(docs, targets):
     for c, n in have.items():
         for k in range(3):
             sums[k][c[k]] += n
-    for _ in range(targets.rounds):
-        for k, axis in enumerate(("source", "lang", "topic")):
+    for turn in range(2 * targets.rounds):
+        for k, axis in sorted(enumerate(("source", "lang", "topic")), key=lambda x: x[1] in targets.shares):
+            if turn >= targets.rounds and axis not in targets.shares:
+                continue
             if axis in targets.shares:
                 listed = {v: targets.shares[axis][v] for v in sums[k] if v in targets.shares[axis]}
                 rest = total - sum(n for v, n in sums[k].items() if v not in listed)
@@ -328,7 +335,19 @@ def mixed(spark, docs, targets):
     table = spark.createDataFrame([(k, t, g, s) for k, (s, g, t) in enumerate(docs)], "doc_id long, text string, lang string, source string")
     rows = mixing.calibrated(table, targets).collect()
     assert len(rows) == len(docs)
-    return {(r.source, r.lang, r.text): r.probability for r in rows}
+    return {(r.source, r.lang, r.text): r.probability for r in rows}, brute_rake(docs, targets, topics_of(table))
+
+
+def test_topics_are_of_whole_texts(spark):
+    """Texts that begin alike and differ afterwards; nulls and texts without letters."""
+    r = random.Random(3)
+    kinds = (["river", "mountain", "meadow", "forest"], ["protein", "enzyme", "membrane", "kinase"])
+    texts = ["The same beginning for everyone. " + " ".join(r.choice(kinds[k % 2]) for _ in range(60)) for k in range(60)]
+    table = spark.createDataFrame([(t,) for t in [*texts, None, "12 34", ""]], "text string")
+    model = mixing.fit_topics(table, topics=2)
+    got = model.of(mixing.pa.array(texts), mixing.np.ones(60, dtype=bool))
+    assert len(set(got[::2])) == len(set(got[1::2])) == 1 and got[0] != got[1]
+    assert model.of(mixing.pa.array(["", "12 34"]), mixing.np.zeros(2, dtype=bool)) == ["none", "none"]
 
 
 def test_mixing_keeps_values_that_no_target_lists(spark):
@@ -336,7 +355,7 @@ def test_mixing_keeps_values_that_no_target_lists(spark):
     r = random.Random(8)
     docs = [(r.choice("abc"), r.choice(["en", "en", "de", "de", None, "it"]), " ".join(r.choice(["some", "plain", "different", "languages"]) for _ in range(9)) + f" {k}") for k in range(400)]
     targets = mixing.Targets(shares={"lang": {"en": 0.75, "de": 0.25, "fr": 0.5}}, keep=0.4, rounds=30)
-    got, want = mixed(spark, docs, targets), brute_rake(docs, targets)
+    got, want = mixed(spark, docs, targets)
     assert all(abs(got[d] - want[d]) < 1e-6 for d in docs) and min(got.values()) > 0
     size = {g: sum(len(d[2].split()) for d in docs if d[1] == g) for g in ("en", "de", None, "it")}
     taken = {g: sum(got[d] * len(d[2].split()) for d in docs if d[1] == g) for g in size}
@@ -352,7 +371,7 @@ def test_mixing_rakes_every_source(spark, monkeypatch, driver_cells):
     docs = [(f"s{k % 260}", r.choice(["en", "de"]), " ".join(r.choice(["some", "plain", "different", "languages"]) for _ in range(2 + k % 7)) + f" {k}") for k in range(700)]
     docs += [("other", "en", f"several words here {k}") for k in range(20)] + [("s3", "fr", "rare words")] + [(f"s{k}", f"x{k}", f"one {k}") for k in range(210)] + [("s5", None, "")]
     targets = mixing.Targets(shares={"lang": {"en": 0.5, "de": 0.4, "fr": 0.1}}, keep=0.5, rounds=4)
-    got, want = mixed(spark, docs, targets), brute_rake(docs, targets)
+    got, want = mixed(spark, docs, targets)
     assert all(abs(got[d] - want[d]) < 1e-9 for d in docs) and min(got.values()) > 0
 
 
@@ -555,7 +574,7 @@ def test_pipeline_brute_force(spark):
     assert plain(third) == sorted(((d, t, g, s, len(t)) for d, t, g, s in masked), key=repr)
 
     fourth = c.stash(c.mix(spark, third, ""), "t")
-    chance = brute_rake([(s, g, t) for _, t, g, s, _ in plain(third)], c.MIX)
+    chance = brute_rake([(s, g, t) for _, t, g, s, _ in plain(third)], c.MIX, topics_of(third))
     draw = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(42))).otherwise(F.xxhash64("doc_id", F.lit(42)))
     u = {(x.doc_id, x.text): x.u for x in third.select("doc_id", "text", (F.pmod(draw, F.lit(1 << 53)) / float(1 << 53)).alias("u")).collect()}
     assert len({v for (d, _), v in u.items() if d is None}) > 1

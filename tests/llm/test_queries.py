@@ -119,8 +119,30 @@ def test_op8(spark):
 
 
 def test_op9(spark):
-    got = catalog.op9_source_mix(spark, SF).collect()
-    assert got and all(0 < r.probability <= 1 for r in got)
+    """Every document's probability by a plain rake over the whole table, and the marginals that are met."""
+    from pyspark.sql import functions as F
+
+    from test_operators import brute_rake, topics_of
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    topics, table = topics_of(docs), docs.collect()
+    chance = brute_rake([(d.source, d.lang, d.text) for d in table], catalog.MIX, topics)
+    u = {r.doc_id: r.u for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 53)) / float(1 << 53)).alias("u")).collect()}
+    got = {r.doc_id: r for r in catalog.op9_source_mix(spark, SF).collect()}
+    edge = lambda d: chance[d.source, d.lang, d.text]
+    assert set(got) == {d.doc_id for d in table if u[d.doc_id] < edge(d)}
+    for d in table:
+        if d.doc_id in got:
+            r = got[d.doc_id]
+            assert abs(r.probability - edge(d)) < 1e-6 and r.topic == topics[d.text] and r.tokens == (len(d.text.split(" ")) if d.text else 0)
+    met = {r.value: r.share for r in catalog.mixing.achieved(catalog.mixing.calibrated(docs, catalog.MIX)).where("axis = 'lang'").collect()}
+    shares = catalog.MIX.shares["lang"]
+    # A language gives its share, or all that it has.
+    spent = {k for k in shares if all(edge(d) > 0.999 for d in table if d.lang == k and d.text)}
+    ratios = {k: met[k] / v for k, v in shares.items()}
+    others = [ratios[k] for k in shares if k not in spent]
+    assert abs(sum(met.values()) - 1) < 1e-9 and len(others) >= 3 and max(others) / min(others) < 1.01
+    assert all(ratios[k] <= min(others) for k in spent)
 
 
 def brute_dedup(texts, length):
