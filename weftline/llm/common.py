@@ -7,20 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests on one machine).
-FALLBACK_SCRATCH = "/tmp/checkpoints"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share, as the session names it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or FALLBACK_SCRATCH).rstrip("/")
-
+from weftline.operators.access import scratch
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

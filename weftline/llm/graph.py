@@ -40,3 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return nodes.union(edges.select("a", "a").distinct())
+
+
+def grown(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of a graph whose components were ``found`` (node, component) after ``edges`` are added."""
+    return components(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(edges.select("a", "b")))

@@ -22,7 +22,6 @@ which never hide a likeness, and then by their whole sets.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stash, texts
-from weftline.llm.graph import components
+from weftline.llm.graph import components, grown
 from weftline.llm.shingles import mix, shingle_set
 
 #: Similarity as a fraction of whole numbers, so that limits are exact.
@@ -286,12 +285,13 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     pairs = stash(candidates(groups, similarity), "pairs")
     links = verified(docs, sizes, pairs, similarity, words)
 
-    held = stash(crowded(docs, groups, components(links), similarity, words), "rare")
+    found = components(links)
+    held = stash(crowded(docs, groups, found, similarity, words), "rare")
     star = stash(led(held).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(docs, sizes, star, similarity, words)
-    rest = stash(apart_pairs(held, components(links.union(more)), similarity).join(pairs.union(star), ["a", "b"], "left_anti"), "pairs")
+    found = grown(found, verified(docs, sizes, star, similarity, words))
+    rest = stash(apart_pairs(held, found, similarity).join(pairs.union(star), ["a", "b"], "left_anti"), "pairs")
     same = alike.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    part = components(reduce(DataFrame.union, [links, same, more, verified(docs, sizes, rest, similarity, words)]))
+    part = grown(found, same.union(verified(docs, sizes, rest, similarity, words)))
     whole = sizes.groupBy("node").agg(F.max("n").alias("n"))
     return whole.join(part, "node", "left").select(
         F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
