@@ -198,6 +198,10 @@ def test_small_operators(spark, tmp_path):
         raise AssertionError("accepted")
     (tmp_path / "q.json").write_text('[{"question": "a?", "golden_answers": ["b", "c"]}]')
     assert [tuple(r) for r in corpus.read_questions(spark, str(tmp_path / "q.json")).collect()] == [("a?", ["b", "c"])]
+    corpus.write_questions(corpus.read_questions(spark, str(tmp_path / "q.json")), str(tmp_path / "q.parquet"))
+    assert spark.read.parquet(str(tmp_path / "q.parquet")).first().golden_answers == ["b", "c"]
+    corpus.write_json(rows, str(tmp_path / "dump"))
+    assert spark.read.json(str(tmp_path / "dump")).first().contents == "x"
     files = spark.createDataFrame([("a.txt", b"fine"), ("a.pdf", b"x"), ("b.txt", b"\xff\xfe"), ("c.txt", b" ")], "path string, content binary")
     assert [r.error for r in corpus.valid_uploads(files).collect()] == [None, "only .txt files", "not UTF-8", "empty file"]
     table = spark.createDataFrame([("E", ["word " * 600]), ("F", ["short"])], "entity string, descriptions array<string>")
@@ -216,6 +220,24 @@ def test_small_operators(spark, tmp_path):
     assert [(r.source, r.target, r.weight) for r in nodes[1].collect()] == [("A", "B", 2.5)] and [tuple(r) for r in back[0].collect()] == [("A", "T", "d", "s")]
 
 
+def test_prompts(spark):
+    """The examples of the extraction prompt are in the grammar that the parser reads; slots are safe against braces; keywords fall back to none."""
+    from weftline.operators import context, extraction
+    from weftline.plans import prompts
+
+    template = prompts.extraction_template(examples=1)
+    said = template[template.index('("hyper-relation"<|>"Mira') : template.index("<|COMPLETE|>\n\nPassage") + 12]
+    rows = extraction.records(spark.createDataFrame([("c", said)], "chunk_id string, response string"))
+    assert {r.entity for r in extraction.mentions(rows).collect()} == {'"MIRA"', '"OLD MILL"'} and extraction.facts(rows).first().weight == 9.0
+    assert template.count("Passage:") == 2 and "{input_text}" in template and prompts.extraction_template(examples=0).count("Passage:") == 1
+    row = spark.range(1).select(
+        extraction.prompt(template, F.lit("a {types} b")).alias("p"),
+        context.filled("{q} of {c}!", q=F.lit("{c}"), c=F.lit(None).cast("string")).alias("f"),
+        extraction.keywords(F.lit('ok {"high_level_keywords": ["x"]}')).alias("k"), extraction.keywords(F.lit("none")).alias("n"),
+    ).first()
+    assert "a {types} b" in row.p and row.f == "{c} of !" and row.k.high_level_keywords == ["x"] and row.n.low_level_keywords == []
+
+
 def test_stream(spark, tmp_path, monkeypatch):
     """A batch that fails in its last write is retried, and its documents are counted once."""
     from weftline.streaming.ingest import ingest

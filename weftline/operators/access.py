@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import tokens
+from weftline.operators.context import within_budget
+
 
 def symmetric(edges: DataFrame, a: str = "fact", b: str = "entity") -> DataFrame:
     """Each edge from both ends: node, other, weight, seq."""
@@ -66,15 +69,37 @@ def text_units_from_entities(seeds: DataFrame, entities: DataFrame, edges: DataF
     return counted.groupBy("query_id", "chunk_id").agg(F.min("seed_rank").alias("seed_rank"), F.sum(F.coalesce("n", F.lit(0))).alias("relation_counts"))
 
 
-def entities_from_facts(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """query_id, entity, seed_rank, degree of entities next to the seed facts (query_id, fact, seed_rank)."""
-    found = seeds.join(edges.select("fact", "entity"), "fact").groupBy("query_id", "entity").agg(F.min("seed_rank").alias("seed_rank"))
-    return found.join(node_degree(edges).toDF("entity", "degree"), "entity")
-
+def entities_from_facts(seeds: DataFrame, edges: DataFrame, entities: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """query_id, entity, seed_rank, degree of entities next to the seed facts (query_id, fact, seed_rank).
 
-def text_units_from_facts(seeds: DataFrame, facts: DataFrame) -> DataFrame:
-    """query_id, chunk_id, seed_rank: source chunks of the seed facts, by the first fact that has them."""
-    return seeds.join(facts.select("fact", F.explode("source_ids").alias("chunk_id")), "fact").groupBy("query_id", "chunk_id").agg(F.min("seed_rank").alias("seed_rank"))
+    With ``budget`` a query's entities, in order of rank and name, are kept while the words of their
+    descriptions (of ``entities``) stay within it.
+    """
+    found = seeds.join(edges.select("fact", "entity"), "fact").groupBy("query_id", "entity").agg(F.min("seed_rank").alias("seed_rank"))
+    near = edges.join(found.select("entity").distinct(), "entity", "left_semi")
+    out = found.join(near.groupBy("entity").agg(F.count("*").alias("degree")), "entity").select("entity", "query_id", "seed_rank", "degree")
+    if budget is None:
+        return out
+    sizes = entities.select("entity", F.size(tokens(F.array_join("descriptions", " "))).alias("n"))
+    ordered = out.join(sizes, "entity").withColumn("place", F.struct("seed_rank", "entity"))
+    return within_budget(ordered, "query_id", "place", F.col("n"), budget).select("entity", "query_id", "seed_rank", "degree")
+
+
+def text_units_from_facts(seeds: DataFrame, facts: DataFrame, chunks: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """query_id, chunk_id, seed_rank: source chunks of the seed facts, by the first fact that has them; within ``budget`` words of ``chunks``, if given."""
+    out = seeds.join(facts.select("fact", F.explode("source_ids").alias("chunk_id")), "fact").groupBy("query_id", "chunk_id").agg(F.min("seed_rank").alias("seed_rank"))
+    if budget is None:
+        return out
+    ordered = out.join(chunks.select("chunk_id", "tokens"), "chunk_id").withColumn("place", F.struct("seed_rank", "chunk_id"))
+    return within_budget(ordered, "query_id", "place", F.col("tokens"), budget).select("query_id", "chunk_id", "seed_rank")
+
+
+def with_content(held: DataFrame, chunks: DataFrame, *key: str, latest: int | None = None, by: str | None = None) -> DataFrame:
+    """The key and ``content``, the chunks of ``source_ids`` in order of their ids; only the ``latest`` rows by column ``by``, if given."""
+    rows = held if latest is None else held.orderBy(F.desc(by), *key).limit(latest)
+    met = rows.select(*key, F.explode("source_ids").alias("chunk_id")).join(chunks.select("chunk_id", "content"), "chunk_id", "left")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", "content")))
+    return met.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -32,3 +32,13 @@ def answers_json(rows: DataFrame) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("rank", "knowledge", "coherence")))
     results = F.transform(items, lambda r: F.struct(r["knowledge"].alias("<knowledge>"), r["coherence"].alias("<coherence>")))
     return rows.groupBy("query_id").agg(F.to_json(F.struct(F.col("query_id").alias("query"), results.alias("results"))).alias("json"))
+
+
+def filled(template: str, **slots: Column) -> Column:
+    """A template with each {slot} replaced by a column (null: empty); braces in the values are safe, as each slot is cut out first."""
+    parts, rest = [], template
+    while places := [(rest.find("{" + name + "}"), name) for name in slots if "{" + name + "}" in rest]:
+        at, name = min(places)
+        parts += [F.lit(rest[:at]), F.coalesce(slots[name].cast("string"), F.lit(""))]
+        rest = rest[at + len(name) + 2 :]
+    return F.concat(*parts, F.lit(rest))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import clean, number_or, split_markers, strip
+from weftline.functions.text import clean, number_or, parsed_json, split_markers, strip
 
 # Delimiters of the record grammar and the mark of facts.
 FIELD, RECORD, DONE = "<|>", "##", "<|COMPLETE|>"
@@ -83,3 +83,18 @@ def mentions(rows: DataFrame) -> DataFrame:
     good = bound.where((F.size("attrs") >= 5) & (attr(1) == '"entity"') & F.col("fact").isNotNull())
     named = good.select("chunk_id", "pos", "fact", clean(F.upper(attr(2))).alias("entity"), clean(F.upper(attr(3))).alias("entity_type"), clean(attr(4)).alias("description"), number_or(attr(-1), 50.0).alias("weight"))
     return named.where(strip(F.col("entity")) != "")
+
+
+KEYWORDS = "high_level_keywords array<string>, low_level_keywords array<string>"
+
+
+def keywords(response: Column) -> Column:
+    """Struct of both lists from a model's answer; empty lists where it holds no such JSON."""
+    found, none = parsed_json(response, KEYWORDS), F.array().cast("array<string>")
+    return F.struct(*[F.coalesce(found[k], none).alias(k) for k in ("high_level_keywords", "low_level_keywords")])
+
+
+def rule_keywords(question: Column, least: int = 9) -> Column:
+    """The offline rule for X10: distinct lower-cased words of ``least`` letters as themes, those of four or more as particulars."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit("[a-z]{4,}"), F.lit(0)))
+    return F.struct(F.filter(words, lambda w: F.length(w) >= least).alias("high_level_keywords"), F.filter(words, lambda w: F.length(w) < least).alias("low_level_keywords"))

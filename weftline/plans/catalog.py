@@ -13,7 +13,7 @@ from weftline.functions import chunks as ch
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.operators import access, cache, context, evaluation, extraction, merge, search
-from weftline.plans import retrieval
+from weftline.plans import prompts, retrieval
 from weftline.plans.engine import Engine
 
 SIZE, OVERLAP = 120, 10
@@ -351,9 +351,7 @@ def largest_component(spark, sf_dir):
 @query(f"WITH {MENTIONS} SELECT entity, string_agg(content, chr(10) ORDER BY chunk_id) AS content FROM (SELECT entity, unnest(source_ids) AS chunk_id FROM entities) LEFT JOIN chunks USING (chunk_id) GROUP BY entity")
 def nodes_with_content(spark, sf_dir):
     graph = graph_of(spark, sf_dir)
-    held = graph.entities.select("entity", F.explode("source_ids").alias("chunk_id")).join(graph.chunks.select("chunk_id", "content"), "chunk_id", "left")
-    parts = F.array_sort(F.collect_list(F.struct("chunk_id", "content")))
-    return held.groupBy("entity").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
+    return access.with_content(graph.entities, graph.chunks, "entity")
 
 
 @query(f"WITH {MENTIONS} SELECT fact, entity, chunk_id, length(content)::INT AS n_chars FROM (SELECT fact, entity, unnest(source_ids) AS chunk_id FROM edges) LEFT JOIN chunks USING (chunk_id)")
@@ -543,3 +541,30 @@ def csv_lines(spark, sf_dir):
 @query("SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
 def parsed_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", tx.parsed_json(F.concat(F.lit("reply: "), "props", F.lit(" end")), "k int")["k"].alias("k"))
+
+
+@query(f"WITH {MENTIONS}, {PATHS}, near AS (SELECT query_id, entity, min(rank)::INT AS seed_rank FROM fh JOIN edges USING (fact) GROUP BY ALL), sized AS (SELECT n.*, sum(len(list_filter(string_split_regex(array_to_string(descriptions, ' '), '\\s+'), lambda t: t <> ''))) OVER (PARTITION BY query_id ORDER BY seed_rank, entity) AS used FROM near n JOIN entities USING (entity)) SELECT query_id, entity, seed_rank FROM sized WHERE used <= 300")
+def budget_entities(spark, sf_dir):
+    """Entities next to the nearest facts, while their descriptions hold 300 words at most."""
+    graph = graph_of(spark, sf_dir)
+    return access.entities_from_facts(_seeds(spark, sf_dir, graph, "fact"), graph.edges, graph.entities, 300).drop("degree")
+
+
+@query(f"WITH {MENTIONS}, {PATHS}, near AS (SELECT query_id, chunk_id, min(rank)::INT AS seed_rank FROM fh JOIN (SELECT fact, unnest(source_ids) AS chunk_id FROM facts) USING (fact) GROUP BY ALL), sized AS (SELECT n.*, sum(tokens) OVER (PARTITION BY query_id ORDER BY seed_rank, chunk_id) AS used FROM near n JOIN chunks USING (chunk_id)) SELECT query_id, chunk_id, seed_rank FROM sized WHERE used <= 500")
+def budget_text_units(spark, sf_dir):
+    graph = graph_of(spark, sf_dir)
+    return access.text_units_from_facts(_seeds(spark, sf_dir, graph, "fact"), graph.facts, graph.chunks, 500)
+
+
+@query("SELECT item_id, array_to_string(list_sort(list_filter(w, lambda x: length(x) >= 9)), ',') AS high, array_to_string(list_sort(list_filter(w, lambda x: length(x) < 9)), ',') AS low FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark)")
+def question_keywords(spark, sf_dir):
+    found = read(spark, sf_dir, "benchmark").select("item_id", extraction.rule_keywords(F.col("text")).alias("k"))
+    joined = lambda c: F.array_join(F.array_sort(f"k.{c}"), ",")
+    return found.select("item_id", joined("high_level_keywords").alias("high"), joined("low_level_keywords").alias("low"))
+
+
+@query(f"WITH {MENTIONS}, {PATHS}, top AS ({fused_sql('local_path', 'global_path')}), sources AS (SELECT query_id, string_agg('[Source ' || rank || ']' || chr(10) || knowledge, chr(10) || chr(10) ORDER BY rank) AS context FROM top WHERE rank <= 5 GROUP BY query_id) SELECT query_id, 'Answer the question from the sources alone, and name those that you used.' || chr(10) || chr(10) || 'Sources:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) AS prompt FROM sources JOIN questions USING (query_id)")
+def answer_prompts(spark, sf_dir):
+    """What a model would be asked for each question."""
+    found = context.sources_text(answers("hybrid")(spark, sf_dir), 5).join(asked(spark, sf_dir), "query_id")
+    return found.select("query_id", context.filled(prompts.ANSWER, context=F.col("context"), question=F.col("text")).alias("prompt"))

@@ -74,6 +74,16 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("question string, golden_answers array<string>").option("multiLine", True).json(path)
 
 
+def write_questions(questions: DataFrame, path: str) -> None:
+    """The questions as Parquet."""
+    questions.select("question", "golden_answers").write.mode("overwrite").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines; replaces what is there."""
+    rows.write.mode("overwrite").json(path)
+
+
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of a database, with partition options passed through."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
