@@ -502,6 +502,30 @@ def test_awkward(awkward, name):
     assert EMPTY[name](awkward).count() >= (0 if name == "mixing" else 9)
 
 
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark, docs, awkward):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as c
+
+    empty = docs().limit(0)
+    for name, stage in c.STAGES:
+        assert stage(spark, empty, "").collect() == [], name
+    clashing = awkward.withColumns({"has_letters": F.lit("h"), "found": F.lit("f"), "of_id": F.lit(1), "row": F.lit(2)})
+    model = language.fit(language.labelled(clashing))
+    kept = language.accepted(clashing, model)
+    assert kept.columns == clashing.columns and {r.has_letters for r in kept.collect()} == {"h"}
+    for name, stage in c.STAGES[:-1]:
+        assert stage(spark, clashing, "").columns == c.COLUMNS, name
+
+
+def test_chat_awkward(spark):
+    rows = [(1, 0, "user", "a", "x", 1), (1, 0, "user", "a", "y", 2), (2, None, "user", "", "z", 3), (3, 0, "user", "long " * 50_000, "z", 3)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place string, h1 int")
+    got = {r.conv_id: (r.n_turns, r.n_copies, len(r.text)) for r in chat.render(table).collect()}
+    assert set(got) == {1, 2, 3} and got[1][:2] == (2, 1) and got[3][2] > 250_000
+    assert chat.render(table.limit(0)).collect() == []
+
+
 def test_language_of_few_texts_is_learned(spark, monkeypatch):
     """A language whose rows are copies of few texts, and a text that many rows of another hold."""
     from pyspark.sql import functions as F

@@ -48,7 +48,8 @@ def render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|
 
     Null roles and texts count as empty, null turns come last, ties in turn go by role and text, and
     rows without conv_id are left out. Repeated rows are turns of their own. An empty table gives no
-    row. Columns beyond conv_id, turn, role and text are not read.
+    row. Columns beyond conv_id, turn, role and text are not read. Roles and texts are rendered as they
+    are: marks that a text itself holds are not escaped, so who trains on untrusted logs removes them first.
     """
     turns = placed_turns(conversations).join(maximal(conversations), "conv_id")
     line = F.concat(F.lit(start), "role", F.lit("\n"), "text", F.lit(end + "\n"))

@@ -187,7 +187,12 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``predict`` would not mark as rejected."""
+    """The rows of ``docs``, all columns, that ``predict`` would not mark as rejected.
+
+    So rows with null text or without a letter go, repeated rows are judged each, and an empty table
+    gives no row. Columns beyond text are passed through, whatever their names.
+    """
+    flag = next(name for name in (f"has_letters{'_' * k}" for k in range(len(docs.columns) + 1)) if name not in docs.columns)
 
     def run(batches):
         for batch in batches:
@@ -196,7 +201,7 @@ def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
             kept = batch.filter(pa.array(~judged(model, text, letters)[2]))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
-    return docs.withColumn("has_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    return docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
