@@ -220,6 +220,16 @@ def test_small_operators(spark, tmp_path):
     assert [(r.source, r.target, r.weight) for r in nodes[1].collect()] == [("A", "B", 2.5)] and [tuple(r) for r in back[0].collect()] == [("A", "T", "d", "s")]
 
 
+def test_search_in_blocks(spark, monkeypatch):
+    from weftline.operators import search
+
+    points = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "id long, embedding array<double>")
+    asks = points.where("id < 20").toDF("query_id", "query")
+    whole = sorted(map(tuple, search.top_k(asks, points, 3, "dot").collect()))
+    monkeypatch.setattr(search.in_blocks, "__defaults__", (6,))
+    assert len(search.in_blocks(asks, "query_id")) == 4 and sorted(map(tuple, search.top_k(asks, points, 3, "dot").collect())) == whole and len(whole) == 60
+
+
 def test_prompts(spark):
     """The examples of the extraction prompt are in the grammar that the parser reads; slots are safe against braces; keywords fall back to none."""
     from weftline.operators import context, extraction

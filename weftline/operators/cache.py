@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.vectors import cosine, quantised, restored
 from weftline.operators.merge import replace_rows
+from weftline.operators.search import in_blocks
 
 
 def exact_hits(questions: DataFrame, cache: DataFrame) -> DataFrame:
@@ -15,11 +18,18 @@ def exact_hits(questions: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def semantic_hits(questions: DataFrame, cache: DataFrame, above: float = 0.95) -> DataFrame:
-    """H2: query_id, response, score: the most like entry of the mode, if its cosine is above the limit."""
+    """H2: query_id, response, score: the most like entry of the mode, if its cosine is above the limit.
+
+    Questions are a stated query set: each block of them is broadcast and takes a pass over the
+    cache, and what is kept of a block is one entry for each question, combined before the shuffle.
+    """
     stored = cache.select("mode", "args_hash", "response", restored(F.col("quantised")).alias("v"))
-    scored = questions.join(stored, "mode").select("query_id", "args_hash", "response", cosine(F.col("query"), F.col("v")).alias("score"))
-    best = scored.groupBy("query_id").agg(F.max_by(F.struct("response", "score"), F.struct("score", "args_hash")).alias("hit"))
-    return best.select("query_id", "hit.*").where(F.col("score") > above)
+    parts = []
+    for few in in_blocks(questions, "query_id"):
+        scored = stored.join(few, "mode").select("query_id", "args_hash", "response", cosine(F.col("query"), F.col("v")).alias("score")).where(F.col("score") > above)
+        best = scored.groupBy("query_id").agg(F.max_by(F.struct("response", "score"), F.struct("score", "args_hash")).alias("hit"))
+        parts.append(best.select("query_id", "hit.*"))
+    return reduce(DataFrame.union, parts)
 
 
 def written(cache: DataFrame, entries: DataFrame) -> DataFrame:

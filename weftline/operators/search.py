@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -9,23 +11,29 @@ from pyspark.ml.functions import array_to_vector
 
 from weftline.functions.vectors import cosine, dot
 
-#: Queries that are sent to every task; more are scored in further passes.
+#: Queries that are sent to every task for one pass.
 QUERY_LIMIT = 10_000
 
 
+def in_blocks(queries: DataFrame, key: str, at_most: int = QUERY_LIMIT) -> list[DataFrame]:
+    """A stated query set in parts of about ``at_most`` rows, by a hash of its key, each to be broadcast for one pass."""
+    blocks = max(1, -(-queries.count() // at_most))
+    part = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return [F.broadcast(queries.where(part == k) if blocks > 1 else queries) for k in range(blocks)]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine", at_least: float | None = None) -> DataFrame:
     """query_id, id, score, rank of the k best rows (id, embedding) for each query (query_id, query).
 
-    ``measure`` is cosine or dot; ties go to the lesser id. The query set is stated by the caller and
-    is broadcast only up to ``QUERY_LIMIT`` rows.
+    ``measure`` is cosine or dot; ties go to the lesser id. The query set is stated by the caller;
+    each block of ``QUERY_LIMIT`` queries takes a pass over the vectors.
     """
-    n = queries.count()
-    few = F.broadcast(queries) if n <= QUERY_LIMIT else queries
     score = (cosine if measure == "cosine" else dot)(F.col("query"), F.col("embedding"))
-    scored = vectors.crossJoin(few).select("query_id", "id", score.alias("score")).where("score IS NOT NULL")
-    if at_least is not None:
-        scored = scored.where(F.col("score") >= at_least)
-    return ranked(scored, k)
+    parts = []
+    for few in in_blocks(queries, "query_id"):
+        scored = vectors.crossJoin(few).select("query_id", "id", score.alias("score")).where("score IS NOT NULL")
+        parts.append(ranked(scored if at_least is None else scored.where(F.col("score") >= at_least), k))
+    return reduce(DataFrame.union, parts)
 
 
 def ranked(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
