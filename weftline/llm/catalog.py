@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, chat, language, licenses, merkle, mixing, packing, partenum, secrets, suffixes
+from weftline.llm import ann, chat, fim, language, licenses, lines, merkle, mixing, packing, partenum, secrets, suffixes, whitening
 from weftline.llm.common import table
 
 
@@ -60,6 +60,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.digest(lines.kept(docs, lines.bitmaps(docs)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 
@@ -84,4 +100,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_merkle_fingerprint": merkle.EDIT_SQL,
     "op3_ngram_jaccard": partenum.JOIN_SQL,
     "op4_chat_collapse": chat.RENDER_SQL,
+    "op11_fill_in_middle": fim.FIM_SQL,
+    "op12_line_dedup": lines.LINES_SQL,
 }
