@@ -164,7 +164,8 @@ def signed(docs: DataFrame, similarity: tuple[int, int], words: int) -> DataFram
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_buffer().to_pybytes(), words)
                 n = len(s)
-                own = mix(np.array([2 * node, 2 * node + 1], dtype=np.int64).view(np.uint64))
+                # Two rows of the text's own, told apart by a bit within unsigned numbers, so that any long is a node.
+                own = mix(mix(np.array([node, node], dtype=np.int64).view(np.uint64)) ^ np.array([0, 1], dtype=np.uint64))
                 sig = np.concatenate([own, signatures(s, similarity)]).view(np.int64)
                 mark = np.zeros(len(sig), dtype=np.int64)
                 mark[:2] = int(mix(s).sum()) >> 1 | 1 if n else 1, -1 - n
