@@ -5,7 +5,8 @@ one codeword from each of many more, all full-dimensional, found by beam search
 stored norm is that of the first residual, so vectors crowded round one point are told apart as
 finely as others. A query's inner products with all codewords form lookup tables, by which all
 codes are scored; the best are reranked with the original vectors in double precision. The index
-holds codes and vectors together, so a task reranks what it has scored and only a query's best leave it.
+holds codes and vectors together, so a task reranks what it has scored, bucket by bucket, and only a
+query's best leave it.
 
 Codebooks are fitted on the driver to at most ``SAMPLE`` vectors, those of least hash. Every vector
 is indexed: equal vectors share one entry, which keeps their smallest ids.
@@ -13,6 +14,7 @@ is indexed: equal vectors share one entry, which keeps their smallest ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,7 +34,7 @@ SAMPLE = 8192
 RERANK = 256
 #: Queries that are sent to all tasks for one pass over the index (4 MB of 64 doubles each), and those that a task scores at once.
 QUERY_BLOCK, AT_ONCE = 8192, 1024
-#: Entries that one task holds (8 MB of 64 doubles each), at most.
+#: Entries of one bucket, the part of the index that a task holds at once (8 MB of 64 doubles), about.
 ENTRIES_PER_TASK = 16_384
 _SALTS = 16
 
@@ -138,7 +140,11 @@ def entries(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def coded(heads: DataFrame, model: Codebooks, tasks: int) -> DataFrame:
-    """entry, codes, norm, vector: the index, dealt to so many tasks."""
+    """bucket, entry, codes, norm, vector: the index, dealt by hash to so many tasks, each of which makes a bucket.
+
+    The bucket stays with the entries: files that are read together by one task are still reranked
+    bucket by bucket, and a bucket's share of candidates does not depend on how files are packed.
+    """
 
     def run(batches):
         for batch in batches:
@@ -148,9 +154,10 @@ def coded(heads: DataFrame, model: Codebooks, tasks: int) -> DataFrame:
                 codes, norm = model.encode(x[k : k + 1024])
                 norms += norm.tolist()
                 out += [c.tobytes() for c in codes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(norms, pa.float32()), batch.column(1)], names=["entry", "codes", "norm", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(out, pa.binary()), pa.array(norms, pa.float32()), batch.column(1)], names=["bucket", "entry", "codes", "norm", "vector"])
 
-    return heads.select("entry", "vector").repartition(tasks, "entry").mapInArrow(run, "entry long, codes binary, norm float, vector array<double>")
+    dealt = heads.select("entry", "vector").repartition(tasks, "entry").withColumn("bucket", F.spark_partition_id())
+    return dealt.mapInArrow(run, "bucket int, entry long, codes binary, norm float, vector array<double>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -158,22 +165,45 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def from_each(rerank: int, tasks: int) -> int:
-    """Entries that a task reranks for a query: its part of ``rerank``, as entries are dealt by hash, and six deviations more."""
-    part = rerank / tasks
+def from_each(rerank: int, buckets: int) -> int:
+    """Entries of a bucket that are reranked for a query: its part of ``rerank``, as entries are dealt by hash, and six deviations more."""
+    part = rerank / buckets
     return min(rerank, int(np.ceil(part + 6 * np.sqrt(part))))
 
 
-def scored(index: DataFrame, queries: np.ndarray, ids: np.ndarray, model: Codebooks, tasks: int, rerank: int, k: int) -> DataFrame:
-    """query_id, entry, score: for each query and task the ``k`` best entries of those that the lookup tables put first."""
+def by_bucket(batches) -> Iterator[tuple[np.ndarray, ...]]:
+    """entry, codes, norm and vectors of one bucket after the other; only one is held."""
+
+    def whole(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return np.asarray(t[1]), np.frombuffer(b"".join(t[2].to_pylist()), np.uint8).reshape(len(t), -1), np.asarray(t[3]), matrix(t[4].combine_chunks())
+
+    bucket, held = None, []
+    for batch in batches:
+        own = np.asarray(batch.column(0))
+        ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
+        for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if start == end:
+                continue
+            if own[start] != bucket and held:
+                yield whole(held)
+                held = []
+            bucket = own[start]
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield whole(held)
+
+
+def scored(index: DataFrame, queries: np.ndarray, ids: np.ndarray, model: Codebooks, buckets: int, rerank: int, k: int) -> DataFrame:
+    """query_id, entry, score: for each query and bucket the ``k`` best entries of those that the lookup tables put first."""
     shared = index.sparkSession.sparkContext.broadcast((ids, queries, model.first, model.words))
-    first_few = from_each(rerank, tasks)
+    first_few = from_each(rerank, buckets)
 
     def run(batches):
-        held = [(np.asarray(b.column(0)), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), np.asarray(b.column(2)), matrix(b.column(3))) for b in batches if len(b)]
-        if not held:
-            return
-        entry, codes, norm, vectors = map(np.concatenate, zip(*held, strict=True))
+        for entry, codes, norm, vectors in by_bucket(batches):
+            yield from best_of(entry, codes, norm, vectors)
+
+    def best_of(entry, codes, norm, vectors):
         every, all_queries, first, words = shared.value
         for at in range(0, len(every), AT_ONCE):
             own, q = every[at : at + AT_ONCE], all_queries[at : at + AT_ONCE]
@@ -230,8 +260,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = RERA
     drawn = heads.select("entry", "vector", draw.alias("draw")).where(F.col("draw") < min(1.0, 1.2 * SAMPLE / n + 1e-3) * (1 << 30)).orderBy("draw", "entry").limit(SAMPLE)
     sample = matrix((drawn.select("vector") if n > SAMPLE else heads.select("vector").orderBy("entry")).toArrow().column(0).combine_chunks())
     model = fit(sample, books, words)
-    tasks = max(width(spark), -(-n // ENTRIES_PER_TASK))
-    index = stash(coded(heads, model, tasks), "index")
+    index = stash(coded(heads, model, max(width(spark), -(-n // ENTRIES_PER_TASK))), "index")
+    buckets = index.agg(F.count_distinct("bucket")).first()[0]
 
     asked = stash(usable(vectors).where(is_query), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -241,7 +271,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = RERA
     for b in range(blocks):
         some = asked.where(block == b).select("vec_id", "vector").toArrow()  # about QUERY_BLOCK rows
         if some.num_rows:
-            found = scored(index, matrix(some.column(1).combine_chunks()), some.column(0).to_numpy(), model, tasks, rerank, k + 2)
+            found = scored(index, matrix(some.column(1).combine_chunks()), some.column(0).to_numpy(), model, buckets, rerank, k + 2)
             best = found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 2)
             passes.append(stash(best.select("query_id", "entry"), "near"))
     if not passes:
