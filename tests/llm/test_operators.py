@@ -611,3 +611,71 @@ def test_pipeline_brute_force(spark):
     for q in {x.sequence_id for x in packed}:
         parts = sorted((x.offset, x.length) for x in packed if x.sequence_id == q)
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 1024
+
+
+ENDS = [-(1 << 63), -(1 << 63) + 1, -(1 << 62) - 1, -5, 0, (1 << 62) - 1, 1 << 62, (1 << 63) - 2, (1 << 63) - 1]
+
+
+def test_jaccard_ids_at_both_ends_of_long(docs):
+    """Near copies and texts alone under the least and the greatest ids."""
+    text = " ".join(words(200, 3))
+    table = [(i, text if k % 2 else " ".join(words(150, 50 + k))) for k, i in enumerate(ENDS)]
+    got = {r.doc_id: r.component_id for r in partenum.groups_of(docs(*table)).collect()}
+    assert got == {i: ENDS[1] if k % 2 else i for k, i in enumerate(ENDS)}
+
+
+@pytest.mark.parametrize("ids", [ENDS, ENDS[3:], ENDS[:5], [3, 4, 5]])
+def test_pipeline_numbers_texts_of_one_id(spark, docs, ids):
+    """Different texts of one doc_id, with ids at either end of long, at both, and at none."""
+    import corpus_pipeline as c
+
+    table = [(i, " ".join(words(80, 200 + k))) for k, i in enumerate(ids)]
+    table += [(ids[0], " ".join(words(80, 300))), (ids[-1], " ".join(words(80, 301))), (ids[1], " ".join(words(80, 301))), (ids[0], " ".join(words(80, 300)))]
+    kept = sorted((r.doc_id, r.text) for r in c.near_duplicates(spark, docs(*table), "").collect())
+    # The copies of one text stay once, under the least id.
+    assert kept == sorted(set(table) - {(ids[-1], " ".join(words(80, 301)))})
+
+
+def test_packing_of_long_runs(docs):
+    """Runs of blanks, line ends and letters of a million and more; the pieces are those of tokenizers."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "a" + "\n" * 1_000_001 + "b", "\t \n" * 400_000, "word " * 300_000, "ab" * 200_000, "<|endoftext|> " + " " * 1_000_000]
+    pieces = {}
+    for r in packing.pack(docs(*texts)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.length, r.ids_crc32))
+    for k, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        first = len(ids) % 1024 or 1024
+        cuts = [ids[:first], *np.split(ids[first:], range(1024, len(ids) - first, 1024))] if len(ids) > first else [ids]
+        assert sorted(pieces[k]) == [(n, len(c), zlib.crc32(c.tobytes())) for n, c in enumerate(cuts)]
+
+
+@pytest.mark.parametrize("partitions", [4, 211])
+def test_recall_does_not_depend_on_partitions(spark, partitions):
+    """A crowd round one point among others, indexed in 4 and in 211 parts, whose files are read by few tasks."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 32))
+    x[:2000] = x[0] + 0.02 * rng.normal(size=(2000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {}
+        for r in ann.search(table, F.col("vec_id") % 40 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    met = 0
+    for q in range(0, 6000, 40):
+        near = x @ x[q]
+        near[q] = -np.inf
+        met += len(got[q] & set(np.argsort(-near)[:20].tolist()))
+    assert met / (20 * len(got)) >= 0.97
