@@ -12,6 +12,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIX = mixing.Targets(shares={"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}, keep=0.5)
 
 
+#: Ids below which, or above whose negative, there is room for numbers of monotonically_increasing_id.
+ROOM = 1 << 62
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that are rejected (no letters, or far from every centroid) go."""
     return language.accepted(docs.select(COLUMNS), language.fit(language.labelled(docs)))
@@ -27,11 +31,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(COLUMNS)
     named = rows.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     # The first text of a doc_id is known by it; any others get numbers that no document has.
-    first = named.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
-    several = stash(first.where("lo <> hi").select("doc_id", "lo"), "several")
+    span = named.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
+    several = stash(span.where("lo <> hi").select("doc_id", "lo"), "several")
     others = named.join(several, "doc_id").where("text_hash <> lo").select("doc_id", "text_hash").distinct()
-    top = named.agg(F.max("doc_id")).first()[0] or 0
-    others = stash(others.withColumn("other", F.monotonically_increasing_id() + (max(top, 0) + 1)), "others")
+    least, most = named.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    if several.isEmpty():
+        others = several.select("doc_id", F.col("lo").alias("text_hash"))
+    elif most < ROOM:
+        number = number + (max(most, -1) + 1)
+    elif least > -ROOM:
+        number = min(least, 0) - 1 - number
+    else:  # ids at both ends of a long leave no room: every text is known by a number
+        others = named.select("doc_id", "text_hash").distinct()
+    others = stash(others.withColumn("other", number), "others")
     n_others = others.count()
     if n_others:
         few = F.broadcast(others) if n_others <= partenum.BROADCAST_IDS else others
