@@ -17,6 +17,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # many small plans: quick compilation counts
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -207,9 +207,6 @@ def test_small_operators(spark, tmp_path):
     table = spark.createDataFrame([("E", ["word " * 600]), ("F", ["short"])], "entity string, descriptions array<string>")
     got = {r.entity: r.description for r in merge.summarised(table, lambda c: F.left(c, F.lit(4))).collect()}
     assert got == {"E": "word", "F": "short"}
-    points = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(20)], "id long, embedding array<double>")
-    near = search.approximate_pairs(points.where("id = 0").toDF("query_id", "query"), points, 0.1)
-    assert {r.id for r in near.collect()} <= {0, 5, 10, 15} and 0 in {r.id for r in near.collect()}
     row = spark.range(1).select(search.unit(F.array(F.lit(3.0), F.lit(4.0))).alias("u"), text.csv_line(F.lit("a,b"), F.lit(1)).alias("c"), text.args_hash(F.lit(1), F.lit("x")).alias("h"), text.args_hash(F.lit(1), F.lit("y")).alias("g"), text.parsed_json(F.lit("so {'k': 3} ok"), "k int")["k"].alias("k")).first()
     assert row.u == [0.6, 0.8] and row.c == '"a,b",1' and row.h != row.g and row.k == 3
     assert extraction.prompt("Of {kind}: {input_text}", F.lit("x"), kind="facts") is not None

@@ -1,14 +1,16 @@
-"""Text projections as Column expressions; Python only where no built-in exists."""
+"""Text projections as Column expressions."""
 
 from __future__ import annotations
 
 import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+#: Numeric references that stand for other characters, or for none.
+_ODD = {**dict.fromkeys(sorted(html._invalid_codepoints), ""), **html._invalid_charrefs}
 # The white space that Python's str.strip removes.
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # ASCII punctuation.
@@ -48,16 +50,37 @@ def split_markers(text: Column, *markers: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def unescaped(text: Column) -> Column:
+    """HTML character references to characters, as browsers read them: numbers, names, and names without a semicolon by their longest known beginning."""
+    # Both tables stand once in the expression: plans carry them.
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    odd = F.from_json(F.lit(json.dumps({str(k): v for k, v in _ODD.items()})), "map<string,string>")
+
+    def number(said: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_extract(said, "^#[xX]?([0-9a-fA-F]+)", 1), "^0+(?=.)", "")
+        code = F.when(F.length(bare) > 9, F.lit(1 << 31)).when(said.rlike("^#[xX]"), F.conv(bare, 16, 10).cast("long")).otherwise(bare.cast("long"))
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        wrong = ((code >= 0xD800) & (code <= 0xDFFF)) | (code > 0x10FFFF)
+        return F.coalesce(F.element_at(odd, code.cast("string")), F.when(wrong, "\ufffd").otherwise(character))
+
+    def name(said: Column) -> Column:
+        # The whole, then its beginnings of two characters and more, longest first.
+        tried = F.transform(F.sequence(F.length(said), F.least(F.lit(2), F.length(said)), F.lit(-1)), lambda n: F.struct(n.alias("n"), F.element_at(names, F.left(said, n)).alias("c")))
+        met = F.try_element_at(F.filter(tried, lambda t: t["c"].isNotNull()), F.lit(1))
+        return F.coalesce(F.concat(met["c"], F.substring(said, met["n"] + 1, F.length(said))), F.concat(F.lit("&"), said))
+
+    def reference(part: Column) -> Column:
+        said = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        whole = F.when(said == "", "&").when(said.startswith("#"), number(said)).otherwise(name(said))
+        return F.concat(whole, F.substring(part, F.length(said) + 1, F.length(part)))
+
+    parts = F.split(text, "&", -1)
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), reference), ""))).otherwise(text)
 
 
 def clean(text: Column) -> Column:
-    """Stripped, entities unescaped, control characters deleted; Python runs only on text with an ampersand."""
-    bare = strip(text)
-    plain = F.when(bare.contains("&"), _unescape(bare)).otherwise(bare)
-    return F.regexp_replace(plain, r"[\x00-\x1f\x7f-\x9f]", "")
+    """Stripped, character references decoded, control characters deleted; all by built-ins."""
+    return F.regexp_replace(unescaped(strip(text)), r"[\x00-\x1f\x7f-\x9f]", "")
 
 
 def number_or(text: Column, default: float) -> Column:
@@ -67,8 +90,16 @@ def number_or(text: Column, default: float) -> Column:
 
 def unicode_unescape(text: Column) -> Column:
     r"""T10: \uXXXX escapes to characters."""
-    quoted = F.concat(F.lit('{"s":"'), F.regexp_replace(text, '"', '\\\\"'), F.lit('"}'))
-    return F.when(text.contains("\\u"), F.from_json(quoted, "s string")["s"]).otherwise(text)
+    def character(part: Column) -> Column:
+        code = F.regexp_extract(part, "^[0-9a-fA-F]{4}", 0)
+        return F.when(code == "", F.concat(F.lit("\\u"), part)).otherwise(F.concat(F.decode(F.unhex(code), "UTF-16BE"), F.substring(part, 5, F.length(part))))
+
+    # Two escapes that make one character are read together.
+    pairs = F.split(text, r"\\u(?=[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})", -1)
+    wide = lambda p: F.concat(F.decode(F.unhex(F.concat(F.left(p, F.lit(4)), F.substring(p, 7, 4))), "UTF-16BE"), F.substring(p, 11, F.length(p)))
+    whole = F.concat(pairs[0], F.array_join(F.transform(F.slice(pairs, 2, F.size(pairs)), wide), ""))
+    parts = F.split(whole, r"\\u", -1)
+    return F.when(text.contains("\\u"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), character), ""))).otherwise(text)
 
 
 def json_body(text: Column) -> Column:

@@ -67,3 +67,19 @@ def sparse_units(rows: DataFrame, key: str) -> DataFrame:
     length = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     each = rows.withColumn("length", length).where("length > 0").select(key, "length", F.posexplode("embedding").alias("bucket", "x"))
     return each.where("x <> 0").select(key, "bucket", (F.col("x") / F.col("length")).alias("value"))
+
+
+SPARSE = "array<struct<bucket: int, value: double>>"
+
+
+def gathered(rows: DataFrame, key: str = "name") -> DataFrame:
+    """key, vector: sparse rows (key, bucket, value) as one array of each key, by bucket."""
+    entry = F.struct(F.col("bucket").cast("int").alias("bucket"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("vector"))
+
+
+def sparse_array(v: Column) -> Column:
+    """A dense vector as an array of (bucket, value) of unit length, without zeros; empty for a zero vector."""
+    length = F.sqrt(dot(v, v))
+    entries = F.transform(v, lambda x, i: F.struct(i.cast("int").alias("bucket"), (x.cast("double") / length).alias("value")))
+    return F.when(length > 0, F.filter(entries, lambda e: e["value"] != 0)).otherwise(F.array().cast(SPARSE))

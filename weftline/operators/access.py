@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +112,13 @@ def scratch(spark: SparkSession) -> str:
     return (named or "/tmp/checkpoints").rstrip("/")
 
 
+def staged(rows: DataFrame, tag: str) -> DataFrame:
+    """Rows written to the shared folder and read back: their lineage is cut, and lost executors cost a stage."""
+    path = f"{scratch(rows.sparkSession)}/weftline-{tag}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node, label (the least member of its component) of the undirected pairs (a, b).
 

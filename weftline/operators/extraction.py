@@ -78,10 +78,14 @@ def mentions(rows: DataFrame) -> DataFrame:
     """Entities, each bound to the fact last named before it in its chunk; those before the first fact go."""
     attr = lambda k: F.try_element_at("attrs", F.lit(k))
     is_fact = (F.size("attrs") >= 3) & (attr(1) == '"hyper-relation"')
+    is_entity = (F.size("attrs") >= 5) & (attr(1) == '"entity"')
+    said = F.when(is_fact, F.array(attr(2))).when(is_entity, F.array(F.upper(attr(2)), F.upper(attr(3)), attr(4)))
+    cleaned = rows.where(is_fact | is_entity).select("chunk_id", "pos", is_fact.alias("is_fact"), attr(-1).alias("last"), F.transform(said, clean).alias("said"))
     so_far = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    bound = rows.withColumn("fact", F.last(F.when(is_fact, F.concat(F.lit(FACT_MARK), clean(attr(2)))), ignorenulls=True).over(so_far))
-    good = bound.where((F.size("attrs") >= 5) & (attr(1) == '"entity"') & F.col("fact").isNotNull())
-    named = good.select("chunk_id", "pos", "fact", clean(F.upper(attr(2))).alias("entity"), clean(F.upper(attr(3))).alias("entity_type"), clean(attr(4)).alias("description"), number_or(attr(-1), 50.0).alias("weight"))
+    fact = F.when(F.col("is_fact"), F.concat(F.lit(FACT_MARK), F.col("said")[0]))
+    bound = cleaned.withColumn("fact", F.last(fact, ignorenulls=True).over(so_far)).where(~F.col("is_fact") & F.col("fact").isNotNull())
+    part = lambda k: F.get("said", F.lit(k))
+    named = bound.select("chunk_id", "pos", "fact", part(0).alias("entity"), part(1).alias("entity_type"), part(2).alias("description"), number_or(F.col("last"), 50.0).alias("weight"))
     return named.where(strip(F.col("entity")) != "")
 
 

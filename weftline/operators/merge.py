@@ -35,6 +35,25 @@ def merged_edges(mentions: DataFrame, state: DataFrame | None = None) -> DataFra
     return both.groupBy("fact", "entity").agg(F.sum("weight").alias("weight"), set_of("source_ids").alias("source_ids"), F.min("seq").alias("seq"))
 
 
+def joined_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """Entities under their canonical names (entity, canonical): the type that most of them have, ties to that of the least name; all descriptions and sources."""
+    moved = entities.join(names.select("entity", "canonical"), "entity", "left").withColumn("canonical", F.coalesce("canonical", "entity"))
+    by_type = moved.groupBy("canonical", "entity_type").agg(F.count("*").alias("votes"), F.min("entity").alias("first"), set_of("descriptions").alias("descriptions"), set_of("source_ids").alias("source_ids"))
+    best = F.min_by("entity_type", F.struct(-F.col("votes"), F.col("first")))
+    return by_type.groupBy(F.col("canonical").alias("entity")).agg(best.alias("entity_type"), set_of("descriptions").alias("descriptions"), set_of("source_ids").alias("source_ids"))
+
+
+def joined_edges(edges: DataFrame) -> DataFrame:
+    """One edge for each fact and entity after entities were renamed: summed weights, all sources, first place."""
+    return edges.groupBy("fact", "entity").agg(F.sum("weight").alias("weight"), set_of("source_ids").alias("source_ids"), F.min("seq").alias("seq"))
+
+
+def one_relation(kg_edges: DataFrame) -> DataFrame:
+    """One hand-made relation for each pair of ends: the greatest row."""
+    greatest = F.max(F.struct("weight", "description", "keywords", "source_id"))
+    return kg_edges.groupBy("src", "tgt").agg(greatest.alias("row")).select("src", "tgt", "row.*")
+
+
 def summarised(entities: DataFrame, summarise, limit: int = 500) -> DataFrame:
     """Descriptions of ``limit`` words or more go through ``summarise`` (Column to Column); others stay."""
     text = F.array_join("descriptions", "<SEP>")

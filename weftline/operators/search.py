@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 
 from weftline.functions.vectors import cosine, dot
 
-#: Queries that are sent to every task for one pass.
-QUERY_LIMIT = 10_000
+#: Queries that are sent to every task for one pass, dense ones and sparse ones.
+QUERY_LIMIT, SPARSE_LIMIT = 10_000, 1_024
 
 
 def in_blocks(queries: DataFrame, key: str, at_most: int = QUERY_LIMIT) -> list[DataFrame]:
@@ -41,20 +43,98 @@ def ranked(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Asked:
+    """A block of stated queries as an inverted table: for each bucket that a query holds, the queries and their values there."""
+
+    def __init__(self, block: pa.Table):
+        ids, place = np.unique(np.asarray(block["query_id"].to_pylist(), dtype=object), return_inverse=True)
+        bucket, value = block["bucket"].to_numpy(), block["value"].to_numpy()
+        order = np.lexsort((place, bucket))
+        self.ids, self.n = pa.array(ids.tolist(), block["query_id"].type), len(ids)
+        self.query, self.value, bucket = place[order], value[order], bucket[order]
+        self.buckets, self.first = np.unique(bucket, return_index=True)
+        self.count = np.diff(self.first, append=len(bucket))
+
+    def scores(self, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """rows x queries: inner products with sparse rows (row, bucket, value)."""
+        at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        known = self.buckets[at] == bucket
+        row, value, at = row[known], value[known], at[known]
+        times = self.count[at]
+        entry = np.arange(times.sum()) + np.repeat(self.first[at] - np.cumsum(times) + times, times)
+        cell = np.repeat(row, times) * self.n + self.query[entry]
+        return np.bincount(cell, np.repeat(value, times) * self.value[entry], rows * self.n).reshape(rows, self.n)
+
+
+#: Scores within this of each other are told apart only after they are rounded.
+SLACK = 1e-8
+
+
+def best_rows(vectors: DataFrame, asked: Asked, k: int, at_least: float, allowed: np.ndarray | None = None) -> DataFrame:
+    """query_id, name, value: of each task's rows (name, vector) the ``k`` best for each query, and ties.
+
+    Every row is scored where it is read, against all queries of the block at once, so no pair is
+    shuffled and only what may be among the best leaves a task. ``allowed`` (queries x cells) says
+    which queries ask for the cell in a third column.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(asked.n, at_least - SLACK)
+        q_held, s_held, n_held = np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.string())
+        for batch in batches:
+            lists, names = batch.column(1), batch.column(0)
+            step = max(1, min(4096, (1 << 21) // max(asked.n, 1)))
+            for k0 in range(0, len(batch), step):
+                part = lists.slice(k0, step)
+                flat, rows = part.flatten(), len(part)
+                size = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
+                near = asked.scores(np.repeat(np.arange(rows), size), flat.field("bucket").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False), rows)
+                fine = near >= floor
+                if allowed is not None:
+                    fine &= allowed[:, batch.column(2).slice(k0, step).to_numpy(zero_copy_only=False)].T
+                r, q = np.nonzero(fine)
+                q_held, s_held = np.append(q_held, q), np.append(s_held, near[r, q])
+                n_held = pa.concat_arrays([n_held, names.slice(k0, step).take(pa.array(r))])
+                order = np.lexsort((-s_held, q_held))
+                q_held, s_held, n_held = q_held[order], s_held[order], n_held.take(pa.array(order))
+                first = np.searchsorted(q_held, np.arange(asked.n))
+                full = np.flatnonzero(np.diff(first, append=len(q_held)) >= k)
+                floor[full] = np.maximum(floor[full], s_held[first[full] + k - 1] - SLACK)
+                stays = s_held >= floor[q_held]
+                q_held, s_held, n_held = q_held[stays], s_held[stays], n_held.filter(pa.array(stays))
+        if len(q_held):
+            yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(q_held)), n_held, pa.array(s_held)], names=["query_id", "name", "value"])
+
+    kind = "long" if pa.types.is_integer(asked.ids.type) else "string"
+    return vectors.mapInArrow(run, f"query_id {kind}, name string, value double")
+
+
 def sparse_top_k(queries: DataFrame, vectors: DataFrame, k: int, at_least: float = 0.2, digits: int = 9) -> DataFrame:
-    """V1 over sparse unit vectors (query_id or name, bucket, value): an equi-join on buckets, so rows without a common word never meet."""
-    met = queries.select("query_id", "bucket", F.col("value").alias("q")).join(vectors, "bucket")
-    score = F.round(F.sum(F.col("q") * F.col("value")), digits)
-    return ranked(met.groupBy("query_id", "name").agg(score.alias("score")).where(F.col("score") >= at_least), k, "name")
-
-
-def approximate_pairs(queries: DataFrame, vectors: DataFrame, distance: float, tables: int = 4, bucket: float = 0.5) -> DataFrame:
-    """V5: query_id, id, distance of unit vectors within a Euclidean distance, by random projections (approximate)."""
-    v = vectors.select("id", array_to_vector("embedding").alias("features"))
-    q = queries.select("query_id", array_to_vector("query").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=7).fit(v)
-    pairs = model.approxSimilarityJoin(q, v, distance, "distance")
-    return pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
+    """V1 over sparse unit vectors: query_id, name, score, rank of the k best rows (name, vector) for each query (query_id, bucket, value).
+
+    The query set is stated by the caller. Each block of ``SPARSE_LIMIT`` queries is sent to all tasks
+    and takes one pass over the vectors; ties go to the lesser name.
+    """
+    parts = []
+    for asked in asked_blocks(queries):
+        scored = best_rows(vectors.select("name", "vector"), asked, k, at_least).select("query_id", "name", F.round("value", digits).alias("score"))
+        parts.append(ranked(scored.where(F.col("score") >= at_least), k, "name"))
+    return reduce(DataFrame.union, parts) if parts else no_hits(queries)
+
+
+def no_hits(queries: DataFrame) -> DataFrame:
+    return queries.limit(0).select("query_id", F.lit("").alias("name"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+
+def asked_blocks(queries: DataFrame, at_most: int | None = None) -> Iterator[Asked]:
+    """The stated queries (query_id, bucket, value) in blocks of about ``SPARSE_LIMIT``, each small enough for every task."""
+    at_most = at_most or SPARSE_LIMIT
+    rows = queries.select("query_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
+    blocks = max(1, -(-rows.select("query_id").distinct().count() // at_most))
+    for b in range(blocks):
+        block = (rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else rows).toArrow()
+        if block.num_rows:
+            yield Asked(block)
 
 
 def unit(v: Column) -> Column:

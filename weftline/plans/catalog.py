@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import chunks as ch
+from weftline.functions import subwords
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.operators import access, cache, context, evaluation, extraction, merge, search
+from weftline.operators import access, cache, cells, context, evaluation, extraction, impact, merge, resolution, search
 from weftline.plans import prompts, retrieval
 from weftline.plans.engine import Engine
 
@@ -49,7 +50,7 @@ def built(spark: SparkSession, sf_dir: str) -> Engine:
     Another insert of the same documents would find them all known, so later queries go without.
     """
     folder = zlib.crc32(f"{sf_dir}/{spark.sparkContext.applicationId}".encode())
-    engine = Engine(spark, f"{access.scratch(spark)}/weftline-graph-{folder}", SIZE, OVERLAP)
+    engine = Engine(spark, f"{access.scratch(spark)}/weftline-graph-{folder}", SIZE, OVERLAP, cells=0)
     if not engine.store.exists("docs"):
         engine.insert(read(spark, sf_dir, "documents").select(F.col("text").alias("content")))
     return engine
@@ -568,3 +569,82 @@ def answer_prompts(spark, sf_dir):
     """What a model would be asked for each question."""
     found = context.sources_text(answers("hybrid")(spark, sf_dir), 5).join(asked(spark, sf_dir), "query_id")
     return found.select("query_id", context.filled(prompts.ANSWER, context=F.col("context"), question=F.col("text")).alias("prompt"))
+
+
+_ALIKE = f"WITH RECURSIVE {MENTIONS}, {PATHS}, pairs AS (SELECT a.entity AS a, b.entity AS b FROM ev a JOIN ev b ON a.bucket = b.bucket AND a.entity <> b.entity GROUP BY ALL HAVING round(sum(a.value * b.value), 9) >= 0.9), reach AS (SELECT entity AS a, entity AS b FROM entities UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), named AS (SELECT a AS entity, min(b) AS canonical FROM reach GROUP BY a)"
+
+
+@query(_ALIKE + " SELECT entity, canonical FROM named WHERE entity <> canonical")
+def entity_resolution(spark, sf_dir):
+    """Entities that another one of the graph stands for: vectors linked by cosines of 0.9 or more."""
+    stored = graph_of(spark, sf_dir).entity_vectors
+    return resolution.aliases(stored.select("name", "vector"), 0.9).where("entity <> canonical")
+
+
+_HALF = _ALIKE.replace("FROM documents)", "FROM documents WHERE length(text) % 2 = 0)")
+
+
+@query(f"WITH {MENTIONS}, names AS (SELECT * FROM ({_HALF} SELECT entity, canonical FROM named)) SELECT fact, coalesce(canonical, entity) AS entity, sum(weight) AS weight FROM mentions LEFT JOIN names USING (entity) GROUP BY ALL")
+def resolved_edges(spark, sf_dir):
+    """Edges of a graph of half of the documents that is resolved before the other half is inserted: later mentions come under canonical names."""
+    engine = Engine(spark, f"{access.scratch(spark)}/weftline-resolved-{uuid.uuid4().hex}", SIZE, OVERLAP)
+    docs = read(spark, sf_dir, "documents").select(F.col("text").alias("content"))
+    engine.insert(docs.where("length(content) % 2 = 0"))
+    engine.resolve(0.9)
+    engine.insert(docs.where("length(content) % 2 = 1"))
+    return engine.table("edges").select("fact", "entity", "weight")
+
+
+@query(_ALIKE + " SELECT fact, canonical AS entity, sum(weight) AS weight FROM edges JOIN named USING (entity) GROUP BY ALL")
+def merged_edges_of_resolved(spark, sf_dir):
+    """The graph's edges under canonical names."""
+    graph = graph_of(spark, sf_dir)
+    names = resolution.aliases(graph.entity_vectors.select("name", "vector"), 0.9)
+    return merge.joined_edges(resolution.renamed(graph.edges, names)).select("fact", "entity", "weight")
+
+
+def _dense_index(spark, sf_dir) -> tuple[cells.Index, DataFrame]:
+    """The table of embeddings as an index in cells, and every hundredth vector as a query."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), vx.sparse_array(F.col("embedding")).alias("vector")).where(F.size("vector") > 0)
+    own = cells.learned(v)
+    path = f"{access.scratch(spark)}/weftline-cells-{uuid.uuid4().hex}"
+    cells.placed(v, own.centres).repartition("cell").write.partitionBy("cell").parquet(path)
+    asks = v.where("cast(name AS long) % 100 = 0").select(F.col("name").cast("long").alias("query_id"), F.inline("vector"))
+    return cells.Index([spark.read.parquet(path)], own), asks
+
+
+def _lists(vectors: DataFrame) -> impact.Lists:
+    """Stored lists of (name, vector)."""
+    spark = vectors.sparkSession
+    path = f"{access.scratch(spark)}/weftline-lists-{uuid.uuid4().hex}"
+    impact.postings(vectors).repartition("level", F.pmod(F.xxhash64("bucket"), F.lit(4))).sortWithinPartitions("level", "bucket").write.partitionBy("level").parquet(path)
+    lists = spark.read.schema("level int, bucket int, name string").parquet(path)
+    return impact.Lists(lists, access.staged(impact.sizes(lists), "sizes"), vectors)
+
+
+@query(f"WITH {MENTIONS}, {PATHS} SELECT 'entity' AS kind, query_id, entity AS name, score, rank::INT AS rank FROM eh UNION ALL SELECT 'fact', query_id, fact, score, rank::INT FROM fh")
+def impact_hits(spark, sf_dir):
+    """V1 by lists in order of impact: the 60 nearest entities and facts of each question."""
+    graph = graph_of(spark, sf_dir)
+    asks = graph.asked(asked(spark, sf_dir))
+    parts = [_lists(v).top_k(asks, 60).select(F.lit(kind).alias("kind"), "query_id", "name", "score", "rank") for kind, v in (("entity", graph.entity_vectors), ("fact", graph.fact_vectors))]
+    return parts[0].union(parts[1])
+
+
+@query()
+def approximate_topk(spark, sf_dir):
+    """V5: the 20 nearest by cosine among the cells nearest to each query."""
+    index, asks = _dense_index(spark, sf_dir)
+    return index.top_k(asks, 20, -1.0, recall=0.97)
+
+
+@query()
+def mode_local_approximate(spark, sf_dir):
+    """Q1 with the engine's index: each question reads a few cells of the entities' vectors."""
+    return retrieval.answer(graph_of(spark, sf_dir), asked(spark, sf_dir), retrieval.QueryParams(mode="local", recall=0.97))
+
+
+@query()
+def subword_windows(spark, sf_dir):
+    """K1 in byte-pair tokens of a public vocabulary."""
+    return subwords.windows(read(spark, sf_dir, "documents"), "doc_id", "text", SIZE, OVERLAP)

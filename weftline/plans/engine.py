@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import subwords
 from weftline.functions.chunks import distinct_chunks, windows
 from weftline.functions.text import hash_id, strip
-from weftline.functions.vectors import embedded
-from weftline.operators import extraction, merge
+from weftline.functions.vectors import embedded, gathered
+from weftline.operators import cells, extraction, impact, merge, resolution
 from weftline.operators.access import node_degree
 from weftline.plans.retrieval import Graph, QueryParams, answer, entity_texts, fact_texts
 from weftline.sources.workspace import Workspace
 
-VECTOR = "name string, vector array<struct<bucket: int, value: double>>"
+VECTOR = "name string, vector array<struct<bucket: int, value: double>>, cell int"
 SCHEMAS = {
     "docs": "doc_key string, content string",
     "chunks": "chunk_id string, full_doc_id string, chunk_order_index int, tokens int, content string",
@@ -27,12 +30,19 @@ SCHEMAS = {
     "entity_vectors": VECTOR,
     "fact_vectors": VECTOR,
     "chunk_vectors": VECTOR,
+    **{f"{kind}_lists": "level int, bucket int, name string" for kind in ("entity", "fact", "chunk")},
+    **{f"{kind}_sizes": "bucket int, level int, n long" for kind in ("entity", "fact", "chunk")},
+    "aliases": "entity string, canonical string",
+    "cells": "of string, cell int, n long, centre array<double>, recall double",
     "kg_edges": "src string, tgt string, weight double, description string, keywords string, source_id string",
 }
 KEYS = {
     "docs": ("doc_key",), "chunks": ("chunk_id",), "facts": ("fact",), "entities": ("entity",), "edges": ("fact", "entity"),
-    "degrees": ("node",), "entity_vectors": ("name",), "fact_vectors": ("name",), "chunk_vectors": ("name",), "kg_edges": ("src", "tgt"),
+    "degrees": ("node",), "entity_vectors": ("name",), "fact_vectors": ("name",), "chunk_vectors": ("name",), "cells": ("of", "cell"), "aliases": ("entity",), "kg_edges": ("src", "tgt"),
 }
+VECTORS = ("entity_vectors", "fact_vectors", "chunk_vectors")
+LISTS = ("entity_lists", "fact_lists", "chunk_lists")
+KEYS |= dict.fromkeys(LISTS, ("level", "bucket", "name"))  # rows of sizes add up
 
 
 def hashed(rows: DataFrame) -> DataFrame:
@@ -46,6 +56,10 @@ class Engine:
 
     ``extractor`` turns chunks (chunk_id, content) into responses (chunk_id, response), ``embedder``
     texts (name, content) into sparse unit vectors (name, bucket, value); questions go through it, too.
+    With ``cells`` every insert keeps an approximate index of the vectors in so many cells (0: about
+    the square root of their number), which a query uses that names a recall or its probes; with ``lists`` it
+    keeps lists of rows by bucket and value, for exact searches that read their beginnings. With
+    ``vocabulary`` chunks are windows of its byte-pair tokens instead of words.
     """
 
     spark: SparkSession
@@ -54,17 +68,58 @@ class Engine:
     overlap: int = 100
     extractor: Callable[[DataFrame], DataFrame] = field(default=extraction.rule_responses)
     embedder: Callable[[DataFrame], DataFrame] = field(default=hashed)
+    cells: int | None = None
+    lists: bool = False
+    vocabulary: str | None = None
 
     def __post_init__(self):
-        self.store = Workspace(self.spark, self.path, KEYS)
+        self.store = Workspace(self.spark, self.path, KEYS, SCHEMAS, dict.fromkeys(VECTORS, "cell") | dict.fromkeys(LISTS, "level"))
 
     def table(self, name: str) -> DataFrame:
         return self.store.read_or(name, SCHEMAS[name])
 
     def vectors(self, texts: DataFrame) -> DataFrame:
-        """Name, vector of (name, content); texts without a word have no row."""
-        rows = self.embedder(texts)
-        return rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), F.col("value").cast("double").alias("value")))).alias("vector"))
+        """Name, vector, cell of (name, content), all in one cell; texts without a word have no row."""
+        return gathered(self.embedder(texts)).withColumn("cell", F.lit(0))
+
+    def cells_of(self, name: str) -> tuple[cells.Cells | None, int]:
+        """A table's cells, and the number of vectors when they were learned."""
+        rows = self.table("cells").where(F.col("of") == name).orderBy("cell").collect()  # at most ``cells.MOST_CELLS``
+        return (cells.Cells(np.array([r["centre"] for r in rows]), np.array([r["recall"] for r in rows])), rows[0]["n"]) if rows else (None, 0)
+
+    def _indexed(self, changes: dict[str, DataFrame], fresh: bool) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """The tables to append and to replace: new vectors go to their cells, which are learned anew where a table has outgrown them."""
+        append, replace, learned = changes | self._listed(changes), {}, {}
+        for name in VECTORS if self.cells is not None else ():
+            if name not in changes:
+                continue
+            new = self.store.stage(name, changes[name])
+            own, n = (None, 0) if fresh else self.cells_of(name)
+            held = [] if fresh else self.store.layers(name)
+            size = new.count() + sum(layer.count() for layer in held)  # from the files' footers
+            if own is None or size > cells.GROWTH * n:
+                if held:
+                    new = self.store.stage(name, new.unionByName(self.table(name).join(new.select("name"), "name", "left_anti")))
+                own = cells.learned(new, self.cells or None)
+                learned[name] = (own, size)
+                replace[name] = append.pop(name)
+            rows = cells.placed(new, own.centres).repartition("cell", F.pmod(F.xxhash64("name"), F.lit(4)))
+            (replace if name in replace else append)[name] = rows
+        if learned:
+            old = self.table("cells").where(~F.col("of").isin(list(learned))) if not fresh else self.spark.createDataFrame([], SCHEMAS["cells"])
+            rows = [(name, k, n, c.tolist(), float(r)) for name, (own, n) in learned.items() for k, (c, r) in enumerate(zip(own.centres, own.recall, strict=True))]
+            replace["cells"] = old.unionByName(self.spark.createDataFrame(rows, SCHEMAS["cells"]))
+        return append, replace
+
+    def _listed(self, changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Rows of lists for new vectors. Those of vectors that are replaced or deleted stay: searches score by the vectors in force."""
+        out = {}
+        for name in VECTORS if self.lists else ():
+            if name in changes:
+                kind = name.removesuffix("_vectors")
+                rows = self.store.stage(f"{kind}_lists", impact.postings(changes[name]))
+                out |= {f"{kind}_lists": rows.repartition("level", F.pmod(F.xxhash64("bucket"), F.lit(4))).sortWithinPartitions("level", "bucket"), f"{kind}_sizes": impact.sizes(rows)}
+        return out
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents (content). Known documents and chunks change nothing.
@@ -83,13 +138,15 @@ class Engine:
         text, stage = strip(F.col("content")), self.store.stage
         new = merge.new_keys(docs.select(hash_id(text, "doc-").alias("doc_key"), text.alias("content")).dropDuplicates(["doc_key"]), table("docs"), "doc_key")
         new = stage("docs", new)
-        chunks = stage("chunks", merge.new_keys(distinct_chunks(windows(new, "doc_key", "content", self.size, self.overlap)), table("chunks"), "chunk_id"))
+        cut = windows(new, "doc_key", "content", self.size, self.overlap) if self.vocabulary is None else subwords.windows(new, "doc_key", "content", self.size, self.overlap, self.vocabulary)
+        chunks = stage("chunks", merge.new_keys(distinct_chunks(cut), table("chunks"), "chunk_id"))
         if chunks.isEmpty() and not fresh:
             return
         rows = stage("records", extraction.records(self.extractor(chunks)))
-        facts, mentions = extraction.facts(rows), extraction.mentions(rows)
+        facts = stage("said", extraction.facts(rows))
         if facts.isEmpty() and not fresh:
             return
+        mentions = stage("mentions", resolution.renamed(extraction.mentions(rows), table("aliases")))
         touched = lambda name, keys, *on: table(name).join(keys.select(*on).distinct(), list(on), "left_semi")
         merged_facts = stage("facts", merge.merged_facts(facts, touched("facts", facts, "fact")))
         entities = stage("entities", merge.merged_entities(mentions, touched("entities", mentions, "entity")))
@@ -102,11 +159,14 @@ class Engine:
             "entity_vectors": self.vectors(entity_texts(entities)), "fact_vectors": self.vectors(fact_texts(new_facts)),
             "chunk_vectors": self.vectors(chunks.select(F.col("chunk_id").alias("name"), "content")),
         }
-        self.store.commit(**{"replace" if fresh else "append": changes})
+        append, replace = self._indexed(changes, fresh)
+        self.store.commit(**({"replace": append | replace} if fresh else {"append": append, "replace": replace}))
 
     def insert_graph(self, chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> None:
         """Add a hand-made graph (see ``merge.custom_graph``); a known entity keeps its chunks and gets the new type and description, too."""
         texts, nodes, kg_edges = merge.custom_graph(chunks, entities, relations)
+        names = self.table("aliases")
+        nodes, kg_edges = resolution.renamed(nodes, names), resolution.renamed(resolution.renamed(kg_edges, names, "src"), names, "tgt")
         new = nodes.select("entity", "entity_type", F.array("description").alias("descriptions"), F.array("source_id").alias("source_ids"))
         old = self.table("entities").join(new.select("entity").distinct(), "entity", "left_semi")
         every = new.withColumn("age", F.lit(1)).unionByName(old.withColumn("age", F.lit(0))).groupBy("entity").agg(
@@ -116,17 +176,54 @@ class Engine:
         held = texts.join(self.table("chunks").select("chunk_id"), "chunk_id", "left_anti").select(
             "chunk_id", F.lit(None).cast("string").alias("full_doc_id"), F.lit(0).alias("chunk_order_index"), F.size(F.split("content", r"\s+")).alias("tokens"), "content"
         )
-        one = kg_edges.groupBy("src", "tgt").agg(F.max(F.struct("weight", "description", "keywords", "source_id")).alias("row")).select("src", "tgt", "row.*")
-        self.store.commit(append={"chunks": held, "entities": every, "kg_edges": one, "entity_vectors": self.vectors(entity_texts(every))})
+        one = merge.one_relation(kg_edges)
+        append, replace = self._indexed({"chunks": held, "entities": every, "kg_edges": one, "entity_vectors": self.vectors(entity_texts(every))}, False)
+        self.store.commit(append=append, replace=replace)
 
     def graph(self) -> Graph:
-        vectors = {k: self.table(k).select("name", F.inline("vector")) for k in ("entity_vectors", "fact_vectors", "chunk_vectors")}
-        return Graph(*(self.table(k) for k in ("entities", "facts", "edges", "chunks")), degrees=self.table("degrees"), embedder=self.embedder, **vectors)
+        tables = {k: self.table(k) for k in (*VECTORS, "degrees")}
+        indexes = {}
+        for name in VECTORS if self.cells is not None else ():
+            own, _ = self.cells_of(name)
+            if own is not None:
+                indexes[name.removesuffix("_vectors")] = cells.Index(self.store.layers(name), own)
+        lists = {}
+        for name in LISTS if self.lists else ():
+            kind = name.removesuffix("_lists")
+            if layers := self.store.layers(name):
+                lists[kind] = impact.Lists(reduce(DataFrame.union, layers), self.table(f"{kind}_sizes"), tables[f"{kind}_vectors"])
+        return Graph(*(self.table(k) for k in ("entities", "facts", "edges", "chunks")), embedder=self.embedder, indexes=indexes, lists=lists, **tables)
 
     def query(self, queries: DataFrame, params: QueryParams = QueryParams()) -> DataFrame:
         """query_id, rank, knowledge, coherence for queries (query_id, text)."""
         return answer(self.graph(), queries, params)
 
+    def resolve(self, at_least: float = 0.9) -> None:
+        """Make one entity of those whose vectors are linked by cosines of ``at_least`` or more, under the least of their names.
+
+        Entities, edges, relations, degrees and vectors are rewritten under one manifest, with the names
+        that went: later inserts write their mentions under the canonical names.
+        """
+        vectors = self.table("entity_vectors")
+        found = resolution.aliases(vectors.select("name", "vector"), at_least)
+        moved = self.store.stage("aliases", found.where("entity <> canonical"))
+        if moved.isEmpty():
+            return
+        known = resolution.renamed(self.table("aliases"), moved, "canonical")
+        entities = self.store.stage("entities", merge.joined_entities(self.table("entities"), moved))
+        edges = self.store.stage("edges", merge.joined_edges(resolution.renamed(self.table("edges"), moved)))
+        kg_edges = merge.one_relation(resolution.renamed(resolution.renamed(self.table("kg_edges"), moved, "src"), moved, "tgt"))
+        changed = entities.join(moved.select(F.col("canonical").alias("entity")).distinct(), "entity", "left_semi")
+        gone = moved.select(F.col("entity").alias("name")).union(moved.select("canonical")).distinct()
+        fresh, (own, _) = self.store.stage("entity_vectors", self.vectors(entity_texts(changed))), self.cells_of("entity_vectors")
+        if own is not None:
+            fresh = cells.placed(fresh, own.centres)
+        kept = vectors.join(gone, "name", "left_anti").unionByName(fresh)
+        self.store.commit(append=self._listed({"entity_vectors": fresh}), replace={
+            "aliases": known.unionByName(moved), "entities": entities, "edges": edges, "kg_edges": kg_edges, "degrees": node_degree(edges),
+            "entity_vectors": kept if own is None else kept.repartition("cell", F.pmod(F.xxhash64("name"), F.lit(4))),
+        })
+
     def delete(self, names: DataFrame) -> None:
         """Remove the entities (name), their edges and vectors, and count the degrees anew, in one commit."""
         entities, edges = merge.delete_entity(self.table("entities"), self.table("edges"), names)

@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.vectors import embedded
+from weftline.functions.vectors import embedded, gathered
 from weftline.operators.access import related_edges
+from weftline.operators.cells import Index
 from weftline.operators.extraction import FACT_MARK
+from weftline.operators.impact import Lists
 from weftline.operators.search import sparse_top_k
 
 
 @dataclass(frozen=True)
 class QueryParams:
-    """``mode`` is local (entities), global (facts), hybrid (both) or naive (chunks)."""
+    """``mode`` is local (entities), global (facts), hybrid (both) or naive (chunks).
+
+    ``recall`` or ``probes`` asks for the approximate search: each query reads as many cells of an
+    index as took that recall, or so many. Without them, or where a table has no index, the search is
+    exact: by lists of rows that ``lists`` asks for and an engine keeps, or by a scan.
+    """
 
     mode: str = "hybrid"
     top_k: int = 60
     at_least: float = 0.2
     rrf_k: int = 0
+    recall: float | None = None
+    probes: int | None = None
+    lists: bool = False
 
 
 @dataclass
 class Graph:
-    """A graph's tables, as the merges give them, with the vectors (name, bucket, value) and degrees that an insert stored, if any."""
+    """A graph's tables, as the merges give them, with the vectors (name, vector), indexes and degrees that an insert stored, if any."""
 
     entities: DataFrame
     facts: DataFrame
@@ -37,14 +47,21 @@ class Graph:
     fact_vectors: DataFrame | None = None
     chunk_vectors: DataFrame | None = None
     embedder: Callable[[DataFrame], DataFrame] = lambda rows: embedded(rows, "name", "content")
+    indexes: dict[str, Index] = field(default_factory=dict)
+    lists: dict[str, Lists] = field(default_factory=dict)
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """query_id, bucket, value of queries (query_id, text)."""
         return self.embedder(queries.select(F.col("query_id").alias("name"), F.col("text").alias("content"))).withColumnRenamed("name", "query_id")
 
-    def near(self, queries: DataFrame, stored: DataFrame | None, texts: DataFrame, params: QueryParams) -> DataFrame:
-        """query_id, name, score, rank by stored vectors, or by those of ``texts`` (name, content)."""
-        return sparse_top_k(self.asked(queries), self.embedder(texts) if stored is None else stored, params.top_k, params.at_least)
+    def near(self, queries: DataFrame, kind: str, texts: DataFrame, params: QueryParams) -> DataFrame:
+        """query_id, name, score, rank by the stored vectors of ``kind`` (entity, fact, chunk), or by those of ``texts`` (name, content)."""
+        asked, stored = self.asked(queries), getattr(self, f"{kind}_vectors")
+        if (params.recall or params.probes) and kind in self.indexes:
+            return self.indexes[kind].top_k(asked, params.top_k, params.at_least, params.recall or 1.0, params.probes)
+        if params.lists and kind in self.lists:
+            return self.lists[kind].top_k(asked, params.top_k, params.at_least)
+        return sparse_top_k(asked, gathered(self.embedder(texts)) if stored is None else stored, params.top_k, params.at_least)
 
 
 def _plain(fact):
@@ -63,7 +80,7 @@ def fact_texts(facts: DataFrame) -> DataFrame:
 
 def entity_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Q1: query_id, knowledge, position: facts next to the nearest entities, with one position for each (entity, fact)."""
-    hits = graph.near(queries, graph.entity_vectors, entity_texts(graph.entities), params)
+    hits = graph.near(queries, "entity", entity_texts(graph.entities), params)
     seeds = hits.select("query_id", F.col("name").alias("entity"), F.col("rank").alias("seed_rank"))
     found = related_edges(seeds, graph.edges, graph.degrees)
     return found.select("query_id", _plain("fact").alias("knowledge"), F.col("rank").alias("position"))
@@ -71,7 +88,7 @@ def entity_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFr
 
 def fact_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Q2: query_id, knowledge, position: the nearest facts by weight, ties in order of nearness."""
-    hits = graph.near(queries, graph.fact_vectors, fact_texts(graph.facts), params)
+    hits = graph.near(queries, "fact", fact_texts(graph.facts), params)
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "rank")
     met = hits.join(graph.facts.select(F.col("fact").alias("name"), "weight"), "name")
     return met.select("query_id", _plain("name").alias("knowledge"), F.row_number().over(order).alias("position"))
@@ -90,7 +107,7 @@ def fused(first: DataFrame, second: DataFrame, top_k: int, rrf_k: int = 0) -> Da
 def naive_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Chunks nearest to the query."""
     texts = graph.chunks.select(F.col("chunk_id").alias("name"), "content")
-    hits = graph.near(queries, graph.chunk_vectors, texts, params)
+    hits = graph.near(queries, "chunk", texts, params)
     return hits.join(texts, "name").select("query_id", F.col("content").alias("knowledge"), F.col("rank").alias("position"))
 
 

@@ -20,8 +20,8 @@ class Workspace:
     all tables of a commit appear at once. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, tuple[str, ...]] | None = None):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys or {}
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, tuple[str, ...]] | None = None, schemas: dict[str, str] | None = None, partitions: dict[str, str] | None = None):
+        self.spark, self.path, self.keys, self.schemas, self.partitions = spark, path.rstrip("/"), keys or {}, schemas or {}, partitions or {}
 
     def _folder(self, path: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,8 +51,16 @@ class Workspace:
         """Those of the tables that are not there."""
         return sorted(set(names) - set(self.folders()))
 
+    def _layers(self, name: str, folders: list[str]) -> list[DataFrame]:
+        reader = self.spark.read.schema(self.schemas[name]) if name in self.schemas else self.spark.read
+        return [reader.parquet(f"{self.path}/tables/{f}") for f in folders]
+
+    def layers(self, name: str) -> list[DataFrame]:
+        """A table's folders, oldest first; of rows of one key the newest folder's counts."""
+        return self._layers(name, self.folders().get(name, []))
+
     def _rows(self, name: str, folders: list[str]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.path}/tables/{f}") for f in folders]
+        parts = self._layers(name, folders)
         if len(parts) == 1:
             return parts[0]
         key = self.keys.get(name, ())
@@ -92,7 +100,8 @@ class Workspace:
 
     def _write(self, name: str, rows: DataFrame) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/tables/{folder}")
+        writer = rows.write.partitionBy(self.partitions[name]) if name in self.partitions else rows.write
+        writer.parquet(f"{self.path}/tables/{folder}")
         return folder
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
