@@ -350,6 +350,26 @@ def test_topics_are_of_whole_texts(spark):
     assert model.of(mixing.pa.array(["", "12 34"]), mixing.np.zeros(2, dtype=bool)) == ["none", "none"]
 
 
+def test_topics_tell_texts_of_one_language_apart(spark):
+    """At least three topics among the commonest language's documents, none of fewer than five; clusters are those of plain numpy from the same centres."""
+    import numpy as np
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    topics, rows = topics_of(table), table.where("text IS NOT NULL").collect()
+    common = Counter(r.lang for r in rows).most_common(1)[0][0]
+    sizes = Counter(topics[r.text] for r in rows if topics[r.text] != "none")
+    assert len({topics[r.text] for r in rows if r.lang == common} - {"none"}) >= 3 and min(sizes.values()) >= 5
+    model = mixing.fit_topics(table)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4) and len(model.means) == len({r.lang for r in rows if r.lang})
+    x = language.unit(language.tf_rows(mixing.pa.array([r.text for r in rows[:200]])) * model.idf)
+    for r, v in zip(rows[:200], x, strict=True):
+        own = max(model.means, key=lambda m: float(m @ v))
+        rest = v - float(v @ own) * own
+        if topics[r.text] != "none":
+            near = model.centroids @ rest
+            assert near[int(topics[r.text][1:])] >= near.max() - 1e-5
+
+
 def test_mixing_keeps_values_that_no_target_lists(spark):
     """A third of the rows have no language or one that is not listed."""
     r = random.Random(8)

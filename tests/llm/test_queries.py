@@ -97,6 +97,34 @@ def test_op7(spark):
     assert sum(r.lang_pred == labels[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_op7_by_plain_numpy(spark):
+    """Document frequencies of all labelled rows, and every prediction, score and rejection from the centroids."""
+    from weftline.llm import language
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, table = language.fit(language.labelled(docs)), docs.collect()
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    learn = [d for d in table if d.lang is not None and letters(d.text) and zlib.crc32(str(d.doc_id).encode()) % 5]
+    grams = lambda t: np.asarray(language.gram_counts(t.encode()))
+    df = sum((grams(d.text) > 0).astype(int) for d in learn)
+    assert np.allclose(model.idf, np.log((1 + len(learn)) / (1 + df)) + 1, rtol=1e-6)
+    assert set(model.languages) == {d.lang for d in learn} and len(model.languages) == len(model.centroids)
+    got, seen = {r.doc_id: r for r in language.predict(docs, model).collect()}, Counter()
+    for d in table:
+        r = got[d.doc_id]
+        if not letters(d.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = np.log1p(grams(d.text)) * model.idf
+        near = model.centroids @ (v / np.linalg.norm(v))
+        assert near[[k for k, x in enumerate(model.languages) if x == r.lang_pred]].max() >= near.max() - 1e-5
+        assert abs(r.score - min(max(near.max(), 0), 1)) < 1e-5
+        if abs(near.max() - model.floor) > 1e-5:
+            assert r.rejected == (near.max() < model.floor)
+        seen[r.lang_pred] += 1
+    assert len(seen) >= 4
+
+
 def test_op8(spark):
     import re
 
