@@ -12,58 +12,26 @@ rank within a length by counts over salted buckets, so no length and no source m
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.subwords import subwords
 from weftline.llm.common import stash, texts, width
 
 END_ID = 2
 GROUPS = 96
 #: Shares of the capacity above which lengths are grouped; the plan of fewest sequences is kept.
 LARGE_SHARES = (1 / 4, 1 / 3)
-#: Fixed value: the added token of the JSON file, which ``tokenizers`` finds in texts, too.
-SPECIAL = {"<|endoftext|>": 50256}
+#: Ranks within a length that are joined with the plan by one key.
+STRETCH = 65_536
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Token ids of a text as little-endian 32-bit bytes; the string of the special token is that token.
-
-    ``tiktoken`` with the vocabulary's ranks gives the ids that ``tokenizers`` gives with its JSON
-    file (the tests hold one against the other) at about six times the speed. Its pattern gives up on
-    runs of blanks of some hundred thousand; such a text goes to ``tokenizers``.
-    """
-
-    def __init__(self, vocabulary: str):
-        import public_tokenizers
-        import tiktoken
-
-        self.json = public_tokenizers.path(vocabulary.removesuffix(".tiktoken") + ".json")
-        with open(public_tokenizers.path(vocabulary), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-
-    @cached_property
-    def slow(self):
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.json)
-
-    def encode(self, text: str) -> bytes:
-        try:
-            ids = self.encoding.encode(text, allowed_special="all")
-        except ValueError:  # the pattern's stack is full
-            ids = self.slow.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
     """start, length and CRC of each piece; only the first of several may be short."""
     n = len(ids) // 4
@@ -80,11 +48,11 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str = "byte_bpe_50k
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder = Encoder(vocabulary)
+        encoder = subwords(vocabulary)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for piece, (start, length, crc) in enumerate(cut(encoder.encode(text.as_py()) + end, capacity)):
+                for piece, (start, length, crc) in enumerate(cut(encoder.encode(text.as_py()).astype("<u4").tobytes() + end, capacity)):
                     for column, value in zip(out, (doc_id, piece, start, length, crc), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -268,10 +236,13 @@ def pack(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = plan_sequences(counts, capacity, groups).rows
     plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
-    if len(rows) <= 50_000:  # at most 40 bytes a row: 2 MB
+    # Runs and pieces meet by length and by stretches of ranks, so that no length is one key.
+    stretch = lambda rank: F.floor(rank / STRETCH)
+    plan = plan.withColumn("stretch", F.explode(F.sequence(stretch(F.col("lo")), stretch(F.greatest(F.col("hi") - 1, F.col("lo"))))))
+    if len(rows) + sum(counts.values()) // STRETCH <= 50_000:  # at most 48 bytes a row: 2.4 MB
         plan = F.broadcast(plan)
     here = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     return (
-        ranked(pieces).join(plan.withColumnRenamed("length", "size"), (F.col("length") == F.col("size")) & here)
+        ranked(pieces).withColumn("stretch", stretch(F.col("rank"))).join(plan.withColumnRenamed("length", "size").withColumnRenamed("stretch", "of"), (F.col("length") == F.col("size")) & (F.col("stretch") == F.col("of")) & here)
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
     )
