@@ -141,6 +141,29 @@ def test_rebuild_vacuum_and_compaction(spark, tmp_path, monkeypatch):
     assert engine.table("docs").count() == 1 and engine.table("facts").count() == 1
 
 
+def test_small_commits_leave_large_folders(spark, tmp_path, monkeypatch):
+    """Thirty small commits after a large one: the large folder stays, folders stay few, rows are those of a dictionary."""
+    from weftline.sources import workspace
+
+    monkeypatch.setattr(workspace, "MOST_FOLDERS", 3)
+    store, held = Workspace(spark, str(tmp_path / "w"), {"t": ("k",)}), {}
+    written = []
+    real = Workspace._write
+    monkeypatch.setattr(Workspace, "_write", lambda self, name, rows: written.append(rows.count()) or real(self, name, rows))
+
+    def commit(rows):
+        held.update(rows)
+        store.commit(append={"t": spark.createDataFrame([(k, v) for k, v in rows.items()], "k long, v string")})
+
+    commit({k: f"{k}" * 9 for k in range(20_000)})
+    large = store.folders()["t"][0]
+    for n in range(12):
+        commit({n * 1000 + j: f"new{n}" for j in range(20)})
+        assert len(store.folders()["t"]) <= 3
+    assert store.folders()["t"][0] == large and sum(written[1:]) < 20_000 / 10
+    assert {r.k: r.v for r in store.read("t").collect()} == held
+
+
 def test_custom_graph_and_delete(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "w"))
     engine.insert(spark.createDataFrame([(SENTENCES[0],)], "content string"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import tokens
+from weftline.functions.text import strip, tokens, unescaped
 from weftline.operators.context import within_budget
 
 
@@ -64,8 +64,10 @@ def related_edges(seeds: DataFrame, edges: DataFrame, degrees: DataFrame | None
 
 def text_units_from_entities(seeds: DataFrame, entities: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
     """query_id, chunk_id, seed_rank, relation_counts: source chunks of the seeds; counted are neighbours that share the chunk."""
-    held = seeds.join(entities.select("entity", F.explode("source_ids").alias("chunk_id")), "entity")
-    around = edges.select("entity", "fact").join(facts.select("fact", F.explode("source_ids").alias("chunk_id")), "fact")
+    own = seeds.select("entity").distinct()
+    held = seeds.join(entities.select("entity", "source_ids"), "entity").withColumn("chunk_id", F.explode("source_ids")).drop("source_ids")
+    near = edges.select("entity", "fact").join(own, "entity", "left_semi")  # only the seeds' edges and their facts are opened
+    around = near.join(facts.select("fact", "source_ids"), "fact").select("entity", F.explode("source_ids").alias("chunk_id"))
     shared = around.groupBy("entity", "chunk_id").agg(F.count("*").alias("n"))
     counted = held.join(shared, ["entity", "chunk_id"], "left")
     return counted.groupBy("query_id", "chunk_id").agg(F.min("seed_rank").alias("seed_rank"), F.sum(F.coalesce("n", F.lit(0))).alias("relation_counts"))
@@ -152,3 +154,10 @@ def largest_component(pairs: DataFrame) -> DataFrame:
     top = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1)
     kept = labels.join(top.select("label"), "label", "left_semi").select(F.col("node").alias("a"))
     return pairs.join(kept, "a", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def stable_component(pairs: DataFrame) -> DataFrame:
+    """``largest_component`` under names that are stripped, upper-cased and without character references, each edge once from its lesser end, in order."""
+    name = lambda c: unescaped(F.upper(strip(F.col(c))))
+    named = largest_component(pairs).select(name("a").alias("x"), name("b").alias("y"))
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().orderBy("a", "b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import normal_answer
+from weftline.functions.text import contains_any, normal_answer, strip
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -41,6 +41,14 @@ def retrieval_summary(results: DataFrame) -> DataFrame:
     return top.agg(F.count("*").alias("n"), F.avg(F.when(F.col("c").isNotNull(), 1.0).otherwise(0.0)).alias("success"), F.coalesce(F.avg("c"), F.lit(0.0)).alias("coherence"))
 
 
+def rag_summary(results: DataFrame) -> DataFrame:
+    """N and the rates of questions with a retrieved context, with an answer, and with an answer that holds one of the golds, over (context, answer, golds)."""
+    there = lambda c: F.coalesce(strip(F.col(c)) != "", F.lit(False))
+    met = there("answer") & F.coalesce(contains_any(F.col("answer"), F.col("golds")), F.lit(False))
+    rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    return results.agg(F.count("*").alias("n"), rate(there("context")).alias("retrieved"), rate(there("answer")).alias("answered"), rate(met).alias("matched"))
+
+
 def training_rows(questions: DataFrame, source: str, split: str, instruction: str) -> DataFrame:
     """Nested rows for training from (index, question, golden_answers)."""
     asked = F.concat(F.lit(instruction + "Question: "), "question")

@@ -13,7 +13,7 @@ from weftline.functions import chunks as ch
 from weftline.functions import subwords
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.operators import access, cache, cells, context, evaluation, extraction, impact, merge, resolution, search
+from weftline.operators import access, cache, cells, context, evaluation, extraction, impact, merge, resolution, search, walks
 from weftline.plans import prompts, retrieval
 from weftline.plans.engine import Engine
 
@@ -142,6 +142,12 @@ for _name, _mode, _sql in (
     QUERIES[_name], ORACLE_SQL[_name] = answers(_mode), _sql
 
 
+@query(f"WITH {MENTIONS}, {PATHS}, nearest AS (SELECT query_id, fact, max(score) AS score FROM eh JOIN edges USING (entity) GROUP BY ALL), path AS (SELECT query_id, replace(fact, '<bipartite_edge>', '') AS knowledge, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact) AS position FROM nearest) " + fused_sql("path"))
+def mode_local_max_score(spark, sf_dir):
+    """Q1 where a fact has the score of its nearest entity."""
+    return retrieval.answer(graph_of(spark, sf_dir), asked(spark, sf_dir), retrieval.QueryParams(mode="local", entity_path="max_score"))
+
+
 @query("SELECT doc_id, 'doc-' || md5(trim(text, chr(32) || chr(10) || chr(9) || chr(13))) AS doc_key, 'doc-' || left(md5(text), 16) AS short_id FROM documents")
 def doc_ids(spark, sf_dir):
     text = F.col("text")
@@ -343,23 +349,50 @@ def entities_from_facts(spark, sf_dir):
     return access.entities_from_facts(_seeds(spark, sf_dir, graph, "fact"), graph.edges)
 
 
-@query()
+_LARGEST = f"""WITH RECURSIVE {MENTIONS},
+labels(node, label) USING KEY (node) AS (SELECT DISTINCT node, node AS label FROM ends
+  UNION SELECT e.other, min(l.label) FROM labels l JOIN ends e ON e.node = l.node JOIN recurring.labels r ON r.node = e.other WHERE l.label < r.label GROUP BY e.other),
+top AS (SELECT label FROM labels GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+kept AS (SELECT DISTINCT least(fact, entity) AS a, greatest(fact, entity) AS b FROM edges JOIN labels ON node = fact WHERE label IN (SELECT label FROM top))"""
+
+
+@query(_LARGEST + " SELECT a, b FROM kept")
 def largest_component(spark, sf_dir):
     edges = graph_of(spark, sf_dir).edges
     return access.largest_component(edges.select(F.col("fact").alias("a"), F.col("entity").alias("b")))
 
 
+@query(_LARGEST + " SELECT DISTINCT least(upper(trim(a)), upper(trim(b))) AS a, greatest(upper(trim(a)), upper(trim(b))) AS b FROM kept")
+def stable_component(spark, sf_dir):
+    edges = graph_of(spark, sf_dir).edges
+    return access.stable_component(edges.select(F.col("fact").alias("a"), F.col("entity").alias("b")))
+
+
+@query()
+def walk_embeddings(spark, sf_dir):
+    """Two walks of six nodes from every node of the graph."""
+    edges = graph_of(spark, sf_dir).edges.select(F.col("fact").alias("a"), F.col("entity").alias("b"), "weight")
+    return walks.embeddings(edges, 32, 2, 6)
+
+
 @query(f"WITH {MENTIONS} SELECT entity, string_agg(content, chr(10) ORDER BY chunk_id) AS content FROM (SELECT entity, unnest(source_ids) AS chunk_id FROM entities) LEFT JOIN chunks USING (chunk_id) GROUP BY entity")
 def nodes_with_content(spark, sf_dir):
     graph = graph_of(spark, sf_dir)
     return access.with_content(graph.entities, graph.chunks, "entity")
 
 
-@query(f"WITH {MENTIONS} SELECT fact, entity, chunk_id, length(content)::INT AS n_chars FROM (SELECT fact, entity, unnest(source_ids) AS chunk_id FROM edges) LEFT JOIN chunks USING (chunk_id)")
+@query(f"WITH {MENTIONS} SELECT fact, entity, string_agg(content, chr(10) ORDER BY chunk_id) AS content FROM (SELECT fact, entity, unnest(source_ids) AS chunk_id FROM edges) LEFT JOIN chunks USING (chunk_id) GROUP BY ALL")
 def edges_with_content(spark, sf_dir):
+    """D10."""
     graph = graph_of(spark, sf_dir)
-    held = graph.edges.select("fact", "entity", F.explode("source_ids").alias("chunk_id"))
-    return held.join(graph.chunks.select("chunk_id", F.length("content").alias("n_chars")), "chunk_id", "left").select("fact", "entity", "chunk_id", "n_chars")
+    return access.with_content(graph.edges, graph.chunks, "fact", "entity")
+
+
+@query(f"WITH {MENTIONS}, latest AS (SELECT * FROM facts ORDER BY weight DESC, fact LIMIT 40) SELECT fact, string_agg(content, chr(10) ORDER BY chunk_id) AS content FROM (SELECT fact, unnest(source_ids) AS chunk_id FROM latest) LEFT JOIN chunks USING (chunk_id) GROUP BY ALL")
+def latest_with_content(spark, sf_dir):
+    """D9 with its limit: the 40 facts that come first by a column."""
+    graph = graph_of(spark, sf_dir)
+    return access.with_content(graph.facts, graph.chunks, "fact", latest=40, by="weight")
 
 
 @query(f"WITH {MENTIONS} SELECT (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM facts) AS n_facts, (SELECT count(*) FROM edges) AS n_edges")
@@ -406,17 +439,55 @@ def delete_entity(spark, sf_dir):
     return merge.delete_entity(graph.entities, graph.edges, names)[1].select("fact", "entity", "weight")
 
 
+@query(f"WITH {MENTIONS}, left_over AS (SELECT * FROM edges WHERE left(entity, 2) <> '\"A') SELECT node, count(*) AS degree FROM (SELECT fact AS node FROM left_over UNION ALL SELECT entity FROM left_over) GROUP BY node UNION ALL SELECT entity, -1 FROM entities WHERE left(entity, 2) <> '\"A'")
+def delete_entity_nodes(spark, sf_dir):
+    """Degrees of what is left, and the entities that are left (-1)."""
+    graph = graph_of(spark, sf_dir)
+    names = graph.entities.select(F.regexp_replace("entity", '"', "").alias("name")).where("name LIKE 'A%'")
+    entities, edges = merge.delete_entity(graph.entities, graph.edges, names)
+    return access.node_degree(edges).union(entities.select("entity", F.lit(-1).cast("long")))
+
+
+@query("""
+WITH mentions AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk, lang AS entity, source AS type, left(text, 12) AS description, doc_id % 2 AS half FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
+first_votes AS (SELECT entity, type, count(*) AS n, min(chunk) AS seen FROM mentions WHERE half = 0 GROUP BY ALL),
+stored AS (SELECT entity, arg_min(type, (-n, seen)) AS type FROM first_votes GROUP BY entity),
+votes AS (SELECT entity, type, sum(n) AS n, min(seen) AS seen FROM (SELECT entity, type, count(*) AS n, min((0, chunk)) AS seen FROM mentions WHERE half = 1 GROUP BY ALL UNION ALL SELECT entity, type, 1, (1, '') FROM stored) GROUP BY ALL)
+SELECT entity, entity_type, n_descriptions, n_sources FROM (SELECT entity, arg_min(type, (-n, seen)) AS entity_type FROM votes GROUP BY entity)
+JOIN (SELECT entity, count(DISTINCT '"' || description) AS n_descriptions, count(DISTINCT chunk) AS n_sources FROM mentions GROUP BY entity) USING (entity)""")
+def entity_vote(spark, sf_dir):
+    """Types by votes over two merges, where the stored type has one; languages stand for entities, sources for types."""
+    docs = read(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL")
+    mentions = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), F.lit(0).alias("pos"), F.col("lang").alias("entity"), F.col("source").alias("entity_type"), F.left("text", F.lit(12)).alias("description"), (F.col("doc_id") % 2).alias("half"))
+    state = merge.merged_entities(mentions.where("half = 0"))
+    merged = merge.merged_entities(mentions.where("half = 1"), state)
+    return merged.select("entity", "entity_type", F.size("descriptions").cast("long").alias("n_descriptions"), F.size("source_ids").cast("long").alias("n_sources"))
+
+
+@query("""
+WITH places AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT '"' || upper(n_name) || '"' AS entity, 'NATION' AS entity_type, n_name AS description, 'chunk-' || md5(r_name) AS source_id FROM places
+UNION ALL SELECT '"' || upper(c_name) || '"', 'UNKNOWN', 'UNKNOWN', min('chunk-' || md5(r_name)) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY c_name""")
+def custom_kg_nodes(spark, sf_dir):
+    """Named nodes, and both ends of relations that no one has named."""
+    return _custom_graph(spark, sf_dir)[1]
+
+
 @query("""
 SELECT '"' || upper(c_name) || '"' AS src, '"' || upper(n_name) || '"' AS tgt, c_acctbal AS weight, 'chunk-' || md5(r_name) AS source_id
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def custom_kg(spark, sf_dir):
+    return _custom_graph(spark, sf_dir)[2].select("src", "tgt", "weight", "source_id")
+
+
+def _custom_graph(spark, sf_dir):
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
     chunks = region.select(F.col("r_name").alias("source_id"), F.col("r_name").alias("content"))
     entities = places.select(F.col("n_name").alias("entity_name"), F.lit("NATION").alias("entity_type"), F.col("n_name").alias("description"), F.col("r_name").alias("source_id"))
     relations = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_name").alias("src_id"), F.col("n_name").alias("tgt_id"), F.lit("lives in").alias("description"), F.lit("home").alias("keywords"), F.col("c_acctbal").alias("weight"), F.col("r_name").alias("source_id"))
-    return merge.custom_graph(chunks, entities, relations)[2].select("src", "tgt", "weight", "source_id")
+    return merge.custom_graph(chunks, entities, relations)
 
 
 def _pairs(spark, sf_dir):
@@ -459,6 +530,13 @@ def qa_contains(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", tx.contains_any(F.col("prediction"), F.col("golds")).alias("met"))
 
 
+@query(f"WITH {_PAIRS}, met AS (SELECT prediction, len(list_filter(golds, lambda g: contains({_bare('prediction')}, {_bare('g')}))) > 0 AS met, golds FROM pairs) SELECT count(*) AS n, avg(CASE WHEN trim(golds[1]) <> '' THEN 1.0::DOUBLE ELSE 0 END) AS retrieved, avg(CASE WHEN trim(prediction) <> '' THEN 1.0::DOUBLE ELSE 0 END) AS answered, avg(CASE WHEN trim(prediction) <> '' AND met THEN 1.0::DOUBLE ELSE 0 END) AS matched FROM met")
+def rag_summary(spark, sf_dir):
+    """E4 over conversations: the user's first text stands for the context, the assistant's for the answer."""
+    rows = _pairs(spark, sf_dir).select(F.col("golds")[0].alias("context"), F.col("prediction").alias("answer"), "golds")
+    return evaluation.rag_summary(rows)
+
+
 @query("SELECT conv_id, turn, 'Answer from the knowledge base. Question: ' || text AS content, turn::VARCHAR AS index FROM conversations WHERE role = 'user'")
 def qa_training_rows(spark, sf_dir):
     asks = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("turn").alias("index"), F.col("text").alias("question"), F.array("text").alias("golden_answers"))
@@ -648,3 +726,38 @@ def mode_local_approximate(spark, sf_dir):
 def subword_windows(spark, sf_dir):
     """K1 in byte-pair tokens of a public vocabulary."""
     return subwords.windows(read(spark, sf_dir, "documents"), "doc_id", "text", SIZE, OVERLAP)
+
+
+def _hops_sql() -> str:
+    """Three hops; the paths of each by degree, weight, rank of the seed and place."""
+    count = lambda words: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words) + ")))"
+    case = lambda k: "CASE complexity " + " ".join(f"WHEN '{name}' THEN {b[k]}" for name, b in retrieval.BREADTH.items()) + " END"
+    out = f"""
+worded AS (SELECT query_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM questions),
+leveled AS (SELECT query_id, CASE WHEN {count(retrieval.ASKING)} = 1 AND len(list_filter(list_distinct(w), lambda x: length(x) >= 9)) <= 2 THEN 'simple' WHEN {count(retrieval.ASKING)} <= 2 AND {count(retrieval.JOINING)} <= 1 THEN 'moderate' ELSE 'complex' END AS complexity FROM worded),
+plan AS (SELECT query_id, complexity, {case(0)} AS n_entities, {case(1)} AS n_facts, {case(2)} AS hops FROM leveled),
+seeds1 AS (SELECT query_id, entity, rank AS seed_rank FROM eh JOIN plan USING (query_id) WHERE rank <= n_entities),
+near1 AS (SELECT query_id, fact, rank FROM fh JOIN plan USING (query_id) WHERE rank <= n_facts),
+path1 AS (SELECT query_id, fact AS knowledge, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, rank) AS position, 1 AS path FROM near1 JOIN facts USING (fact)
+  UNION ALL SELECT query_id, fact, row_number() OVER (PARTITION BY query_id ORDER BY a.degree + b.degree DESC, weight DESC, seed_rank, seq, fact), 0
+  FROM seeds1 s JOIN edges e USING (entity) JOIN degrees a ON a.node = e.entity JOIN degrees b ON b.node = e.fact)"""
+    for hop in (1, 2, 3):
+        if hop > 1:
+            started = " UNION ALL ".join(f"SELECT query_id, entity FROM seeds{k}" for k in range(1, hop))
+            known = " UNION ALL ".join(f"SELECT query_id, knowledge, {k} AS hop, rank FROM hop{k}" for k in range(1, hop))
+            out += f""",
+known{hop} AS ({known}),
+ends{hop} AS (SELECT query_id, entity, min((k.hop, k.rank)) AS place FROM known{hop} k JOIN edges e ON e.fact = k.knowledge JOIN plan USING (query_id) WHERE hops >= {hop} GROUP BY ALL),
+seeds{hop} AS (SELECT query_id, entity, seed_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, entity) AS seed_rank FROM ends{hop} WHERE (query_id, entity) NOT IN ({started})) JOIN plan USING (query_id) WHERE seed_rank <= n_entities),
+path{hop} AS (SELECT query_id, fact AS knowledge, row_number() OVER (PARTITION BY query_id ORDER BY a.degree + b.degree DESC, weight DESC, seed_rank, seq, fact) AS position, 0 AS path
+  FROM seeds{hop} s JOIN edges e USING (entity) JOIN degrees a ON a.node = e.entity JOIN degrees b ON b.node = e.fact WHERE (query_id, fact) NOT IN (SELECT query_id, knowledge FROM known{hop}))"""
+        out += f""",
+hop{hop} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM (SELECT query_id, knowledge, round(sum(1.0::DOUBLE / position), 9) AS score, min((path, position)) AS seen FROM path{hop} GROUP BY query_id, knowledge)) WHERE rank <= {retrieval.PER_HOP})"""
+    every = " UNION ALL ".join(f"SELECT query_id, {k}::INT AS hop, rank::INT AS rank, knowledge, round(score, 3) AS coherence FROM hop{k}" for k in (1, 2, 3))
+    return out + f" SELECT query_id, complexity, hop, rank, replace(knowledge, '<bipartite_edge>', '') AS knowledge, coherence FROM ({every}) JOIN plan USING (query_id)"
+
+
+@query(f"WITH {MENTIONS}, {PATHS}, {_hops_sql()}")
+def adaptive_retrieval(spark, sf_dir):
+    """Breadth and hops by each question's complexity, all questions in one plan."""
+    return retrieval.adaptive(graph_of(spark, sf_dir), asked(spark, sf_dir))

@@ -14,7 +14,7 @@ from weftline.functions import subwords
 from weftline.functions.chunks import distinct_chunks, windows
 from weftline.functions.text import hash_id, strip
 from weftline.functions.vectors import embedded, gathered
-from weftline.operators import cells, extraction, impact, merge, resolution
+from weftline.operators import cells, extraction, impact, merge, resolution, summaries
 from weftline.operators.access import node_degree
 from weftline.plans.retrieval import Graph, QueryParams, answer, entity_texts, fact_texts
 from weftline.sources.workspace import Workspace
@@ -32,13 +32,15 @@ SCHEMAS = {
     "chunk_vectors": VECTOR,
     **{f"{kind}_lists": "level int, bucket int, name string" for kind in ("entity", "fact", "chunk")},
     **{f"{kind}_sizes": "bucket int, level int, n long" for kind in ("entity", "fact", "chunk")},
+    "summaries": "entity string, covers string, summary string",
+    "summary_parts": "hash string, summary string",
     "aliases": "entity string, canonical string",
     "cells": "of string, cell int, n long, centre array<double>, recall double",
     "kg_edges": "src string, tgt string, weight double, description string, keywords string, source_id string",
 }
 KEYS = {
     "docs": ("doc_key",), "chunks": ("chunk_id",), "facts": ("fact",), "entities": ("entity",), "edges": ("fact", "entity"),
-    "degrees": ("node",), "entity_vectors": ("name",), "fact_vectors": ("name",), "chunk_vectors": ("name",), "cells": ("of", "cell"), "aliases": ("entity",), "kg_edges": ("src", "tgt"),
+    "degrees": ("node",), "entity_vectors": ("name",), "fact_vectors": ("name",), "chunk_vectors": ("name",), "cells": ("of", "cell"), "aliases": ("entity",), "summaries": ("entity",), "summary_parts": ("hash",), "kg_edges": ("src", "tgt"),
 }
 VECTORS = ("entity_vectors", "fact_vectors", "chunk_vectors")
 LISTS = ("entity_lists", "fact_lists", "chunk_lists")
@@ -71,6 +73,8 @@ class Engine:
     cells: int | None = None
     lists: bool = False
     vocabulary: str | None = None
+    summariser: summaries.Model | None = None
+    summary_limit: int = 500
 
     def __post_init__(self):
         self.store = Workspace(self.spark, self.path, KEYS, SCHEMAS, dict.fromkeys(VECTORS, "cell") | dict.fromkeys(LISTS, "level"))
@@ -121,6 +125,19 @@ class Engine:
                 out |= {f"{kind}_lists": rows.repartition("level", F.pmod(F.xxhash64("bucket"), F.lit(4))).sortWithinPartitions("level", "bucket"), f"{kind}_sizes": impact.sizes(rows)}
         return out
 
+    def _summarised(self, entities: DataFrame, table: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+        """Summaries of those entities whose descriptions are others than their summary covers, and the parts made for them."""
+        covered = entities.withColumn("covers", F.md5(F.array_join("descriptions", summaries.SEPARATOR)))
+        changed = covered.join(table("summaries").select("entity", "covers"), ["entity", "covers"], "left_anti")
+        found, parts = summaries.summarised(changed, table("summary_parts"), self.summariser, self.summary_limit)
+        return {"summaries": found.join(changed.select("entity", "covers"), "entity").select("entity", "covers", "summary"), "summary_parts": parts}
+
+    def described(self) -> DataFrame:
+        """entity, description: the summary where there is one that covers all descriptions, else these between separators."""
+        text = F.array_join("descriptions", summaries.SEPARATOR)
+        held = self.table("entities").select("entity", text.alias("text"), F.md5(text).alias("covers"))
+        return held.join(self.table("summaries"), ["entity", "covers"], "left").select("entity", F.coalesce("summary", "text").alias("description"))
+
     def insert(self, docs: DataFrame) -> None:
         """Add documents (content). Known documents and chunks change nothing.
 
@@ -159,6 +176,8 @@ class Engine:
             "entity_vectors": self.vectors(entity_texts(entities)), "fact_vectors": self.vectors(fact_texts(new_facts)),
             "chunk_vectors": self.vectors(chunks.select(F.col("chunk_id").alias("name"), "content")),
         }
+        if self.summariser is not None:
+            changes |= self._summarised(entities, table)
         append, replace = self._indexed(changes, fresh)
         self.store.commit(**({"replace": append | replace} if fresh else {"append": append, "replace": replace}))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.vectors import embedded, gathered
-from weftline.operators.access import related_edges
+from weftline.operators.access import related_edges, staged
 from weftline.operators.cells import Index
 from weftline.operators.extraction import FACT_MARK
 from weftline.operators.impact import Lists
@@ -22,7 +22,9 @@ class QueryParams:
 
     ``recall`` or ``probes`` asks for the approximate search: each query reads as many cells of an
     index as took that recall, or so many. Without them, or where a table has no index, the search is
-    exact: by lists of rows that ``lists`` asks for and an engine keeps, or by a scan.
+    exact: by lists of rows that ``lists`` asks for and an engine keeps, or by a scan. ``entity_path``
+    ranks the facts next to the nearest entities by degree and weight, or ("max_score") by the score of
+    the nearest one.
     """
 
     mode: str = "hybrid"
@@ -32,6 +34,7 @@ class QueryParams:
     recall: float | None = None
     probes: int | None = None
     lists: bool = False
+    entity_path: str = "degree"
 
 
 @dataclass
@@ -81,6 +84,10 @@ def fact_texts(facts: DataFrame) -> DataFrame:
 def entity_path(graph: Graph, queries: DataFrame, params: QueryParams) -> DataFrame:
     """Q1: query_id, knowledge, position: facts next to the nearest entities, with one position for each (entity, fact)."""
     hits = graph.near(queries, "entity", entity_texts(graph.entities), params)
+    if params.entity_path == "max_score":
+        nearest = hits.withColumnRenamed("name", "entity").join(graph.edges.select("entity", "fact"), "entity").groupBy("query_id", "fact").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact")
+        return nearest.select("query_id", _plain("fact").alias("knowledge"), F.row_number().over(order).alias("position"))
     seeds = hits.select("query_id", F.col("name").alias("entity"), F.col("rank").alias("seed_rank"))
     found = related_edges(seeds, graph.edges, graph.degrees)
     return found.select("query_id", _plain("fact").alias("knowledge"), F.col("rank").alias("position"))
@@ -124,3 +131,54 @@ def answer(graph: Graph, queries: DataFrame, params: QueryParams = QueryParams()
         path = fact_path(graph, queries, params)
         return fused(path, none(path), params.top_k, params.rrf_k)
     return fused(entity_path(graph, queries, params), fact_path(graph, queries, params), params.top_k, params.rrf_k)
+
+
+# Words that ask, words that join clauses, and for simple, moderate and complex questions
+# the entities and facts to start from, and the hops.
+ASKING, JOINING = ("what", "which", "who", "where", "when"), ("and", "or", "but")
+BREADTH = {"simple": (3, 5, 1), "moderate": (5, 7, 2), "complex": (7, 10, 3)}
+#: Facts that a hop adds.
+PER_HOP = 5
+
+
+def complexity(text: Column, least: int = 9) -> Column:
+    """simple (one asking word and at most two names), moderate (at most two asking words and one joining word) or complex; names are words of ``least`` letters."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    count = lambda some: F.size(F.filter(words, lambda w: w.isin(*some)))
+    names = F.size(F.filter(F.array_distinct(words), lambda w: F.length(w) >= least))
+    return F.when((count(ASKING) == 1) & (names <= 2), "simple").when((count(ASKING) <= 2) & (count(JOINING) <= 1), "moderate").otherwise("complex")
+
+
+def adaptive(graph: Graph, queries: DataFrame, params: QueryParams = QueryParams()) -> DataFrame:
+    """query_id, complexity, hop, rank, knowledge, coherence: retrieval as broad and as deep as each question asks for, all in one plan.
+
+    The first hop fuses both paths from the question's nearest entities and facts, as many as its
+    complexity says. A further one starts from the entities of the facts found so far that no hop has
+    started from, those of the best facts first, and ranks the facts next to them that are new.
+    """
+    most = [max(b[k] for b in BREADTH.values()) for k in range(3)]
+    level = complexity(F.col("text"))
+    by_level = lambda k: F.element_at(F.create_map(*[F.lit(x) for name, b in BREADTH.items() for x in (name, b[k])]), level)
+    asks = staged(queries.select("query_id", level.alias("complexity"), *[by_level(k).alias(c) for k, c in enumerate(("n_entities", "n_facts", "hops"))]), "asks")
+    few = F.broadcast(asks) if asks.count() <= 100_000 else asks
+    near = graph.near(queries, "entity", entity_texts(graph.entities), replace(params, top_k=most[0]))
+    seeds = near.join(few, "query_id").where(F.col("rank") <= F.col("n_entities")).select("query_id", F.col("name").alias("entity"), F.col("rank").alias("seed_rank"))
+    hits = graph.near(queries, "fact", fact_texts(graph.facts), replace(params, top_k=most[1])).join(few, "query_id").where(F.col("rank") <= F.col("n_facts"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "rank")
+    by_fact = hits.join(graph.facts.select(F.col("fact").alias("name"), "weight"), "name").select("query_id", F.col("name").alias("knowledge"), F.row_number().over(order).alias("position"))
+    seeds = staged(seeds, "seeds")
+    by_entity = related_edges(seeds, graph.edges, graph.degrees).select("query_id", F.col("fact").alias("knowledge"), F.col("rank").alias("position"))
+    found = staged(fused(by_entity, by_fact, PER_HOP, params.rrf_k).withColumn("hop", F.lit(1)), "hop")
+    started = seeds.select("query_id", "entity")
+    for hop in range(2, most[2] + 1):
+        facts = found.join(few, "query_id").where(F.col("hops") >= hop).select("query_id", F.col("knowledge").alias("fact"), F.struct("hop", "rank").alias("place"), "n_entities")
+        ends = facts.join(graph.edges.select("fact", "entity"), "fact").groupBy("query_id", "entity", "n_entities").agg(F.min("place").alias("place")).join(started, ["query_id", "entity"], "left_anti")
+        first = Window.partitionBy("query_id").orderBy("place", "entity")
+        seeds = staged(ends.withColumn("seed_rank", F.row_number().over(first)).where(F.col("seed_rank") <= F.col("n_entities")).select("query_id", "entity", "seed_rank"), "seeds")
+        known = found.select("query_id", F.col("knowledge").alias("fact"))
+        path = related_edges(seeds, graph.edges, graph.degrees).join(known, ["query_id", "fact"], "left_anti")
+        again = Window.partitionBy("query_id").orderBy("rank")
+        path = path.select("query_id", F.col("fact").alias("knowledge"), F.row_number().over(again).alias("position"))
+        more = fused(path, path.limit(0), PER_HOP, params.rrf_k).withColumn("hop", F.lit(hop))
+        found, started = staged(found.unionByName(more), "hop"), started.union(seeds.select("query_id", "entity"))
+    return found.join(few, "query_id").select("query_id", "complexity", "hop", "rank", _plain("knowledge").alias("knowledge"), "coherence")

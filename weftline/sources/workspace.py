@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of one table beyond which a commit writes it anew as one.
-MOST_FOLDERS = 8
+#: Folders of one table beyond which a commit merges the newest, and how many times the newer ones' bytes a folder must have to be left out.
+MOST_FOLDERS, TIER = 8, 4
 
 
 class Workspace:
     """Named tables under one folder, in versions.
 
     A version's manifest lists each table's folders, oldest first: a commit appends small folders of
-    changed rows, of which the newest row of a key counts, or replaces a table. Readers take the
+    changed rows, of which the newest row of a key counts, or replaces a table. Where folders are too
+    many, the newest of like size are merged to one: a folder is rewritten only when newer rows have
+    grown to a part of it, so a small batch leaves large folders alone. Readers take the
     highest manifest that Spark has committed, so a commit that fails anywhere changes nothing, and
     all tables of a commit appear at once. One writer at a time.
     """
@@ -92,12 +94,24 @@ class Workspace:
         version, folders = self._version(), self.folders()
         for name, rows, fresh in [*((n, r, False) for n, r in (append or {}).items()), *((n, r, True) for n, r in (replace or {}).items())]:
             held = [] if fresh else folders.get(name, [])
-            folders[name] = [*held, self._write(name, rows)]
-            if len(folders[name]) > MOST_FOLDERS:
-                folders[name] = [self._write(name, self._rows(name, folders[name]))]
+            folders[name] = self._merged(name, [*held, self._write(name, rows)])
         listed = [(name, k, f) for name, parts in folders.items() for k, f in enumerate(parts)]
         self.spark.createDataFrame(listed, "name string, place int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version + 1}")
 
+    def _bytes(self, folder: str) -> int:
+        place, fs = self._folder(f"{self.path}/tables/{folder}")
+        return fs.getContentSummary(place).getLength()
+
+    def _merged(self, name: str, folders: list[str]) -> list[str]:
+        """The folders, oldest first; beyond ``MOST_FOLDERS`` the newest ones as one, from the first that is not much larger than all after it."""
+        if len(folders) <= MOST_FOLDERS:
+            return folders
+        size = [self._bytes(f) for f in folders]
+        first = len(folders) - 2
+        while first and size[first - 1] <= TIER * sum(size[first:]):
+            first -= 1
+        return [*folders[:first], self._write(name, self._rows(name, folders[first:]))]
+
     def _write(self, name: str, rows: DataFrame) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy(self.partitions[name]) if name in self.partitions else rows.write
