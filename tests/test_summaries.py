@@ -41,10 +41,8 @@ def test_engine_summarises_what_changed(spark, tmp_path):
     calls = sum(map(len, seen))
     assert calls
     seen.clear()
-    engine.insert(spark.createDataFrame([("Strawberries ripen.",)], "content string"))
-    assert not any(seen)
+    engine.insert(spark.createDataFrame([("Strawberries ripen. That lighthouse was painted white.",)], "content string"))
+    assert 0 < sum(map(len, seen)) and engine.table("summaries").where(F.col("entity") == '"LIGHTHOUSE"').count() == 1
     held = {r.entity: r.description for r in engine.described().collect()}
     summary = engine.table("summaries").where(F.col("entity") == '"LIGHTHOUSE"').first().summary
     assert held['"LIGHTHOUSE"'] == summary and held['"STRAWBERRIES"'] == '"Strawberries ripen."'
-    engine.insert(spark.createDataFrame([("That lighthouse was painted white.",)], "content string"))
-    assert 0 < sum(map(len, seen)) and engine.table("summaries").where(F.col("entity") == '"LIGHTHOUSE"').count() == 1
