@@ -182,7 +182,12 @@ def sentence_groups(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(ch.sentences(F.col("text"), 10)).alias("part", "content"))
 
 
-@query()
+@query("""
+WITH marks AS (SELECT chr(32) || chr(9) || chr(10) || chr(13) AS w),
+parts AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, w)), lambda x: x <> '') AS p FROM documents, marks),
+packed AS (SELECT doc_id, list_reduce(p, lambda acc, x: acc[1:len(acc) - 1] || CASE WHEN length(acc[len(acc)] || x) + 2 >= 100 THEN [trim(acc[len(acc)] || x), ''] ELSE [acc[len(acc)] || x || chr(10) || chr(10)] END, ['']) AS out FROM parts),
+done AS (SELECT doc_id, list_filter(list_transform(out, lambda x: trim(x, w)), lambda x: x <> '') AS out FROM packed, marks)
+SELECT doc_id, unnest(range(len(out)))::INT AS part, unnest(out) AS content FROM done""")
 def paragraph_pack(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(ch.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 100)).alias("part", "content"))
 
