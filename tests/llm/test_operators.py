@@ -633,6 +633,67 @@ def test_pipeline_brute_force(spark):
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 1024
 
 
+def paragraphs_of(n, pool, own, seed):
+    """Texts of six of a pool of paragraphs of 12 to 60 words; each third one is an earlier one with one paragraph or a few words changed."""
+    r = random.Random(seed)
+    shared = [words(r.randrange(12, 60), 900 + k) for k in range(pool)]
+    texts = []
+    for k in range(n):
+        if k % 3 == 2:
+            parts = [[*p] for p in r.choice(texts)]
+            if own and k % 2:
+                p = r.choice(parts)
+                p[r.randrange(len(p))] = f"x{k}"
+            else:
+                parts[r.randrange(6)] = r.choice(shared)
+        else:
+            parts = r.sample(shared, 6)
+        texts.append(parts)
+    return [sum(t, []) for t in texts]
+
+
+def linked(texts):
+    """The least place that each text reaches by links, by all pairs."""
+    sets = [{tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 0))} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("most", [256, 0])
+def test_jaccard_of_shared_paragraphs(docs, monkeypatch, most):
+    """Texts put together from few paragraphs, against all pairs; by passages, and by rare features alone."""
+    monkeypatch.setattr(partenum, "MOST_SUBSETS", most)
+    texts = paragraphs_of(300, 14, True, 21)
+    want = linked(texts)
+    assert 20 < len(set(want)) < 280
+    table = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert dict(enumerate(want)) == {x.doc_id: x.component_id for x in partenum.groups_of(docs(*table, *table[:40:7])).collect()}
+
+
+def test_jaccard_pairs_of_shared_paragraphs(docs, monkeypatch):
+    """Of 1,200 texts of shared paragraphs a signature makes a pair with one leader, and what is compared after that is less than a pair a text."""
+    seen = []
+    verify = partenum.verified
+    monkeypatch.setattr(partenum, "verified", lambda docs, sizes, pairs, *rest: seen.append(pairs.count()) or verify(docs, sizes, pairs, *rest))
+    texts = paragraphs_of(1200, 30, False, 22)
+    partenum.groups_of(docs(*map(" ".join, texts))).count()
+    assert seen[0] <= sum(map(len, texts)) // 2 and seen[2] <= 1200, seen
+
+
+def test_droppable():
+    from itertools import combinations
+
+    weights = [5, 1, 4, 9]
+    every = {tuple(sorted(c)): sum(weights[k] for k in c) for r in range(5) for c in combinations(range(4), r)}
+    assert {tuple(sorted(c)): t for c, t in partenum.droppable(weights, 9)} == {c: t for c, t in every.items() if t <= 9}
+    assert partenum.droppable(weights, -1) == [] and partenum.droppable([1] * 40, 40) is None
+
+
 ENDS = [-(1 << 63), -(1 << 63) + 1, -(1 << 62) - 1, -5, 0, (1 << 62) - 1, 1 << 62, (1 << 63) - 2, (1 << 63) - 1]
 
 

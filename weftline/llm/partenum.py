@@ -13,10 +13,14 @@ three cells for small sets, and for large ones, whose signatures are what costs,
 
 Sets that share signatures enough are candidates. Small groups are compared in full. In a large one every
 member is compared with one leader, so a group of near copies makes as many pairs as it has
-members. Where that leaves a large group in several parts (texts that share a common passage), its
-members are compared by their rarest features, of which the first quarter and one must meet. So no
-link is lost, and what very many texts share makes no pairs. Candidates are verified by histograms,
-which never hide a likeness, and then by their whole sets.
+members. Where that leaves a large group in several parts (texts that share common passages), the
+features that the same members have are one passage, and each member enumerates the subsets of its
+passages that hold enough of it for a link: two similar ones have the subset of all that both hold. Within
+one subset's group all links follow from those to its member of fewest other features, so that texts put
+together from common paragraphs make no pairs of their number squared. Members with too many subsets, or
+of too many short passages, are compared by their rarest features, of which the first quarter and one must
+meet. So no link is lost. Candidates are verified by histograms, which never hide a likeness, and then by
+their whole sets.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ BAND_BITS = np.uint64(31)
 BROADCAST_IDS = 2_000_000
 #: Members up to which a group is compared in full.
 SMALL_GROUP = 12
+#: Subsets of passages that a text enumerates at most; texts of more are compared by rare features.
+MOST_SUBSETS = 256
 
 
 def histogram(features: np.ndarray) -> bytes:
@@ -185,20 +191,14 @@ def signed(docs: DataFrame, similarity: tuple[int, int], words: int) -> DataFram
     return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
 
 
-def shared(rows: DataFrame, keep: str = "c > 1") -> DataFrame:
+def shared(rows: DataFrame) -> DataFrame:
     """Rows of signatures that more than one node has, with their number ``c`` and a ``leader``.
 
     Leaders are drawn by hash, in four ways, so that one odd text does not lead all groups of its kind.
     """
-    own = Window.partitionBy("sig")
-    drawn = F.min(F.struct(F.xxhash64("node", F.pmod("sig", F.lit(4))).alias("draw"), "node")).over(own)
-    return rows.withColumn("c", F.count("*").over(own)).withColumn("leader", drawn["node"]).where(keep)
-
-
-def fitting(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs whose sizes (na, nb) allow the similarity, each once, without their sizes."""
-    num, den = similarity
-    return pairs.where(f"a < b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b").distinct()
+    drawn = F.min(F.struct(F.xxhash64("node", F.pmod("sig", F.lit(4))).alias("draw"), "node"))
+    found = rows.groupBy("sig").agg(F.count("*").alias("c"), drawn["node"].alias("leader")).where("c > 1")
+    return rows.join(found, "sig")
 
 
 def promising(groups: DataFrame) -> DataFrame:
@@ -275,22 +275,26 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     out. Rows of one doc_id are one document, as if linked; n_shingles is then its largest. An empty
     table gives no row. Only doc_id and text are read.
     """
-    known = stash(shared(signed(docs, similarity, words), "c > 1 OR x <> 0"), "signatures")
+    times = F.count("*").over(Window.partitionBy("sig"))
+    known = stash(signed(docs, similarity, words).withColumn("c", times).where("c > 1 OR x <> 0").drop("c"), "signatures")
     sizes = stash(known.where("x < 0").select("node", (-1 - F.col("x")).alias("n"), "bins"), "sizes")
     hashes = known.where("x > 0").select("node", F.col("x").alias("h")).distinct().join(sizes.select("node", "n"), "node")
     # Equal sets, by size and hash: one of them stands for all.
     reps = hashes.where("n > 0").groupBy("n", "h").agg(F.min("node").alias("rep"))
     alike = stash(hashes.join(reps, ["n", "h"]).select("node", "rep", "n"), "alike")
     own = alike.where("node = rep").select("node", "n").distinct()
-    groups = stash(promising(shared(known.where("x = 0").select("node", "sig").distinct().join(own, "node"))), "groups")
+    groups = stash(promising(shared(stash(known.where("x = 0").select("node", "sig").distinct().join(own, "node"), "own"))), "groups")
     pairs = stash(candidates(groups, similarity), "pairs")
     links = verified(docs, sizes, pairs, similarity, words)
 
     found = components(links)
-    held = stash(crowded(docs, groups, found, similarity, words), "rare")
-    star = stash(led(held).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = grown(found, verified(docs, sizes, star, similarity, words))
-    rest = stash(apart_pairs(held, found, similarity).join(pairs.union(star), ["a", "b"], "left_anti"), "pairs")
+    held = stash(crowded(docs, groups, found, similarity, words), "passages")
+    links = stash(passage_links(held, similarity), "links")
+    few = few_features(held)
+    star = stash(led(few).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = grown(found, links.union(verified(docs, sizes, star, similarity, words)))
+    rest = passage_pairs(held, found, similarity).union(apart_pairs(few, found, similarity)).distinct()
+    rest = stash(rest.join(pairs.union(star), ["a", "b"], "left_anti"), "pairs")
     same = alike.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     part = grown(found, same.union(verified(docs, sizes, rest, similarity, words)))
     whole = sizes.groupBy("node").agg(F.max("n").alias("n"))
@@ -299,10 +303,28 @@ def groups_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words:
     )
 
 
+def droppable(weights: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]] | None:
+    """Subsets of places whose weights are ``most`` at most in sum, with the sum; None if they are too many."""
+    found = [((), 0)] if most >= 0 else []
+    for k in np.argsort(weights, kind="stable").tolist():
+        w = int(weights[k])
+        found += [((*dropped, k), t + w) for dropped, t in found if t + w <= most]
+        if len(found) > MOST_SUBSETS:
+            return None
+    return found
+
+
+HELD = "node long, n long, most long, closed boolean, feature long, after long, sig long, w long, light long"
+
+
 def crowded(docs: DataFrame, groups: DataFrame, found: DataFrame, similarity: tuple[int, int], words: int) -> DataFrame:
-    """feature, node, n, most, after: the rarest features of all members of large groups that are in several parts.
+    """Rare features and subsets of passages of all members of large groups that are in several parts, as ``HELD``.
 
-    ``most`` counts the features that a member has in common with any other, ``after`` those of them from this one on.
+    ``most`` counts the features that a member of ``n`` has in common with any other. A row has either one
+    of the member's rarest such features, with the number from this one on (``after``), or the hash of a
+    subset of its passages (``sig``) of ``w`` features. A passage is what the same members have in common, of
+    twice ``words`` features or more; ``light`` counts the features of shorter ones. Members that are not
+    ``closed`` have no rows of subsets.
     """
     num, den = similarity
     large = groups.where(f"c > {SMALL_GROUP}").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
@@ -313,32 +335,104 @@ def crowded(docs: DataFrame, groups: DataFrame, found: DataFrame, similarity: tu
         for batch in batches:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_buffer().to_pybytes(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["node", "n", "feature"])
+                own = int(mix(s.view(np.uint64)).sum() >> np.uint64(1))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(s), x)) for x in (node, len(s), own)), pa.array(s)], names=["node", "n", "h", "feature"])
+
+    def passages(batches):
+        for batch in batches:
+            for node, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                c, feature, kind = (np.asarray(x) for x in own.values.flatten())
+                feature, at = np.unique(feature, return_index=True)  # a row may be there twice
+                c, kind = c[at], kind[at]
+                most = len(feature)
+                # Features of one text alone are its rarest: they take the first places, though they have no rows.
+                spare = n - (n * num + den - 1) // den - (n - most)
+                first = np.lexsort((feature, c))[: max(spare + 1, 0)]
+                kinds, weights = np.unique(kind, return_counts=True)
+                heavy = weights >= 2 * words
+                kinds, weights = mix(kinds[heavy].view(np.uint64)), weights[heavy]
+                light = most - int(weights.sum())
+                subsets = droppable(weights, spare) if 4 * light <= n else None
+                sums = np.array([kinds[list(dropped)].sum(dtype=np.uint64) for dropped, _ in subsets or ()], dtype=np.uint64)
+                sigs = mix(kinds.sum(dtype=np.uint64) - sums).view(np.int64)
+                a, b = len(first), len(sigs)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([x] * (a + b)) for x in (node, n, most, subsets is not None)),
+                        pa.array([*feature[first].tolist(), *[None] * b], pa.int64()),
+                        pa.array([*range(most, most - a, -1), *[None] * b], pa.int64()),
+                        pa.array([*[None] * a, *sigs.tolist()], pa.int64()),
+                        pa.array([*[None] * a, *(most - light - t for _, t in subsets or ())], pa.int64()),
+                        pa.array([*[None] * a, *[light] * b], pa.int64()),
+                    ],
+                    names=[f.split()[0] for f in HELD.split(", ")],
+                ).cast(held_schema)
+
+    held_schema = pa.schema([(f.split()[0], pa.bool_() if f.endswith("boolean") else pa.int64()) for f in HELD.split(", ")])
+    rows = stash(of_nodes(docs, stash(members, "members")).mapInArrow(features, "node long, n long, h long, feature long"), "features")
+    # Features of the same members are told by the members' number and by sums of both halves of their hashes.
+    who = F.xxhash64("node", "h")
+    counts = rows.groupBy("feature").agg(F.count("*").alias("c"), F.sum(F.shiftrightunsigned(who, 33)).alias("x"), F.sum(who.bitwiseAND((1 << 31) - 1)).alias("y"))
+    counts = counts.where("c > 1").select("feature", "c", F.xxhash64("c", "x", "y").alias("kind"))
+    met = rows.join(counts, "feature").select("node", "n", "h", F.struct("c", "feature", "kind").alias("row"))
+    return met.groupBy("node", "n", "h").agg(F.collect_list("row").alias("rows")).select("node", "n", "rows").mapInArrow(passages, HELD)
+
+
+def passage_groups(held: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """node, n, sig, w, light of subsets that several members enumerate, with ``lead`` (n, node), the member with fewest features, and ``room``.
+
+    ``room`` is how far the row is from being without a link in its group, were its light features all in common.
+    """
+    num, den = similarity
+    rows = held.where("sig IS NOT NULL").select("node", "n", "sig", "w", "light")
+    apart = f"{2 * num} * (n - w) - {num + den} * light"
+    found = rows.groupBy("sig", "w").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("lead"), F.min(F.expr(apart)).alias("least")).where("c > 1").drop("c")
+    return rows.join(found, ["sig", "w"]).withColumn("room", F.expr(f"{2 * (den - num)} * w - least - ({apart})")).drop("least")
+
+
+def passage_links(held: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of a subset's members with its lead that the subset alone is enough for.
+
+    Where it is enough for any two members, it is for each of them and the lead, whose other features are fewest.
+    """
+    num, den = similarity
+    sure = passage_groups(held, similarity).where(f"node <> lead.node AND {den - num} * w >= {num} * (n + lead.n - 2 * w)")
+    return sure.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
+
+
+def passage_pairs(held: DataFrame, found: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of different parts whose common passages are enough for a link only with short ones."""
+    num, den = similarity
+    rows = passage_groups(held, similarity).where("room >= 0").join(found, "node", "left").select("sig", "w", "node", "n", "light", F.coalesce("component", "node").alias("part"))
+    rows = stash(rows, "unsure")
+    split = rows.groupBy("sig", "w").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig", "w")
+    rows = rows.join(split, ["sig", "w"], "left_semi")
+    a, b = rows.toDF("sig", "w", "a", "na", "la", "pa"), rows.toDF("sig", "w", "b", "nb", "lb", "pb")
+    enough = f"a < b AND pa <> pb AND {num + den} * (w + least(la, lb)) >= {num} * (na + nb)"
+    return a.join(b, ["sig", "w"]).where(enough).select("a", "b").distinct()
+
 
-    rows = of_nodes(docs, stash(members, "members")).mapInArrow(features, "node long, n long, feature long")
-    met = rows.withColumn("c", F.count("*").over(Window.partitionBy("feature"))).where("c > 1")
-    # Features of one text alone are its rarest: they take the first places, though their rows are gone.
-    own = Window.partitionBy("node")
-    counted = met.withColumn("most", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "feature")))
-    first = counted.where(f"place + n - most <= n - (n * {num} + {den - 1}) div {den} + 1")
-    return first.select("feature", "node", "n", "most", (F.col("most") - F.col("place") + 1).alias("after"))
+def few_features(held: DataFrame) -> DataFrame:
+    """Rows of rare features that members have who are not closed."""
+    rows = held.where("feature IS NOT NULL").select("feature", "node", "n", "most", "after", "closed")
+    return stash(rows.join(rows.where("NOT closed").select("feature").distinct(), "feature", "left_semi"), "rare")
 
 
 def led(held: DataFrame) -> DataFrame:
-    """Pairs of each member with the one of its group that shares the largest part of its features with others."""
-    lead = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "n")).over(Window.partitionBy("feature"))["node"]
-    pairs = held.withColumn("leader", lead).where("leader <> node")
+    """Pairs of each member with the one of its feature that shares the largest part of its features with others."""
+    lead = held.groupBy("feature").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node")).alias("lead")).select("feature", F.col("lead.node").alias("leader"))
+    pairs = held.join(lead, "feature").where("leader <> node AND NOT closed")
     return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
 def apart_pairs(held: DataFrame, found: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of different parts that share a rare feature and have features enough in common with others."""
+    """Pairs of different parts, one at least not closed, that share a rare feature and have features enough in common with others."""
     num, den = similarity
-    placed = held.join(found, "node", "left").select("feature", "node", "n", "after", F.coalesce("component", "node").alias("part"))
-    a, b = placed.toDF("feature", "a", "na", "after_a", "pa"), placed.toDF("feature", "b", "nb", "after_b", "pb")
+    placed = held.join(found, "node", "left").select("feature", "node", "n", "after", "closed", F.coalesce("component", "node").alias("part"))
+    a, b = placed.where("NOT closed").drop("closed").toDF("feature", "a", "na", "after_a", "pa"), placed.toDF("feature", "b", "nb", "after_b", "closed", "pb")
     # At its first common feature a pair has no more in common than either shares with any text from there on.
-    enough = f"pa <> pb AND {num + den} * least(after_a, after_b) >= {num} * (na + nb)"
-    return fitting(a.join(b, "feature").where(f"a < b AND {enough}"), similarity)
+    enough = f"(closed OR a < b) AND pa <> pb AND {num + den} * least(after_a, after_b) >= {num} * (na + nb) AND {num} * greatest(na, nb) <= {den} * least(na, nb)"
+    return a.join(b, "feature").where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 JOIN_SQL = """
