@@ -311,3 +311,14 @@ def test_files(spark, tmp_path):
     nodes, edges = corpus.read_graphml(spark, str(xml))
     assert [tuple(r) for r in nodes.collect()] == [("A", "T", "", "")]
     assert [(r.source, r.target, r.weight) for r in edges.collect()] == [("A", "B", 2.5)]
+
+
+def test_training_rows_of_like_conversations(spark, tmp_path):
+    """One row for each question, also where two conversations ask the same in the same turn, or nothing."""
+    from weftline.plans import catalog
+
+    turns = [(1, 0, "user", "Where?"), (2, 0, "user", "Where?"), (2, 1, "assistant", "Here."), (3, 0, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = "Answer from the knowledge base. Question: Where?"
+    got = catalog.qa_training_rows(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, text, "0"), (2, 0, text, "0"), (3, 0, None, "0")]

@@ -49,10 +49,11 @@ def rag_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n"), rate(there("context")).alias("retrieved"), rate(there("answer")).alias("answered"), rate(met).alias("matched"))
 
 
-def training_rows(questions: DataFrame, source: str, split: str, instruction: str) -> DataFrame:
-    """Nested rows for training from (index, question, golden_answers)."""
+def training_rows(questions: DataFrame, source: str, split: str, instruction: str, *keep: str) -> DataFrame:
+    """Nested rows for training from (index, question, golden_answers), with the columns ``keep``."""
     asked = F.concat(F.lit(instruction + "Question: "), "question")
     return questions.select(
+        *keep,
         F.lit(source).alias("data_source"),
         F.array(F.struct(F.lit("user").alias("role"), asked.alias("content"))).alias("prompt"),
         F.lit("multihop_qa").alias("ability"),
