@@ -322,3 +322,27 @@ def test_training_rows_of_like_conversations(spark, tmp_path):
     text = "Answer from the knowledge base. Question: Where?"
     got = catalog.qa_training_rows(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 0, text, "0"), (2, 0, text, "0"), (3, 0, None, "0")]
+
+
+def test_stable_names(spark, tmp_path):
+    """Names in the query and in its SQL are Python's: letters whose upper case is two, white space, character references."""
+    import html
+
+    import duckdb
+
+    from oracle import assert_same
+    from weftline.plans import catalog
+
+    texts = ["straße", "\u3000ﬁn\t", "a&lt;b", "&#0065;", "\\&lt;", "&#223;&#x41;&#128;&#xd800;&#9999999999;", "&", "&NOTIT; &copyx &#; &#x &&amp;lt;", "plain"]
+    want = [html.unescape(t.upper().strip()) for t in texts]
+    names = catalog.unescaped_sql("u")
+    held = f"SELECT i, {catalog.upper_sql(f'trim(t, concat({catalog._WHITE}))')} AS u FROM rows"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE rows (i INT, t TEXT)")
+    con.executemany("INSERT INTO rows VALUES (?, ?)", list(enumerate(texts)))
+    assert [r[0] for r in con.execute(f"WITH {catalog.REFERENCES}, held AS ({held}) SELECT {names} FROM held, refs ORDER BY i").fetchall()] == want
+    folder = tmp_path / "t"
+    folder.mkdir()
+    con.execute(f"COPY (SELECT 1::BIGINT AS doc_id, 'Gardeners in der Straße. Die Straße unverändert gardeners großzügig.' AS text) TO '{folder}/documents.parquet'")
+    assert_same(spark, str(folder), catalog.QUERIES["stable_component"], catalog.ORACLE_SQL["stable_component"])
+    assert any("STRASSE" in r.b or "STRASSE" in r.a for r in catalog.stable_component(spark, str(folder)).collect())
