@@ -346,3 +346,37 @@ def test_stable_names(spark, tmp_path):
     con.execute(f"COPY (SELECT 1::BIGINT AS doc_id, 'Gardeners in der Straße. Die Straße unverändert gardeners großzügig.' AS text) TO '{folder}/documents.parquet'")
     assert_same(spark, str(folder), catalog.QUERIES["stable_component"], catalog.ORACLE_SQL["stable_component"])
     assert any("STRASSE" in r.b or "STRASSE" in r.a for r in catalog.stable_component(spark, str(folder)).collect())
+
+
+def test_derived_tables_are_those_of_an_insert(spark, tmp_path):
+    """Reading a part of the graph makes no more than that, and what it makes is what an insert gives."""
+    import pytest
+
+    from weftline.plans.engine import DerivedGraph
+
+    docs = spark.createDataFrame([("Gardeners cultivate strawberries carefully. Gardeners whistle.",), ("Strawberries disappear overnight!",), ("Strawberries disappear overnight! ",), (" ",), (None,)], "content string")
+    whole, part = Engine(spark, str(tmp_path / "w"), cells=0), Engine(spark, str(tmp_path / "p"), cells=0)
+    whole.insert(docs.where("content IS NOT NULL"))
+    graph = DerivedGraph(part, docs.where("content IS NOT NULL"))
+    assert graph.entities.count() == 6
+    assert set(part.store.folders()) == {"docs", "chunks", "records", "mentions", "entities"}
+    for name in ("entities", "facts", "edges", "chunks", "degrees", "entity_vectors", "fact_vectors", "chunk_vectors"):
+        rows = lambda df: sorted(map(str, df.drop("cell").collect()))
+        assert rows(getattr(graph, name)) == rows(whole.table(name)), name
+    assert part.cells_of("fact_vectors") == (None, 0) and len(graph.indexes["entity"].cells.centres) == len(whole.cells_of("entity_vectors")[0].centres)
+    with pytest.raises(ValueError):
+        part.insert(docs)
+
+
+def test_vectors_of_texts_by_themselves(spark):
+    """The vectors are bit by bit those of the embedder's rows; texts without a word have none."""
+    texts = ["One one  two", "", None, " \t\n", "É é ẞ x y", "a\x0bb\x1cc", "z " * 5000, "w"]
+    rows = spark.createDataFrame([(f"n{k}", t) for k, t in enumerate(texts)], "name string, content string")
+    got = {r.name: r.vector for r in vectors.hashed_vectors(rows, "name", "content").collect()}
+    assert got == {r.name: r.vector for r in vectors.gathered(vectors.embedded(rows, "name", "content")).collect()} and len(got) == 5
+
+
+def test_strip(spark):
+    texts = ["　a b ", "\x85\xa0", "", "x", " \x1c\ty\x0b\r\n", "​ z ᠎"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
