@@ -760,3 +760,22 @@ def test_recall_does_not_depend_on_partitions(spark, partitions):
         near[q] = -np.inf
         met += len(got[q] & set(np.argsort(-near)[:20].tolist()))
     assert met / (20 * len(got)) >= 0.97
+
+
+def test_topics_are_fitted_to_all_texts(spark, docs):
+    """Weights, means and clusters count every distinct text, also beyond those that give the starts, and whichever way the rows are dealt out."""
+    import numpy as np
+
+    from weftline.llm.language import gram_counts, unit
+
+    texts = [f"{w} " * (3 + n % 5) + f"{w}{n}" for n in range(30) for w in ("apple", "stone", "river", "qqzz")]
+    table = docs(*texts, *texts[:9])
+    model, again = mixing.fit_topics(table, 4, sample=10), mixing.fit_topics(table.repartition(7), 4, sample=10)
+    tf = np.array([np.log1p(gram_counts(t.encode())) for t in texts], dtype=np.float32)
+    assert np.allclose(model.idf, np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1, atol=1e-5)
+    x = unit(tf * model.idf)
+    assert np.allclose(model.means, unit(x.mean(axis=0, keepdims=True)), atol=1e-5)
+    rest = mixing.left_over(x, model.means)
+    own = (rest @ model.centroids.T).argmax(axis=1)
+    assert np.allclose(model.centroids, unit(np.array([rest[own == j].mean(axis=0) for j in range(len(model.centroids))])), atol=1e-4)
+    assert np.allclose(model.centroids, again.centroids, atol=1e-6)

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Topics are clusters of whole texts, fitted to a bounded sample: of each text's TF-IDF n-gram vector
+Topics are clusters of whole texts, fitted to all distinct ones: of each text's TF-IDF n-gram vector
 the part that its language's mean does not explain is clustered, so topics tell texts of one language
 apart instead of languages. Tokens are counted by cells of source, language and topic. Raking scales the cells' weights to each
 marginal in turn until all hold; a cell never gets more than it has. Every value has its own marginal, however many there
@@ -20,9 +20,11 @@ from weftline.llm.common import stash
 from weftline.llm.language import DIMENSIONS, gram_counts, packed, tf_rows, unit, unpacked
 
 AXES = ("source", "lang", "topic")
-#: Clusters of texts, and the distinct texts to which they are fitted, at most.
+#: Clusters of texts, and the distinct texts up to which the driver clusters; more are clustered in Spark, and as many give the rows to start from.
 TOPICS, TOPIC_SAMPLE = 8, 2000
-#: Starts of the clustering, of which the best counts, and the least part of the sample, and rows, that make a cluster or a language.
+#: Fixed point in which vectors are summed, so that sums are the same however rows are dealt out.
+POINT = float(1 << 32)
+#: Starts of the clustering, of which the best counts, and the least part of the texts, and rows, that make a cluster or a language.
 STARTS, LEAST_SHARE, LEAST_ROWS = 5, 0.01, 5
 KEYS = [f"mix_{a}" for a in AXES]
 #: Cells up to which the driver rakes (some 300 bytes a cell); more are raked in Spark, by the same steps.
@@ -109,30 +111,105 @@ def topic_centres(rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return best
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Means and clusters on the driver over at most ``sample`` distinct texts, those of least hash (some 2 KB each). Without lang all texts are of one language."""
+def grams(docs: DataFrame) -> DataFrame:
+    """h, counts, lang of each distinct text with a letter, written. Without lang all texts are of one language."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    rows = docs.select("text", lang.alias("lang")).where(F.col("text").rlike(_LETTERS)).withColumn("h", F.xxhash64("text"))
-    n = rows.agg(F.approx_count_distinct("h")).first()[0]
-    draw = F.pmod("h", F.lit(1 << 30))
-    some = rows.where(draw < min(1.0, (2 * sample + 50) / max(n, 1)) * (1 << 30)).select("h").distinct()
-    first = some.orderBy(draw, "h").limit(sample)
+    rows = docs.select("text", lang.alias("lang")).where(F.col("text").rlike(_LETTERS)).select(F.xxhash64("text").alias("h"), "text", "lang")
 
     def counts(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(gram_counts(t.as_buffer().to_pybytes())) for t in batch.column(1)], pa.binary()), batch.column(2)], names=["h", "counts", "lang"])
 
-    whole = rows.join(F.broadcast(first), "h").groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).select("h", "text", "lang")
-    drawn = sorted(whole.mapInArrow(counts, "h long, counts binary, lang string").collect(), key=lambda r: r["h"])
+    counted = rows.mapInArrow(counts, "h long, counts binary, lang string")
+    return stash(counted.groupBy("h").agg(F.min("counts").alias("counts"), F.min("lang").alias("lang")), "grams")
+
+
+def summed(held: DataFrame, each) -> dict[int, np.ndarray]:
+    """By key the sums of the rows of whole numbers that ``each`` (tf, languages) gives: added up in each task, and each key's in Spark."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
+                for key, row in each(unpacked(some.column(0).to_pylist()), np.array(some.column(1).to_pylist(), dtype=object)):
+                    total[key] = total[key] + row if key in total else row
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([row.astype(np.int64).tobytes() for row in total.values()], pa.binary())], names=["key", "row"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(r, np.int64) for r in rows["row"].to_pylist())
+        return pa.table({"key": rows["key"][:1], "row": pa.array([total.tobytes()], pa.binary())})
+
+    parts = held.select("counts", "lang").mapInArrow(run, "key int, row binary")
+    return {r["key"]: np.frombuffer(r["row"], np.int64) for r in parts.groupBy("key").applyInArrow(add, "key int, row binary").collect()}  # a row for each cluster of each start
+
+
+def whole(rows: np.ndarray) -> np.ndarray:
+    """Sums of rows in fixed point."""
+    return np.rint(rows * POINT).astype(np.int64).sum(axis=0)
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
+    """Weights of n-grams, means of languages and clusters over all distinct texts: on the driver up to ``sample`` of them, else in passes of Spark over all.
+
+    Clusters start from rows among the ``sample`` texts of least hash; every round goes over all texts.
+    """
+    held = grams(docs)
+    n = held.count()
     none = np.zeros((0, DIMENSIONS), np.float32)
-    if not drawn:
+    if not n:
         return Topics(np.ones(DIMENSIONS, np.float32), none, none)
-    tf, langs = unpacked([r["counts"] for r in drawn]), np.array([r["lang"] or "" for r in drawn], dtype=object)
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
+    least = max(LEAST_ROWS, LEAST_SHARE * n)
+    known = [r["lang"] for r in held.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("lang") != "") & (F.col("count") >= least)).orderBy("lang").collect()]  # 100 at most
+    tf = unpacked([r["counts"] for r in held.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(sample).orderBy("h").collect()])
+    if n <= sample:
+        langs = np.array([r["lang"] or "" for r in held.select("h", "lang").orderBy("h").collect()], dtype=object)
+        df = (tf > 0).sum(axis=0)
+    else:
+        df = summed(held, lambda tf, langs: [(0, (tf > 0).sum(axis=0))])[0]
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     x = unit(tf * idf)
-    known = [v for v in sorted(set(langs)) if v and (langs == v).sum() >= max(LEAST_ROWS, LEAST_SHARE * len(x))]
-    means = unit(np.array([x[langs == v].mean(axis=0) for v in known] or [x.mean(axis=0)]))
-    return Topics(idf, means.astype(np.float32), topic_centres(left_over(x, means), topics).astype(np.float32))
+    if n <= sample:
+        means = unit(np.array([x[langs == v].mean(axis=0) for v in known] or [x.mean(axis=0)])).astype(np.float32)
+        return Topics(idf, means, topic_centres(left_over(x, means), topics).astype(np.float32))
+
+    def by_language(tf, langs):
+        rows = unit(tf * idf)
+        return [(k, whole(rows[langs == v])) for k, v in enumerate(known) if (langs == v).any()] or ([] if known else [(0, whole(rows))])
+
+    sums = summed(held, by_language)
+    means = unit(np.array([sums[k] / POINT for k in range(len(sums))])).astype(np.float32)
+    return Topics(idf, means, spark_centres(held, idf, means, left_over(x, means), topics).astype(np.float32))
+
+
+def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
+    """``topic_centres`` of all texts of ``held``, from starts among ``rows``: each round is a pass for those starts that still move."""
+    rng, least = np.random.default_rng(3), max(LEAST_ROWS, LEAST_SHARE * held.count())
+    now, moving = [spread(rows, k, rng) for _ in range(STARTS)], list(range(STARTS))
+    for turn in range(rounds):
+        centres = {s: now[s].astype(np.float32) for s in moving}
+
+        def parts(tf, langs, centres=centres):
+            x, out = left_over(unit(tf * idf), means), []
+            fixed = np.rint(x * POINT).astype(np.int64)
+            for s, c in centres.items():
+                own = (x @ c.T).argmax(axis=1)
+                out += [(s * k + j, np.append(fixed[own == j].sum(axis=0), (own == j).sum())) for j in np.unique(own)]
+            return out
+
+        sums = summed(held, parts)
+        for s in list(moving):
+            met = {j: sums[s * k + j] for j in range(len(now[s])) if s * k + j in sums}
+            keep = [j for j in met if met[j][-1] >= (least if turn >= rounds // 2 else 1)] or [max(met, key=lambda j: met[j][-1])]
+            after = unit(np.array([met[j][:-1] / POINT / met[j][-1] for j in keep]))
+            if turn >= rounds // 2 and np.array_equal(after.astype(np.float32), now[s].astype(np.float32)):
+                moving.remove(s)
+            now[s] = after
+        if not moving:
+            break
+    last = [c.astype(np.float32) for c in now]
+    fits = summed(held, lambda tf, langs: [(0, np.array([whole((left_over(unit(tf * idf), means) @ c.T).max(axis=1)) for c in last]))])[0]
+    return now[int(fits.argmax())]
 
 
 def weighed(docs: DataFrame, topics: Topics) -> DataFrame:
