@@ -779,3 +779,27 @@ def test_topics_are_fitted_to_all_texts(spark, docs):
     own = (rest @ model.centroids.T).argmax(axis=1)
     assert np.allclose(model.centroids, unit(np.array([rest[own == j].mean(axis=0) for j in range(len(model.centroids))])), atol=1e-4)
     assert np.allclose(model.centroids, again.centroids, atol=1e-6)
+
+
+def test_drawn_rows_take_their_topics_by_hash(spark, docs):
+    """Texts' n-grams are counted once, not anew for each pass over the documents, and no text is shuffled that the result does not hold."""
+    rows = mixing.draw(docs("some plain words", "some plain words", "other words", "12", "", None)).select("doc_id", "mix_topic", "probability")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and not [x for x in plan.splitlines() if "Exchange" in x and "text" in x]
+    every = mixing.calibrated(docs("some plain words", "some plain words", "other words", "12", "", None)).collect()
+    topics = {r.doc_id: r.mix_topic for r in every}
+    assert len(every) == 6 and topics[0] == topics[1] and {topics[3], topics[4], topics[5]} == {"none"} and topics[0][0] == topics[2][0] == "t"
+
+
+def test_topics_of_texts_alike(spark, docs):
+    """More texts than the driver takes that differ in digits alone, and one that is far from them."""
+    table = docs(*[f"the same words {k}" for k in range(40)])
+    model = mixing.fit_topics(table, 4, sample=10)
+    assert set(model.of(mixing.pa.array(["the same words 7", "the same words 99"]), mixing.np.ones(2, dtype=bool))) == {"t0"}
+    long = "a " * 70_000 + "bcd " * 300
+    grams = mixing.Grams([mixing.Grams.of(language.gram_counts(t.encode())) for t in ("", "a", long)])
+    assert np_close(grams.dense(grams.tf), language.tf_rows(mixing.pa.array(["", "a", long])))
+
+
+def np_close(a, b):
+    return a.shape == b.shape and bool((abs(a - b) < 1e-6).all())

@@ -2,7 +2,8 @@
 
 Topics are clusters of whole texts, fitted to all distinct ones: of each text's TF-IDF n-gram vector
 the part that its language's mean does not explain is clustered, so topics tell texts of one language
-apart instead of languages. Tokens are counted by cells of source, language and topic. Raking scales the cells' weights to each
+apart instead of languages. Rounds go over all texts, first along the main directions of these parts
+and then with whole vectors. Tokens are counted by cells of source, language and topic. Raking scales the cells' weights to each
 marginal in turn until all hold; a cell never gets more than it has. Every value has its own marginal, however many there
 are. Documents are then drawn with their cell's calibrated probability by a hash of their id.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stash
-from weftline.llm.language import DIMENSIONS, gram_counts, packed, tf_rows, unit, unpacked
+from weftline.llm.language import DIMENSIONS, gram_counts, unit
 
 AXES = ("source", "lang", "topic")
 #: Clusters of texts, and the distinct texts up to which the driver clusters; more are clustered in Spark, and as many give the rows to start from.
@@ -26,6 +27,12 @@ TOPICS, TOPIC_SAMPLE = 8, 2000
 POINT = float(1 << 32)
 #: Starts of the clustering, of which the best counts, and the least part of the texts, and rows, that make a cluster or a language.
 STARTS, LEAST_SHARE, LEAST_ROWS = 5, 0.01, 5
+#: Directions in which the rounds over all texts go on until they settle, and the rounds that whole vectors then take at most.
+DIRECTIONS, WHOLE_ROUNDS = 64, 4
+#: Length below which what a mean leaves of a unit vector has no direction.
+NOTHING = 1e-3
+#: Bytes of a bitmap of n-grams, and logarithms of one and the counts of a byte.
+BITMAP, _LOGS = DIMENSIONS // 8, np.log1p(np.arange(256)).astype(np.float32)
 KEYS = [f"mix_{a}" for a in AXES]
 #: Cells up to which the driver rakes (some 300 bytes a cell); more are raked in Spark, by the same steps.
 DRIVER_CELLS = 100_000
@@ -53,6 +60,53 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+class Grams:
+    """Hashed n-grams of some texts: at (row, gram) the logarithm of one and the count, ``tf``."""
+
+    def __init__(self, sent: list[bytes]):
+        bits = np.frombuffer(b"".join([x[:BITMAP] for x in sent]), np.uint8).reshape(-1, BITMAP)
+        self.n = len(sent)
+        self.at = np.flatnonzero(np.unpackbits(bits).view(bool))
+        self.row, self.gram = self.at // DIMENSIONS, self.at % DIMENSIONS
+        ends = (BITMAP + np.bincount(self.row, minlength=self.n)).tolist()
+        few = np.frombuffer(b"".join([x[BITMAP:e] for x, e in zip(sent, ends, strict=True)]), np.uint8)
+        self.tf = _LOGS[few]
+        self.tf[few == 255] = np.log1p(np.frombuffer(b"".join([x[e:] for x, e in zip(sent, ends, strict=True)]), np.uint32))
+
+    @staticmethod
+    def of(counts: np.ndarray) -> bytes:
+        """A bitmap of the n-grams that occur, a byte for the count of each, and those of 255 and more in full: some 1 KB for most texts."""
+        some = counts[counts > 0]
+        return np.packbits(counts > 0).tobytes() + np.minimum(some, 255).astype(np.uint8).tobytes() + some[some >= 255].astype(np.uint32).tobytes()
+
+    def dense(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, DIMENSIONS), np.float32)
+        out.ravel()[self.at] = value
+        return out
+
+
+class Rest:
+    """What the nearest of the means leaves of some texts' unit vectors, times the columns of ``onto``.
+
+    A row is (w / length - share * mean) / size: ``cosines`` are its products with ``onto``. Rows of a
+    size below ``NOTHING`` are (nearly) their mean and have no direction: ``left`` is false for them.
+    """
+
+    def __init__(self, grams: Grams, idf: np.ndarray, means: np.ndarray, onto: np.ndarray):
+        self.w = grams.tf * idf[grams.gram]
+        add = lambda v: np.bincount(grams.row, v, grams.n)
+        w = self.w.astype(float)
+        self.length = np.maximum(np.sqrt(add(w * w)), 1e-12)
+        products = grams.dense(self.w) @ np.concatenate([means, onto]).T
+        self.mean = products[:, : len(means)].argmax(axis=1)
+        self.share = add(w * means.ravel()[self.mean[grams.row] * DIMENSIONS + grams.gram]) / self.length
+        square = (means.astype(float) ** 2).sum(axis=1)[self.mean]
+        size = np.sqrt(np.maximum(1 - self.share**2 * (2 - square), 0))
+        self.left = size >= NOTHING
+        self.size = np.where(self.left, size, np.inf)
+        self.cosines = (products[:, len(means) :] / self.length[:, None] - self.share[:, None] * (means @ onto.T)[self.mean]) / self.size[:, None]
+
+
 @dataclass
 class Topics:
     """Means of languages and clusters of what they leave of TF-IDF vectors of hashed n-grams; a few hundred kilobytes."""
@@ -61,14 +115,21 @@ class Topics:
     means: np.ndarray
     centroids: np.ndarray
 
+    def nearest(self, sent: list[bytes]) -> list[str]:
+        """The nearest cluster of each text of packed ``Grams``."""
+        if not len(self.centroids):
+            return ["none"] * len(sent)
+        out = []
+        for at in range(0, len(sent), 512):
+            out += [f"t{k}" for k in Rest(Grams(sent[at : at + 512]), self.idf, self.means, self.centroids).cosines.argmax(axis=1)]
+        return out
+
     def of(self, text: pa.Array, letters: np.ndarray) -> list[str]:
         """The nearest cluster of each whole text, "none" without a letter."""
         out = np.full(len(text), "none", dtype=object)
-        for at in range(0, len(text), 512):
-            some = np.flatnonzero(letters[at : at + 512]) + at
-            if len(some) and len(self.centroids):
-                near = (left_over(unit(tf_rows(text.take(pa.array(some))) * self.idf), self.means) @ self.centroids.T).argmax(axis=1)
-                out[some] = [f"t{k}" for k in near]
+        some = np.flatnonzero(letters)
+        if len(some):
+            out[some] = self.nearest([Grams.of(gram_counts(t.as_buffer().to_pybytes())) for t in text.take(pa.array(some))])
         return out.tolist()
 
 
@@ -118,113 +179,179 @@ def grams(docs: DataFrame) -> DataFrame:
 
     def counts(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(gram_counts(t.as_buffer().to_pybytes())) for t in batch.column(1)], pa.binary()), batch.column(2)], names=["h", "counts", "lang"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Grams.of(gram_counts(t.as_buffer().to_pybytes())) for t in batch.column(1)], pa.binary()), batch.column(2)], names=["h", "counts", "lang"])
 
     counted = rows.mapInArrow(counts, "h long, counts binary, lang string")
     return stash(counted.groupBy("h").agg(F.min("counts").alias("counts"), F.min("lang").alias("lang")), "grams")
 
 
-def summed(held: DataFrame, each) -> dict[int, np.ndarray]:
-    """By key the sums of the rows of whole numbers that ``each`` (tf, languages) gives: added up in each task, and each key's in Spark."""
+def summed(rows: DataFrame, each) -> dict[int, np.ndarray]:
+    """By key the sums of the rows of whole numbers that ``each`` gives for a batch: added up in each task, and each key's in Spark."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                for key, row in each(unpacked(some.column(0).to_pylist()), np.array(some.column(1).to_pylist(), dtype=object)):
-                    total[key] = total[key] + row if key in total else row
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([row.astype(np.int64).tobytes() for row in total.values()], pa.binary())], names=["key", "row"])
+                for key, row in each(batch.slice(at, 512)):
+                    total[key] = total[key] + row.astype(np.int64) if key in total else row.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([row.tobytes() for row in total.values()], pa.binary())], names=["key", "row"])
 
     def add(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(r, np.int64) for r in rows["row"].to_pylist())
         return pa.table({"key": rows["key"][:1], "row": pa.array([total.tobytes()], pa.binary())})
 
-    parts = held.select("counts", "lang").mapInArrow(run, "key int, row binary")
+    parts = rows.mapInArrow(run, "key int, row binary")
     return {r["key"]: np.frombuffer(r["row"], np.int64) for r in parts.groupBy("key").applyInArrow(add, "key int, row binary").collect()}  # a row for each cluster of each start
 
 
-def whole(rows: np.ndarray) -> np.ndarray:
-    """Sums of rows in fixed point."""
-    return np.rint(rows * POINT).astype(np.int64).sum(axis=0)
+def whole(values: np.ndarray) -> np.ndarray:
+    """Numbers in fixed point; sums of a batch of them are exact."""
+    return np.rint(values * POINT)
 
 
 def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Weights of n-grams, means of languages and clusters over all distinct texts: on the driver up to ``sample`` of them, else in passes of Spark over all.
+    """``topics_of`` the distinct texts of ``docs``."""
+    return topics_of(grams(docs), topics, sample)
 
-    Clusters start from rows among the ``sample`` texts of least hash; every round goes over all texts.
-    """
-    held = grams(docs)
+
+def topics_of(held: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
+    """Weights of n-grams, means of languages and clusters over all distinct texts: on the driver up to ``sample`` of them, else in passes of Spark over all."""
     n = held.count()
     none = np.zeros((0, DIMENSIONS), np.float32)
     if not n:
         return Topics(np.ones(DIMENSIONS, np.float32), none, none)
     least = max(LEAST_ROWS, LEAST_SHARE * n)
     known = [r["lang"] for r in held.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("lang") != "") & (F.col("count") >= least)).orderBy("lang").collect()]  # 100 at most
-    tf = unpacked([r["counts"] for r in held.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(sample).orderBy("h").collect()])
-    if n <= sample:
-        langs = np.array([r["lang"] or "" for r in held.select("h", "lang").orderBy("h").collect()], dtype=object)
-        df = (tf > 0).sum(axis=0)
-    else:
-        df = summed(held, lambda tf, langs: [(0, (tf > 0).sum(axis=0))])[0]
+    first = first_rows(held, n, sample, "counts", "lang")
+    some = Grams([r["counts"] for r in first])
+    df = np.bincount(some.gram, minlength=DIMENSIONS) if n <= sample else summed(held.select("counts"), lambda batch: [(0, np.bincount(Grams(batch.column(0).to_pylist()).gram, minlength=DIMENSIONS))])[0]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    x = unit(tf * idf)
+    x = some.dense(some.tf * idf[some.gram])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     if n <= sample:
+        langs = np.array([r["lang"] or "" for r in first], dtype=object)
         means = unit(np.array([x[langs == v].mean(axis=0) for v in known] or [x.mean(axis=0)])).astype(np.float32)
         return Topics(idf, means, topic_centres(left_over(x, means), topics).astype(np.float32))
+    places = {v: k for k, v in enumerate(known)}
 
-    def by_language(tf, langs):
-        rows = unit(tf * idf)
-        return [(k, whole(rows[langs == v])) for k, v in enumerate(known) if (langs == v).any()] or ([] if known else [(0, whole(rows))])
+    def by_language(batch):
+        g = Grams(batch.column(0).to_pylist())
+        own = np.array([places.get(v, len(known)) for v in batch.column(1).to_pylist()] if known else [0] * g.n)
+        w = (g.tf * idf[g.gram]).astype(float)
+        fixed = whole(w / np.maximum(np.sqrt(np.bincount(g.row, w**2, g.n)), 1e-12)[g.row])
+        table = np.bincount(own[g.row] * DIMENSIONS + g.gram, fixed, (own.max() + 1) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        return [(int(k), table[k]) for k in np.unique(own) if k < max(len(known), 1)]
 
-    sums = summed(held, by_language)
+    sums = summed(held.select("counts", "lang"), by_language)
     means = unit(np.array([sums[k] / POINT for k in range(len(sums))])).astype(np.float32)
-    return Topics(idf, means, spark_centres(held, idf, means, left_over(x, means), topics).astype(np.float32))
+    for at in range(0, len(x), 256):
+        x[at : at + 256] = left_over(x[at : at + 256], means)
+    return Topics(idf, means, spark_centres(held, idf, means, directions(x), topics, sample).astype(np.float32))
+
+
+def first_rows(rows: DataFrame, n: int, wanted: int, *columns: str) -> list:
+    """The ``wanted`` texts of least hash among ``n``."""
+    draw = F.pmod("h", F.lit(1 << 30))
+    # Twice what is taken and 50: fewer come with no chance that matters, and few meet in the task that puts them in order.
+    few = rows.select("h", *columns).where(draw <= min(1.0, (2 * wanted + 50) / max(n, 1)) * (1 << 30))
+    return few.orderBy(draw, "h").limit(wanted).orderBy("h").collect()
+
+
+def directions(rows: np.ndarray, n: int = DIRECTIONS) -> np.ndarray:
+    """About the first ``n`` principal directions of rows, by power passes; orthonormal."""
+    basis = np.random.default_rng(4).normal(size=(rows.shape[1], n)).astype(np.float32)
+    for _ in range(4):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    return np.ascontiguousarray(basis.T, dtype=np.float32)
+
+
+def centred(sums: dict[int, np.ndarray], base: int, k: int, least: float, lift=lambda row: row) -> np.ndarray:
+    """Unit means of the clusters ``base`` to ``base`` + ``k`` of sums (row, count): those of ``least`` rows, or else the largest."""
+    met = [sums[base + j] for j in range(k) if base + j in sums]
+    keep = [row for row in met if row[-1] >= least] or [max(met, key=lambda row: row[-1])]
+    return unit(np.array([lift(row[:-1] / POINT / row[-1]) for row in keep]))
 
 
-def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """``topic_centres`` of all texts of ``held``, from starts among ``rows``: each round is a pass for those starts that still move."""
-    rng, least = np.random.default_rng(3), max(LEAST_ROWS, LEAST_SHARE * held.count())
-    now, moving = [spread(rows, k, rng) for _ in range(STARTS)], list(range(STARTS))
+def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, basis: np.ndarray, k: int, sample: int, rounds: int = 15) -> np.ndarray:
+    """``topic_centres`` of all texts of ``held``.
+
+    What the means leave of every text is written along the rows of ``basis``. Starts are among the
+    ``sample`` texts of least hash; each round is a pass over all texts for those starts that still
+    move. The best one's clusters, of all texts again, then take rounds of whole vectors.
+    """
+
+    def along(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                rest = Rest(Grams(part.column(1).to_pylist()), idf, means, basis)
+                y = rest.cosines.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in y], pa.binary())], names=["h", "y"]).filter(pa.array(rest.left))
+
+    reduced = stash(held.select("h", "counts").mapInArrow(along, "h long, y binary"), "reduced")
+    read = lambda sent: np.frombuffer(b"".join(sent), np.float32).reshape(-1, len(basis))
+    n = reduced.count()
+    first = read([r["y"] for r in first_rows(reduced, n, sample, "y")])
+    if not len(first):  # all texts are alike
+        return means[:1]
+    rng, least = np.random.default_rng(3), max(LEAST_ROWS, LEAST_SHARE * n)
+    now, moving = [spread(unit(first), k, rng) for _ in range(STARTS)], list(range(STARTS))
     for turn in range(rounds):
         centres = {s: now[s].astype(np.float32) for s in moving}
 
-        def parts(tf, langs, centres=centres):
-            x, out = left_over(unit(tf * idf), means), []
-            fixed = np.rint(x * POINT).astype(np.int64)
+        def parts(batch, centres=centres):
+            y, out = read(batch.column(0).to_pylist()), []
+            fixed = whole(y.astype(float))
             for s, c in centres.items():
-                own = (x @ c.T).argmax(axis=1)
-                out += [(s * k + j, np.append(fixed[own == j].sum(axis=0), (own == j).sum())) for j in np.unique(own)]
+                own = (y @ c.T).argmax(axis=1)
+                out += [(int(s * k + j), np.append(fixed[own == j].sum(axis=0), (own == j).sum())) for j in np.unique(own)]
             return out
 
-        sums = summed(held, parts)
+        sums = summed(reduced.select("y"), parts)
         for s in list(moving):
-            met = {j: sums[s * k + j] for j in range(len(now[s])) if s * k + j in sums}
-            keep = [j for j in met if met[j][-1] >= (least if turn >= rounds // 2 else 1)] or [max(met, key=lambda j: met[j][-1])]
-            after = unit(np.array([met[j][:-1] / POINT / met[j][-1] for j in keep]))
+            after = centred(sums, s * k, len(now[s]), least if turn >= rounds // 2 else 1)
             if turn >= rounds // 2 and np.array_equal(after.astype(np.float32), now[s].astype(np.float32)):
                 moving.remove(s)
             now[s] = after
         if not moving:
             break
     last = [c.astype(np.float32) for c in now]
-    fits = summed(held, lambda tf, langs: [(0, np.array([whole((left_over(unit(tf * idf), means) @ c.T).max(axis=1)) for c in last]))])[0]
-    return now[int(fits.argmax())]
+    fits = summed(reduced.select("y"), lambda batch: [(0, np.array([whole((read(batch.column(0).to_pylist()) @ c.T).max(axis=1).astype(float)).sum() for c in last]))])[0]
+    found = unit(now[int(fits.argmax())] @ basis)
+    for _ in range(WHOLE_ROUNDS):
+        centres = found.astype(np.float32)
+
+        def wholes(batch, centres=centres):
+            g = Grams(batch.column(0).to_pylist())
+            rest = Rest(g, idf, means, centres)
+            own = rest.cosines.argmax(axis=1)
+            vectors = np.bincount(own[g.row] * DIMENSIONS + g.gram, whole(rest.w / (rest.length * rest.size)[g.row]), len(centres) * DIMENSIONS)
+            shares = np.bincount(own * len(means) + rest.mean, whole(-rest.share / rest.size), len(centres) * len(means))
+            table = np.column_stack([vectors.reshape(len(centres), -1), shares.reshape(len(centres), -1), np.bincount(own, rest.left, len(centres))])
+            return [(j, row) for j, row in enumerate(table) if row[-1]]
+
+        found = centred(summed(held.select("counts"), wholes), 0, len(centres), least, lambda row: row[:DIMENSIONS] + row[DIMENSIONS:] @ means)
+        if found.shape == centres.shape and np.abs(found - centres).max() < 1e-6:
+            break
+    return found
 
 
-def weighed(docs: DataFrame, topics: Topics) -> DataFrame:
-    """Adds mix_source, mix_lang, mix_topic (null: "null") and mix_tokens."""
+def weighed(docs: DataFrame, held: DataFrame, topics: Topics) -> DataFrame:
+    """Adds mix_source, mix_lang, mix_topic (null: "null") and mix_tokens. Topics are those of the texts of ``held``, joined by hash."""
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    docs = docs.drop(*KEYS, "mix_tokens")
-    docs = docs.withColumns({"mix_source": known("source"), "mix_lang": known("lang"), "mix_tokens": tokens(F.col("text")), "mix_topic": F.coalesce(F.col("text").rlike(_LETTERS), F.lit(False)).cast("string")})
 
     def run(batches):
         for batch in batches:
-            letters = np.asarray(batch.column(batch.num_columns - 1).to_pylist()) == "true"
-            text = batch.column(batch.schema.get_field_index("text")).fill_null("")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(topics.of(text, letters), pa.string())], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(topics.nearest(batch.column(1).to_pylist()), pa.string())], names=["mix_h", "mix_topic"])
 
-    return docs.mapInArrow(run, docs.schema)
+    found = stash(held.select("h", "counts").mapInArrow(run, "mix_h long, mix_topic string"), "topics")
+    docs = docs.drop(*KEYS, "mix_tokens", "mix_h", "mix_letters")
+    letters = F.coalesce(F.col("text").rlike(_LETTERS), F.lit(False))
+    # Rows without a letter have no topic; they are dealt out by other numbers, which are no text's.
+    key = F.when(letters, F.xxhash64("text")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    rows = docs.withColumns({"mix_source": known("source"), "mix_lang": known("lang"), "mix_tokens": tokens(F.col("text")), "mix_h": key, "mix_letters": letters})
+    topic = F.when(F.col("mix_letters"), F.coalesce("mix_topic", F.lit("none"))).otherwise("none")
+    return rows.join(found, "mix_h", "left").withColumn("mix_topic", topic).drop("mix_h", "mix_letters")
 
 
 def phases(targets: Targets) -> list[list[int]]:
@@ -317,7 +444,8 @@ def rake_rows(cells: DataFrame, targets: Targets) -> DataFrame:
 def calibrated(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """``docs`` with mix_* columns and ``probability``, that of being drawn."""
     spark = docs.sparkSession
-    rows = weighed(docs.drop("probability"), fit_topics(docs))
+    held = grams(docs)
+    rows = weighed(docs.drop("probability"), held, topics_of(held))
     cells = stash(rows.groupBy(*KEYS).agg(F.sum("mix_tokens").cast("double").alias("have")), "cells")
     n_cells = cells.count()
     if not n_cells:
@@ -355,4 +483,4 @@ def draw(docs: DataFrame, targets: Targets = Targets(), seed: int = 42) -> DataF
     """
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id"), F.lit(seed)))
     u = F.pmod(key, F.lit(1 << 53)) / float(1 << 53)
-    return calibrated(docs, targets).where(u < F.col("probability"))
+    return calibrated(docs.withColumn("mix_u", u), targets).where(F.col("mix_u") < F.col("probability")).drop("mix_u")
