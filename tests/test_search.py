@@ -285,3 +285,42 @@ def test_lists_read_a_tenth_of_all_pairs(spark):
     met = first.count() + index.met(block, 5, 0.2, kth).count()
     every = asks.join(rows.select("name", F.inline("vector").alias("bucket", "v")), "bucket").count()
     assert 0 < met < every / 10
+
+
+def test_semantic_cache_scores_blocks_of_questions(spark, monkeypatch):
+    """Hits are those of plain loops: ties, copies, modes, lengths, zeros, nulls and blocks; no pair is scored by expressions on lists."""
+    import math
+    from functools import reduce
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from weftline.functions.vectors import quantised
+    from weftline.operators import cache, search
+
+    monkeypatch.setattr(search, "QUERY_LIMIT", 40)
+    monkeypatch.setattr(search.in_blocks, "__defaults__", (40,))
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    entries = [("ab"[k % 2], f"k{k}", f"r{k}", (base[k % 30] + (k % 3) * 0.05 * rng.normal(size=8)).tolist()) for k in range(300)]
+    entries += [("a", "zero", "r", [0.0] * 8), ("a", "short", "r", [1.0, 2.0]), ("a", "null", "r", None)]
+    asks = [(k, "ab"[k % 2], (base[k % 30] + (k % 4) * 0.05 * rng.normal(size=8)).tolist()) for k in range(120)]
+    asks += [(200, "a", [0.0] * 8), (201, "a", [1.0, 2.0]), (202, "a", None), (203, "none", base[0].tolist()), (204, "a", [math.nan] * 8), (205, None, base[0].tolist())]
+    stored = spark.createDataFrame(entries, "mode string, args_hash string, response string, e array<double>").select("mode", "args_hash", "response", quantised(F.col("e")).alias("quantised")).repartition(3)
+    hits = cache.semantic_hits(spark.createDataFrame(asks, "query_id long, mode string, query array<double>"), stored)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    got = {r.query_id: r for r in hits.collect()}
+
+    def cosine(a, b):
+        dot = lambda x, y: reduce(lambda s, p: s + p[0] * p[1], zip(x, y, strict=True), 0.0)
+        return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+    restored = [(m, h, r, [x * (q.high - q.low) / 255.0 + q.low for x in q.bytes]) for m, h, r, q in stored.collect() if q is not None and q.bytes]
+    for key, mode, v in asks:
+        fits = [(cosine(v, e), h, r) for m, h, r, e in restored if m == mode and v and len(v) == len(e) and any(v) and any(e) and not math.isnan(v[0])]
+        best = max([f for f in fits if f[0] > 0.95], default=None)
+        assert (key in got) == (best is not None)
+        if best:
+            assert got[key].response == best[2] and got[key].score == best[0]
+    assert len(got) > 100
