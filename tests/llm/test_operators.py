@@ -803,3 +803,34 @@ def test_topics_of_texts_alike(spark, docs):
 
 def np_close(a, b):
     return a.shape == b.shape and bool((abs(a - b) < 1e-6).all())
+
+
+def test_grams_by_the_plain_rule():
+    """Counts of n-grams of awkward texts, and their sums by row."""
+    import re
+
+    np = mixing.np
+    texts = [b"", b" ", b"a", b"A!", b"  a   b  ", "Äé ß\n\t日本".encode(), bytes(range(256)), b"z" * 5000, b" " * 999 + b"x"]
+    for raw in texts:
+        b = re.sub(b" +", b" ", b" " + bytes(c if c > 127 or chr(c).isalpha() else 32 for c in raw.lower()) + b" ")
+        want = np.zeros(language.DIMENSIONS, int)
+        for k in range(len(b)):
+            want[b[k]] += 1
+            if k + 1 < len(b):
+                want[((b[k] * 257 + b[k + 1]) * 2654435761 % 2**32) >> 20] += 1
+            if k + 2 < len(b):
+                want[(((b[k] * 257 + b[k + 1]) * 257 + b[k + 2]) * 2654435761 % 2**32) >> 20] += 1
+        assert (language.gram_counts(raw) == want).all()
+    grams = mixing.Grams([mixing.Grams.of(language.gram_counts(t)) for t in texts])
+    assert np.allclose(grams.add(grams.tf.astype(float)), grams.dense(grams.tf).sum(axis=1, dtype=float), atol=1e-3) and len(mixing.Grams([]).add(grams.tf[:0])) == 0
+
+
+def test_drawn_rows_without_texts(spark, docs):
+    """Texts left behind change nothing else; letters count wherever they stand, and tokens by single blanks."""
+    texts = ["some plain words", "some plain words", "7" * 200 + " é", "ümlaut  two blanks ", "12", "1" * 99, " ", "", None]
+    table = docs(*texts)
+    with_texts = sorted(mixing.calibrated(table).drop("text").collect(), key=lambda r: r.doc_id)
+    without = mixing.calibrated(table, text=False)
+    assert "text" not in without.columns and sorted(without.select(*with_texts[0].asDict()).collect(), key=lambda r: r.doc_id) == with_texts
+    for r, text in zip(with_texts, texts, strict=True):
+        assert r.mix_tokens == (len(text.split(" ")) if text else 0) and (r.mix_topic == "none") == (not any(c.isalpha() for c in text or ""))

@@ -173,6 +173,11 @@ def test_op9(spark):
     assert all(ratios[k] <= min(others) for k in spent)
 
 
+def test_op9_draws_without_reading_the_texts_again(spark):
+    """What is drawn comes from rows that were weighed and written once."""
+    assert not [f for f in catalog.op9_source_mix(spark, SF).inputFiles() if "documents.parquet" in f]
+
+
 def brute_dedup(texts, length):
     raws = {d: (t or "").encode() for d, t in texts}
     count = Counter(raw[i : i + length] for raw in raws.values() for i in range(len(raw) - length + 1))

@@ -29,24 +29,28 @@ UNDETERMINED = "und"
 #: A text is rejected below this share of the cosine that all but one in a thousand labelled rows reach.
 REJECT_SHARE = 0.4
 
-_FOLD = np.arange(256, dtype=np.uint32)
-_FOLD[:128] = 32
-_FOLD[97:123] = np.arange(97, 123)
-_FOLD[65:91] = np.arange(97, 123)
+#: A-Z lowered, other ASCII a blank, bytes of longer characters as they are.
+_FOLD = bytes(b if b > 127 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
 
 def gram_counts(raw: bytes) -> np.ndarray:
     """How often each hashed 1-, 2- and 3-gram occurs: A-Z lowered, other ASCII a blank, blanks not doubled."""
-    b = _FOLD[np.frombuffer(b" " + raw + b" ", dtype=np.uint8)]
+    b = np.frombuffer((b" " + raw + b" ").translate(_FOLD), np.uint8)
+    other = b != 32
     keep = np.ones(len(b), dtype=bool)
-    keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
-    b = b[keep]
-    two = b[:-1] * np.uint32(257) + b[1:]
-    three = two[:-1] * np.uint32(257) + b[2:]
-    counts = np.bincount(b & np.uint32(255), minlength=DIMENSIONS)
-    for code in (two, three):
-        counts += np.bincount(((code * np.uint32(2654435761)) >> np.uint32(20)) & np.uint32(DIMENSIONS - 1), minlength=DIMENSIONS)
-    return counts
+    np.logical_or(other[1:], other[:-1], out=keep[1:])
+    b = b[keep].astype(np.uint32)
+    two = b[:-1] * np.uint32(257)
+    two += b[1:]
+    three = two[:-1] * np.uint32(257)
+    three += b[2:]
+    places = np.empty(len(b) + len(two) + len(three), np.int64)
+    places[: len(b)] = b
+    for at, code in ((len(b), two), (len(b) + len(two), three)):
+        code *= np.uint32(2654435761)
+        code >>= np.uint32(20)  # 12 bits are left: a place among DIMENSIONS
+        places[at : at + len(code)] = code
+    return np.bincount(places, minlength=DIMENSIONS)
 
 
 def tf_rows(column: pa.Array) -> np.ndarray:

@@ -32,7 +32,9 @@ DIRECTIONS, WHOLE_ROUNDS = 64, 4
 #: Length below which what a mean leaves of a unit vector has no direction.
 NOTHING = 1e-3
 #: Bytes of a bitmap of n-grams, and logarithms of one and the counts of a byte.
-BITMAP, _LOGS = DIMENSIONS // 8, np.log1p(np.arange(256)).astype(np.float32)
+BITMAP, _BITS, _LOGS = DIMENSIONS // 8, DIMENSIONS.bit_length() - 1, np.log1p(np.arange(256)).astype(np.float32)
+#: Texts whose n-grams are unpacked at once (2 MB as rows, which a core's cache holds), and rows along directions summed at once.
+UNPACKED, SUMMED = 128, 512
 KEYS = [f"mix_{a}" for a in AXES]
 #: Cells up to which the driver rakes (some 300 bytes a cell); more are raked in Spark, by the same steps.
 DRIVER_CELLS = 100_000
@@ -57,7 +59,7 @@ class Targets:
 def tokens(text: Column) -> Column:
     """Words by single blanks; 0 for null or empty text."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 class Grams:
@@ -67,17 +69,27 @@ class Grams:
         bits = np.frombuffer(b"".join([x[:BITMAP] for x in sent]), np.uint8).reshape(-1, BITMAP)
         self.n = len(sent)
         self.at = np.flatnonzero(np.unpackbits(bits).view(bool))
-        self.row, self.gram = self.at // DIMENSIONS, self.at % DIMENSIONS
-        ends = (BITMAP + np.bincount(self.row, minlength=self.n)).tolist()
+        self.row, self.gram = self.at >> _BITS, self.at & (DIMENSIONS - 1)
+        #: How many n-grams each row has; one at least, as any text has a blank.
+        self.many = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        ends = (BITMAP + self.many).tolist()
         few = np.frombuffer(b"".join([x[BITMAP:e] for x, e in zip(sent, ends, strict=True)]), np.uint8)
         self.tf = _LOGS[few]
-        self.tf[few == 255] = np.log1p(np.frombuffer(b"".join([x[e:] for x, e in zip(sent, ends, strict=True)]), np.uint32))
+        if few.size and few.max() == 255:
+            self.tf[few == 255] = np.log1p(np.frombuffer(b"".join([x[e:] for x, e in zip(sent, ends, strict=True)]), np.uint32))
 
     @staticmethod
     def of(counts: np.ndarray) -> bytes:
         """A bitmap of the n-grams that occur, a byte for the count of each, and those of 255 and more in full: some 1 KB for most texts."""
-        some = counts[counts > 0]
-        return np.packbits(counts > 0).tobytes() + np.minimum(some, 255).astype(np.uint8).tobytes() + some[some >= 255].astype(np.uint32).tobytes()
+        there = counts > 0
+        some = counts[there]
+        few = np.packbits(there).tobytes() + np.minimum(some, 255).astype(np.uint8).tobytes()
+        return few + some[some >= 255].astype(np.uint32).tobytes() if some.size and some.max() >= 255 else few
+
+    def add(self, value: np.ndarray) -> np.ndarray:
+        """By row the sums of one number for each n-gram."""
+        return np.add.reduceat(value, self.first) if self.n else np.zeros(0)
 
     def dense(self, value: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, DIMENSIONS), np.float32)
@@ -94,12 +106,11 @@ class Rest:
 
     def __init__(self, grams: Grams, idf: np.ndarray, means: np.ndarray, onto: np.ndarray):
         self.w = grams.tf * idf[grams.gram]
-        add = lambda v: np.bincount(grams.row, v, grams.n)
         w = self.w.astype(float)
-        self.length = np.maximum(np.sqrt(add(w * w)), 1e-12)
+        self.length = np.maximum(np.sqrt(grams.add(w * w)), 1e-12)
         products = grams.dense(self.w) @ np.concatenate([means, onto]).T
         self.mean = products[:, : len(means)].argmax(axis=1)
-        self.share = add(w * means.ravel()[self.mean[grams.row] * DIMENSIONS + grams.gram]) / self.length
+        self.share = grams.add(w * means.ravel()[np.repeat(self.mean * DIMENSIONS, grams.many) + grams.gram]) / self.length
         square = (means.astype(float) ** 2).sum(axis=1)[self.mean]
         size = np.sqrt(np.maximum(1 - self.share**2 * (2 - square), 0))
         self.left = size >= NOTHING
@@ -120,8 +131,8 @@ class Topics:
         if not len(self.centroids):
             return ["none"] * len(sent)
         out = []
-        for at in range(0, len(sent), 512):
-            out += [f"t{k}" for k in Rest(Grams(sent[at : at + 512]), self.idf, self.means, self.centroids).cosines.argmax(axis=1)]
+        for at in range(0, len(sent), UNPACKED):
+            out += [f"t{k}" for k in Rest(Grams(sent[at : at + UNPACKED]), self.idf, self.means, self.centroids).cosines.argmax(axis=1)]
         return out
 
     def of(self, text: pa.Array, letters: np.ndarray) -> list[str]:
@@ -136,6 +147,11 @@ class Topics:
 _LETTERS = r"\p{L}"
 
 
+def has_letter(text: Column) -> Column:
+    """Whether any letter is there; most texts show one at once, and the others are read to their end. False for null."""
+    return F.coalesce(F.substring(text, 1, 64).rlike(_LETTERS) | text.rlike(_LETTERS), F.lit(False))
+
+
 def left_over(rows: np.ndarray, means: np.ndarray) -> np.ndarray:
     """Unit rows without their part along the nearest mean."""
     own = means[(rows @ means.T).argmax(axis=1)]
@@ -175,7 +191,7 @@ def topic_centres(rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 def grams(docs: DataFrame) -> DataFrame:
     """h, counts, lang of each distinct text with a letter, written. Without lang all texts are of one language."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    rows = docs.select("text", lang.alias("lang")).where(F.col("text").rlike(_LETTERS)).select(F.xxhash64("text").alias("h"), "text", "lang")
+    rows = docs.select("text", lang.alias("lang")).where(has_letter(F.col("text"))).select(F.xxhash64("text").alias("h"), "text", "lang")
 
     def counts(batches):
         for batch in batches:
@@ -185,14 +201,14 @@ def grams(docs: DataFrame) -> DataFrame:
     return stash(counted.groupBy("h").agg(F.min("counts").alias("counts"), F.min("lang").alias("lang")), "grams")
 
 
-def summed(rows: DataFrame, each) -> dict[int, np.ndarray]:
-    """By key the sums of the rows of whole numbers that ``each`` gives for a batch: added up in each task, and each key's in Spark."""
+def summed(rows: DataFrame, each, at_once: int = UNPACKED) -> dict[int, np.ndarray]:
+    """By key the sums of the rows of whole numbers that ``each`` gives for ``at_once`` rows: added up in each task, and each key's in Spark."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                for key, row in each(batch.slice(at, 512)):
+            for at in range(0, len(batch), at_once):
+                for key, row in each(batch.slice(at, at_once)):
                     total[key] = total[key] + row.astype(np.int64) if key in total else row.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([row.tobytes() for row in total.values()], pa.binary())], names=["key", "row"])
 
@@ -238,8 +254,8 @@ def topics_of(held: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE)
         g = Grams(batch.column(0).to_pylist())
         own = np.array([places.get(v, len(known)) for v in batch.column(1).to_pylist()] if known else [0] * g.n)
         w = (g.tf * idf[g.gram]).astype(float)
-        fixed = whole(w / np.maximum(np.sqrt(np.bincount(g.row, w**2, g.n)), 1e-12)[g.row])
-        table = np.bincount(own[g.row] * DIMENSIONS + g.gram, fixed, (own.max() + 1) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        fixed = whole(w / np.repeat(np.maximum(np.sqrt(g.add(w * w)), 1e-12), g.many))
+        table = np.bincount(np.repeat(own * DIMENSIONS, g.many) + g.gram, fixed, (own.max() + 1) * DIMENSIONS).reshape(-1, DIMENSIONS)
         return [(int(k), table[k]) for k in np.unique(own) if k < max(len(known), 1)]
 
     sums = summed(held.select("counts", "lang"), by_language)
@@ -282,8 +298,8 @@ def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, basis: np
 
     def along(batches):
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), UNPACKED):
+                part = batch.slice(at, UNPACKED)
                 rest = Rest(Grams(part.column(1).to_pylist()), idf, means, basis)
                 y = rest.cosines.astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in y], pa.binary())], names=["h", "y"]).filter(pa.array(rest.left))
@@ -307,7 +323,7 @@ def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, basis: np
                 out += [(int(s * k + j), np.append(fixed[own == j].sum(axis=0), (own == j).sum())) for j in np.unique(own)]
             return out
 
-        sums = summed(reduced.select("y"), parts)
+        sums = summed(reduced.select("y"), parts, SUMMED)
         for s in list(moving):
             after = centred(sums, s * k, len(now[s]), least if turn >= rounds // 2 else 1)
             if turn >= rounds // 2 and np.array_equal(after.astype(np.float32), now[s].astype(np.float32)):
@@ -316,7 +332,7 @@ def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, basis: np
         if not moving:
             break
     last = [c.astype(np.float32) for c in now]
-    fits = summed(reduced.select("y"), lambda batch: [(0, np.array([whole((read(batch.column(0).to_pylist()) @ c.T).max(axis=1).astype(float)).sum() for c in last]))])[0]
+    fits = summed(reduced.select("y"), lambda batch: [(0, np.array([whole((read(batch.column(0).to_pylist()) @ c.T).max(axis=1).astype(float)).sum() for c in last]))], SUMMED)[0]
     found = unit(now[int(fits.argmax())] @ basis)
     for _ in range(WHOLE_ROUNDS):
         centres = found.astype(np.float32)
@@ -325,7 +341,7 @@ def spark_centres(held: DataFrame, idf: np.ndarray, means: np.ndarray, basis: np
             g = Grams(batch.column(0).to_pylist())
             rest = Rest(g, idf, means, centres)
             own = rest.cosines.argmax(axis=1)
-            vectors = np.bincount(own[g.row] * DIMENSIONS + g.gram, whole(rest.w / (rest.length * rest.size)[g.row]), len(centres) * DIMENSIONS)
+            vectors = np.bincount(np.repeat(own * DIMENSIONS, g.many) + g.gram, whole(rest.w / np.repeat(rest.length * rest.size, g.many)), len(centres) * DIMENSIONS)
             shares = np.bincount(own * len(means) + rest.mean, whole(-rest.share / rest.size), len(centres) * len(means))
             table = np.column_stack([vectors.reshape(len(centres), -1), shares.reshape(len(centres), -1), np.bincount(own, rest.left, len(centres))])
             return [(j, row) for j, row in enumerate(table) if row[-1]]
@@ -346,7 +362,7 @@ def weighed(docs: DataFrame, held: DataFrame, topics: Topics) -> DataFrame:
 
     found = stash(held.select("h", "counts").mapInArrow(run, "mix_h long, mix_topic string"), "topics")
     docs = docs.drop(*KEYS, "mix_tokens", "mix_h", "mix_letters")
-    letters = F.coalesce(F.col("text").rlike(_LETTERS), F.lit(False))
+    letters = has_letter(F.col("text"))
     # Rows without a letter have no topic; they are dealt out by other numbers, which are no text's.
     key = F.when(letters, F.xxhash64("text")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
     rows = docs.withColumns({"mix_source": known("source"), "mix_lang": known("lang"), "mix_tokens": tokens(F.col("text")), "mix_h": key, "mix_letters": letters})
@@ -441,11 +457,13 @@ def rake_rows(cells: DataFrame, targets: Targets) -> DataFrame:
     return state
 
 
-def calibrated(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
-    """``docs`` with mix_* columns and ``probability``, that of being drawn."""
+def calibrated(docs: DataFrame, targets: Targets = Targets(), text: bool = True) -> DataFrame:
+    """``docs`` with mix_* columns and ``probability``, that of being drawn. Without ``text`` the texts are left behind, and read once less."""
     spark = docs.sparkSession
     held = grams(docs)
     rows = weighed(docs.drop("probability"), held, topics_of(held))
+    if not text:
+        rows = stash(rows.drop("text"), "weighed")
     cells = stash(rows.groupBy(*KEYS).agg(F.sum("mix_tokens").cast("double").alias("have")), "cells")
     n_cells = cells.count()
     if not n_cells:
@@ -472,8 +490,8 @@ def achieved(rows: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(total), "axis").select("axis", "value", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(0.0).alias("share"))
 
 
-def draw(docs: DataFrame, targets: Targets = Targets(), seed: int = 42) -> DataFrame:
-    """Documents drawn by calibrated probabilities, with mix_* columns and ``probability``.
+def draw(docs: DataFrame, targets: Targets = Targets(), seed: int = 42, text: bool = True) -> DataFrame:
+    """Documents drawn by calibrated probabilities, with mix_* columns and ``probability``; without the column text if not ``text``.
 
     Null source or language is a value like others, named "null": where the targets do not list it, as
     with any value that they do not list, it keeps its own share. Null or empty text has no tokens and is kept only
@@ -483,4 +501,4 @@ def draw(docs: DataFrame, targets: Targets = Targets(), seed: int = 42) -> DataF
     """
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text"), F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id"), F.lit(seed)))
     u = F.pmod(key, F.lit(1 << 53)) / float(1 << 53)
-    return calibrated(docs.withColumn("mix_u", u), targets).where(F.col("mix_u") < F.col("probability")).drop("mix_u")
+    return calibrated(docs.withColumn("mix_u", u), targets, text).where(F.col("mix_u") < F.col("probability")).drop("mix_u")
