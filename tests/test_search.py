@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,43 @@ def test_semantic_cache_scores_blocks_of_questions(spark, monkeypatch):
         if best:
             assert got[key].response == best[2] and got[key].score == best[0]
     assert len(got) > 100
+
+
+@pytest.mark.parametrize("measure", ["cosine", "dot"])
+def test_dense_search_scores_where_vectors_are_read(spark, monkeypatch, measure):
+    """No pair is a row of Spark; rows are those of the plain expression, by rounded scores, with ties to the lesser id."""
+    from weftline.functions.vectors import cosine, dot
+
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.integers(-3, 4, 6)]) for k in range(300)] + [(1000 + k, [1.0, 2.0, 0.0, 1e-12 * (k % 3), 1.0, 0.0]) for k in range(40)]
+    rows += [(2000, None), (2001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2002, [1.0]), (2003, [float("nan")] * 6), (2004, [0.0] * 6)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    asks = v.where("id % 10 = 0").toDF("query_id", "query")
+    monkeypatch.setattr(search, "STEP", 400)
+    score = (cosine if measure == "cosine" else dot)(F.col("query"), F.col("embedding"))
+    plain = v.crossJoin(asks).select("query_id", "id", F.round(score, 9).alias("score")).where("score IS NOT NULL")
+    for at_least in (None, 0.2):
+        got = search.top_k(asks, v, 5, measure, at_least, digits=9)
+        want = search.ranked(plain if at_least is None else plain.where(F.col("score") >= at_least), 5)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_dense_rows_make_no_entry_of_each_pair():
+    """Rows and queries that hold every bucket are multiplied as matrices; wide ones are taken in parts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n, width, rows = 256, 64, 512
+    q, v = rng.normal(size=(n, width)), rng.normal(size=(rows, width))
+    asked = search.Asked(pa.table({"query_id": np.repeat(np.arange(n), width), "bucket": np.tile(np.arange(width), n), "value": q.ravel()}))
+    tracemalloc.start()
+    got = asked.scores(np.repeat(np.arange(rows), width), np.tile(np.arange(width), rows), v.ravel(), rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, v @ q.T) and most < 32 << 20
+    search.STEP, before = 1000, search.STEP
+    try:
+        assert np.allclose(asked.scores(np.repeat(np.arange(rows), width), np.tile(np.arange(width), rows), v.ravel(), rows), v @ q.T)
+    finally:
+        search.STEP = before
