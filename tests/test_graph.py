@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import chunks, text, vectors
-from weftline.operators import access, evaluation, merge
+from weftline.operators import access, evaluation, extraction, merge
 from weftline.plans import retrieval
 from weftline.plans.engine import Engine
 from weftline.sources.workspace import Workspace
@@ -380,3 +380,45 @@ def test_strip(spark):
     texts = ["　a b ", "\x85\xa0", "", "x", " \x1c\ty\x0b\r\n", "​ z ᠎"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     assert [r[0] for r in rows.orderBy("k").select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def test_statements_are_the_records_facts_and_mentions(spark):
+    """A response read by itself gives what its records give by windows over all rows, stray records and references included."""
+    texts = [
+        '("entity"<|>"early"<|>"t"<|>"d"<|>5)##("hyper-relation"<|>"A &amp; b"<|>7)##("entity"<|>"x&AMP;y"<|>"term"<|>"d1"<|>3.5)##noise##("entity"<|>" "<|>"t"<|>"d"<|>1)##("entity"<|>"z"<|>"t"<|>"d2"<|>bad)<|COMPLETE|>',
+        '("hyper-relation"<|>"one"<|>x)##("hyper-relation"<|>"two"<|>2)##("entity"<|>"w"<|>"t"<|>1)##("entity"<|>"w"<|>"t"<|>"d"<|>4)', "", "nothing", None, '("entity"<|>"lone"<|>"t"<|>"d"<|>5)',
+    ]
+    said = spark.createDataFrame([(f"c{k}", t) for k, t in enumerate(texts)], "chunk_id string, response string")
+    rows, got = extraction.records(said), extraction.statements(said)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())) and a.count() > 2
+    assert same(extraction.facts(rows), got)
+    mentions = extraction.mentions(rows)
+    inlined = got.select("chunk_id", F.col("fact"), F.inline("named"))
+    assert same(mentions, inlined)
+    assert same(merge.merged_edges(mentions), merge.edges_of_statements(got))
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_stored_rows_leave_no_shuffle_files(spark, tmp_path):
+    """What a table was shuffled by is gone when it is written, and the session's own setting stays."""
+    import glob
+    import os
+
+    jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {os.path.basename(f) for d in jvm.localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+    before = kept()
+    access.saved(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), str(tmp_path / "t"))
+    assert kept() <= before and spark.conf.get(access.CLEANED, "false") == "false"
+
+
+def test_components_of_ends_that_are_apart(spark):
+    """The largest component by links among one side's nodes alone is that of the whole graph, ties by the least node of both sides included."""
+    import random
+
+    r = random.Random(3)
+    for rows in (sorted({(f"{r.choice('AZ')}f{r.randrange(30)}", f"Me{r.randrange(30)}") for _ in range(26)}), [("Zf1", "Me1"), ("Af2", "Me2"), ("Bf3", "Me0")]):
+        pairs = spark.createDataFrame(rows, "a string, b string")
+        want = sorted(access.largest_component(pairs).collect())
+        assert want and sorted(access.largest_component(pairs, apart=True).collect()) == want
+        assert sorted(access.stable_component(pairs).collect()) == access.stable_component(pairs, apart=True).collect()
